@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import bpe, exact_dedup, mixing, sharding
 
-MODULES = (sharding, mixing, exact_dedup)
+MODULES = (sharding, mixing, exact_dedup, bpe)
 
 
 def queries() -> dict:
