@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, sharding
+from . import bpe, exact_dedup, language_id, mixing, sharding, toxicity
 
-MODULES = (sharding, mixing, exact_dedup, bpe)
+MODULES = (toxicity, sharding, mixing, exact_dedup, language_id, bpe)
 
 
 def queries() -> dict:
