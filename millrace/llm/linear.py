@@ -20,7 +20,7 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30, seed: i
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, moves: np.ndarray, l2: float, fairness: float, steps: int = 400) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, moves: np.ndarray, l2: float, fairness: float, steps: int = 800) -> np.ndarray:
     """Weights (the last is the bias) of a logistic regression that also pays fairness * (moves @ w) ** 2 on average.
 
     moves: feature changes under which the score should stay. Accelerated gradient descent.
@@ -30,7 +30,7 @@ def logistic(x: np.ndarray, y: np.ndarray, moves: np.ndarray, l2: float, fairnes
     keep[-1] = 0
     w = v = np.zeros(x.shape[1])
     row_norm = (x * x).sum(1)
-    rate = 1 / (0.25 * row_norm.mean() * 4 + l2 + 2 * fairness * ((moves * moves).sum(1).mean() if len(moves) else 0))
+    rate = 1 / (0.25 * row_norm.mean() + l2 + 2 * fairness * ((moves * moves).sum(1).mean() if len(moves) else 0))
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -35, 35)))
         g = x.T @ (p - y) / len(y) + l2 * keep * v

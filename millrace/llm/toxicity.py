@@ -81,7 +81,7 @@ def _design(features: dict[str, int], identity: Sequence[str]):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, identity: Sequence[str] = IDENTITY_TERMS, per_class: int = 4000, n_features: int = 1024, fairness: float = 10.0, l2: float = 0.002) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn, identity: Sequence[str] = IDENTITY_TERMS, per_class: int = 4000, n_features: int = 1024, fairness: float = 10.0, l2: float = 0.0002) -> Model:
     """Fit on at most per_class labelled rows of each class. Without rows of both classes the score is the share of toxic ones (0 without any)."""
     rows = materialize(sample(docs, labels, learn, per_class), "toxicity-sample")
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
