@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing, sharding, toxicity
+from . import bpe, exact_dedup, language_id, mixing, ngram_join, sharding, toxicity
 
-MODULES = (toxicity, sharding, mixing, exact_dedup, language_id, bpe)
+MODULES = (ngram_join, toxicity, sharding, mixing, exact_dedup, language_id, bpe)
 
 
 def queries() -> dict:
