@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._work import discard, materialize, shuffle_partitions
-from .components import components
+from .candidates import linked
 
 WORDS = 5
 SMALL_SET = 6
@@ -314,7 +314,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left, right = items.select(F.col("ref").alias("a"), F.col("items").alias("x")), items.select(F.col("ref").alias("b"), F.col("items").alias("y"))
         return edges.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verified(75), "a long, b long")
 
-    links, labels = _rounds(pairs, sets, verify)
+    near = "4 * least(n, cn) >= 3 * greatest(n, cn) and 7 * (bit_count(s0 ^ c0) + bit_count(s1 ^ c1)) <= n + cn"
+    links, labels = linked(pairs, sets, near, verify)
     placed = members.join(labels.select(F.col("node").alias("ref"), "comp"), "ref", "left").select("id", "n", F.coalesce("comp", "ref").alias("comp"))
     names = placed.groupBy("comp").agg(F.min("id").alias("name"))
     out = placed.where("n > 0").join(names, "comp").select("id", "n", "name").union(placed.where("n = 0").select("id", "n", F.col("id").alias("name")))
@@ -323,41 +324,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), real("name").alias("component_id"))
 
 
-def _rounds(pairs: DataFrame, sets: DataFrame, verify) -> tuple[DataFrame, DataFrame]:
-    """Verified links enough to join what is linked, and the components they make."""
-    other = sets.select("name", F.col("ref").alias("c"), F.col("n").alias("cn"), F.col("s0").alias("c0"), F.col("s1").alias("c1"))
-    near = "4 * least(n, cn) >= 3 * greatest(n, cn) and 7 * (bit_count(s0 ^ c0) + bit_count(s1 ^ c1)) <= n + cn"
-    edge = (F.least("ref", "c").alias("a"), F.greatest("ref", "c").alias("b"))
-    centers = sets.groupBy("name").agg(F.min("ref").alias("c"))
-    fresh = sets.join(centers.join(other, ["name", "c"]), "name").where(f"ref <> c and {near}").select(*edge)
-    tested = materialize(pairs.union(fresh).distinct(), "tested")
-    links = materialize(verify(tested), "verified")
-    labels = components(links)
-    live, count = sets, 1
-    while True:
-        rest = live.join(centers.select("name", F.col("c").alias("ref")), ["name", "ref"], "left_anti")
-        rest = rest.drop("comp").join(labels.select(F.col("node").alias("ref"), "comp"), "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
-        # A set with all its members in one component has no link to add.
-        spread = rest.groupBy("name").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("name")
-        rest = materialize(rest.join(spread, "name", "left_semi"), "live")
-        if live is not sets:
-            discard(live)
-        live = rest
-        if live.isEmpty():
-            discard(live, tested)
-            return links, labels
-        count *= 4
-        centers = live.withColumn("k", F.pmod(F.xxhash64("ref"), F.lit(count))).groupBy("name", "k").agg(F.min("ref").alias("c")).select("name", "c")
-        with_comp = centers.join(live.select("name", F.col("ref").alias("c"), F.col("n").alias("cn"), F.col("s0").alias("c0"), F.col("s1").alias("c1"), F.col("comp").alias("cc")), ["name", "c"])
-        fresh = live.join(with_comp, "name").where(f"ref <> c and comp <> cc and {near}").select(*edge).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = materialize(fresh, "fresh")
-        more = materialize(links.union(verify(fresh)), "verified")
-        known = materialize(tested.union(fresh), "tested")
-        discard(links, tested, fresh, labels)
-        links, tested = more, known
-        labels = components(links)
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id. Rows that repeat it stay too."""
     named = near_components(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_mr_id")).distinct()
