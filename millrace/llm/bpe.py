@@ -220,6 +220,23 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
     return _mapped(docs, rank_file, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
 
 
+def tokenized(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), lossless (the ids decode to the text's bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(rank_file, pattern)
+        for batch in batches:
+            at = 0
+            for block in _blocks(batch.column(1).to_pylist()):
+                ids = c.encode(block)
+                same = [c.decode(x) == t.encode() for x, t in zip(ids, block, strict=True)]
+                columns = [batch.column(0).slice(at, len(block)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "lossless"])
+                at += len(block)
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, lossless boolean")
+
+
 def default_tokenizer() -> tuple[bytes, str]:
     import public_tokenizers
 

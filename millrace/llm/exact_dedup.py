@@ -174,10 +174,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows of which an equal text with a smaller id exists; repeated rows leave one."""
-    verdicts = exact_dedup(docs, id_col, text_col).where("kept").select(id_col, "text_sha256").distinct()
-    marked = docs.withColumn("_mr_sha", F.sha2(normalised(docs[text_col]), 256))
-    kept = marked.join(verdicts.select(F.col(id_col).alias("_mr_id"), F.col("text_sha256").alias("_mr_sha2")), (F.col("_mr_sha") == F.col("_mr_sha2")) & F.col(id_col).eqNullSafe(F.col("_mr_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "_mr_sha"]).drop("_mr_sha")
+    keys = ["_mr_sha", "_mr_key"]
+    keep = content_groups(docs, id_col, text_col).select(F.col("text_sha256").alias(keys[0]), F.col("keep_id").alias(keys[1]))
+    marked = docs.withColumn(keys[0], F.sha2(normalised(docs[text_col]), 256)).withColumn(keys[1], F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)))
+    return marked.join(keep, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
