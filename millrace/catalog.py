@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .plans import fact_queries, link_queries, registry, scan_queries  # noqa: F401  each registers its queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
