@@ -38,11 +38,24 @@ class Model(NamedTuple):
     key: int
 
 
+class _Numbers(dict):
+    """Feature numbers of n-grams; only n-grams that occurred are kept, and not too many."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > MAX_CACHED:
+            self.clear()
+        self[gram] = at = zlib.crc32(gram.encode()) % DIM
+        return at
+
+
+_NUMBERS = _Numbers()
+
+
 def _grams(token: str) -> list[int]:
     out = []
     for run in _LETTERS.findall(token):
-        padded = f"^{run}$"
-        out += [zlib.crc32(padded[i : i + n].encode()) % DIM for n in (1, 2, 3) for i in range(len(padded) - n + 1)]
+        p = f"^{run}$"
+        out += map(_NUMBERS.__getitem__, [*p, *map("".join, zip(p, p[1:])), *map("".join, zip(p, p[1:], p[2:]))])
     return out
 
 
@@ -93,35 +106,42 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
+        """Forget all words. table: a row for each, its sums over its n-grams and their number."""
         self.index: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-
-    def place(self, token: str) -> int:
-        grams = _grams(token)
-        row = np.append(self.per_gram[grams].sum(0), len(grams)) if grams else np.zeros(self.per_gram.shape[1] + 1)
-        self.rows.append(row)
-        self.index[token] = len(self.rows) - 1
-        return len(self.rows) - 1
+        self.table = np.zeros((1024, self.per_gram.shape[1] + 1))
+
+    def learn(self, tokens: list[str]) -> None:
+        """Add the tokens, which are new, to the table."""
+        grams = [_grams(w) for w in tokens]
+        begin, n = len(self.index), np.array([len(g) for g in grams])
+        while begin + len(tokens) > len(self.table):
+            self.table = np.vstack([self.table, np.zeros_like(self.table)])
+        rows = self.table[begin : begin + len(tokens)]
+        rows[:] = 0
+        rows[:, -1] = n
+        if n.any():
+            flat = np.fromiter((v for g in grams for v in g), np.int64, n.sum())
+            rows[n > 0, :-1] = np.add.reduceat(self.per_gram[flat], (np.cumsum(n) - n)[n > 0], axis=0)
+        self.index.update(zip(tokens, range(begin, begin + len(tokens)), strict=True))
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        if len(self.rows) > MAX_CACHED:
+        if len(self.index) > MAX_CACHED:
             self.reset()
-        get, place = self.index.get, self.place
         places, ends = [], []
         for t in texts:
             tokens = t.lower().split()
-            got = list(map(get, tokens))
-            if None in got:
-                got = [place(w) if (p := get(w)) is None else p for w in tokens]
-            places += got
+            fresh = list(set(tokens).difference(self.index))
+            if fresh:
+                self.learn(fresh)
+            places += map(self.index.__getitem__, tokens)
             ends.append(len(places))
         width = self.per_gram.shape[1] + 1
         sums = np.zeros((len(texts), width))
         if places:
-            table, flat = np.array(self.rows), np.array(places)
+            flat = np.array(places)
             begin = np.array([0, *ends[:-1]])
             some = np.array(ends) > begin
-            sums[some] = np.add.reduceat(table[flat], begin[some], axis=0)
+            sums[some] = np.add.reduceat(self.table[flat], begin[some], axis=0)
         grams = sums[:, -1]
         margins = sums[:, :-1] / np.maximum(grams, 1)[:, None] + self.model.weights[-1]
         langs, scores = [], []
