@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import fact_queries, link_queries, registry, scan_queries  # noqa: F401  each registers its queries
+from .plans import fact_queries, function_queries, link_queries, registry, scan_queries  # noqa: F401  each registers its queries
 
 
 def queries() -> dict:
