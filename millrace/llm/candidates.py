@@ -1,53 +1,80 @@
 """Links among candidate pairs and candidate sets, without expanding the sets into all their pairs.
 
-Round by round a growing number of the members of a set (its centers) are compared with the others,
-only across components that are not yet joined. A set is done when all its members are in one
-component or have been centers.
+All members of a set are first compared with one of them, its center. Where that leaves a set in more
+than one component, only the members outside its main component are compared with the rest, and only
+pairs whose sketches allow a link are taken up. A large set is dealt to several tasks: each gets all
+members outside the main component and a part of those inside.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._work import discard, materialize
 from .components import components
 
+CHUNK = 2048
+
+
+def _crossing(finder: Callable[[list[tuple]], Callable]):
+    """Rows (name, chunk, ref, comp, outside, features...), sorted by set and chunk, to pairs of refs in different components that the finder holds possible.
+
+    finder: from the features of all rows to a function from a row's number to those of its possible partners.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            partners, a, b = finder([r[3:] for r in rows]), [], []
+            for i, (ref, comp, outside, *_) in enumerate(rows):
+                if outside:
+                    for j in partners(i):
+                        if rows[j][1] != comp and (not rows[j][2] or (key[1] == 0 and ref < rows[j][0])):
+                            a.append(min(ref, rows[j][0]))
+                            b.append(max(ref, rows[j][0]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        at, rows = None, []
+        for batch in batches:
+            for name, chunk, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (name, chunk) != at:
+                    if len(rows) > 1:
+                        yield from done(at, rows)
+                    at, rows = (name, chunk), []
+                rows.append(tuple(row))
+        if len(rows) > 1:
+            yield from done(at, rows)
+
+    return run
+
 
-def linked(pairs: DataFrame, sets: DataFrame, near: str, verify) -> tuple[DataFrame, DataFrame]:
+def linked(pairs: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], finder) -> tuple[DataFrame, DataFrame]:
     """Verified links enough to join what is linked, and the components they make.
 
-    pairs: a, b. sets: name, ref, n, s0, s1, a row for each member. near: SQL over n, s0, s1 of one
-    member and cn, c0, c1 of the other that no linked pair fails. verify: keeps the linked rows of a
-    table of pairs.
+    pairs: a, b. sets: name, ref and features, a row for each member. screen and verify: from a table
+    of pairs to those that can be linked, and to those that are. finder: see _crossing.
     """
-    other = sets.select("name", F.col("ref").alias("c"), F.col("n").alias("cn"), F.col("s0").alias("c0"), F.col("s1").alias("c1"))
-    edge = (F.least("ref", "c").alias("a"), F.greatest("ref", "c").alias("b"))
+    features = [c for c in sets.columns if c not in ("name", "ref")]
     centers = sets.groupBy("name").agg(F.min("ref").alias("c"))
-    fresh = sets.join(centers.join(other, ["name", "c"]), "name").where(f"ref <> c and {near}").select(*edge)
-    tested = materialize(pairs.union(fresh).distinct(), "tested")
+    star = sets.select("name", "ref").join(centers, "name").where("ref <> c").select(F.col("c").alias("a"), F.col("ref").alias("b")).distinct()
+    tested = materialize(pairs.union(screen(star)).distinct(), "tested")
     links = materialize(verify(tested), "verified")
     labels = components(links)
-    live, count = sets, 1
-    while True:
-        rest = live.join(centers.select("name", F.col("c").alias("ref")), ["name", "ref"], "left_anti")
-        rest = rest.drop("comp").join(labels.select(F.col("node").alias("ref"), "comp"), "ref", "left").withColumn("comp", F.coalesce("comp", "ref"))
-        # A set with all its members in one component has no link to add.
-        spread = rest.groupBy("name").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("name")
-        rest = materialize(rest.join(spread, "name", "left_semi"), "live")
-        if live is not sets:
-            discard(live)
-        live = rest
-        if live.isEmpty():
-            discard(live, tested)
-            return links, labels
-        count *= 4
-        centers = live.withColumn("k", F.pmod(F.xxhash64("ref"), F.lit(count))).groupBy("name", "k").agg(F.min("ref").alias("c")).select("name", "c")
-        with_comp = centers.join(live.select("name", F.col("ref").alias("c"), F.col("n").alias("cn"), F.col("s0").alias("c0"), F.col("s1").alias("c1"), F.col("comp").alias("cc")), ["name", "c"])
-        fresh = live.join(with_comp, "name").where(f"ref <> c and comp <> cc and {near}").select(*edge).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = materialize(fresh, "fresh")
-        more = materialize(links.union(verify(fresh)), "verified")
-        known = materialize(tested.union(fresh), "tested")
-        discard(links, tested, fresh, labels)
-        links, tested = more, known
-        labels = components(links)
+    placed = sets.select("name", "ref").join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("name", "ref", F.coalesce("comp", "ref").alias("comp"))
+    parts = placed.groupBy("name", "comp").agg(F.count("*").alias("n"))
+    main = parts.groupBy("name").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = placed.join(main, "name").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("outside", F.col("comp") != F.col("main"))
+    chunk = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("ref"), F.col("chunks")).cast("int")))
+    dealt = open_.withColumn("chunk", F.explode(chunk)).join(sets, ["name", "ref"]).select("name", "chunk", "ref", "comp", "outside", *features)
+    crossing = dealt.repartition("name", "chunk").sortWithinPartitions("name", "chunk").mapInArrow(_crossing(finder), "a long, b long").distinct()
+    fresh = materialize(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
+    if fresh.isEmpty():
+        discard(tested, fresh)
+        return links, labels
+    more = materialize(links.union(verify(fresh)), "verified")
+    discard(links, tested, fresh, labels)
+    return more, components(more)

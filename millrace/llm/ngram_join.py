@@ -5,13 +5,12 @@ sketches differ in at most as many places as the sets do; two sets of sizes a an
 0.75 or more differ in D = (a + b) / 7 shingles at most. The sketch is cut into more than D blocks
 (their number belongs to a band of D), of which at least one that is not empty must be equal: blocks
 are the keys of the join. A block is that wide that it is kept as the XOR of its shingles' hashes. A
-second sketch of 128 bits is compared whole and discards most pairs of unlike texts at once. What is
-left is verified on the sets.
+second sketch of 128 bits is compared whole and discards most pairs of unlike texts at once. Larger
+sketches, with places in proportion to the set, screen what is left, which is verified on the sets.
 
 Equal sets are one entry. Tasks deal the block keys out in packed arrays; a bucket of keys is sorted
-and yields pairs and, for larger groups, sets of candidates. A set is not expanded into its pairs:
-round by round a growing number of its members are compared with the others, only across components
-not yet joined, until all members of each set are in one component or have been compared.
+and yields pairs and, for larger groups, sets of candidates, which are not
+expanded into their pairs (see candidates).
 """
 
 from __future__ import annotations
@@ -34,10 +33,22 @@ FLUSH_KEYS = 1 << 21
 MAX_CACHED = 1 << 20
 NO_ID = (1 << 63) - 1
 U64 = np.uint64
-_HASHES: dict[bytes, int] = {}
 _C = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5), U64(0xD6E8FEB86659FD93)]
 
 
+class _Words(dict):
+    """Hashes of the words met last."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > MAX_CACHED:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_HASHES = _Words()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words without visible structure."""
     with np.errstate(over="ignore"):
@@ -51,18 +62,12 @@ def shingles(text: bytes) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, U64)
-    get = _HASHES.get
-    hashes = list(map(get, words))
-    if None in hashes:
-        if len(_HASHES) > MAX_CACHED:
-            _HASHES.clear()
-        hashes = [_HASHES.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words]
-    w = np.array(hashes, U64)
+    w = np.fromiter(map(_HASHES.__getitem__, words), U64, len(words))
     n = min(WORDS, len(w))
     with np.errstate(over="ignore"):
         total = np.full(len(w) - n + 1, U64(n), U64)
         for k in range(n):
-            total += mix(w[k : len(w) - n + 1 + k] + _C[k]) * _C[k]
+            total += w[k : len(w) - n + 1 + k] * _C[k]
     return np.unique(mix(total))
 
 
@@ -97,9 +102,25 @@ def _keys(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sketch(s: np.ndarray) -> tuple[int, int]:
-    bits = np.bincount((s & U64(127)).astype(np.int64), minlength=128) & 1
-    return tuple(int(x) for x in np.packbits(bits.astype(np.uint8)).view(U64))
+def _sketch(s: np.ndarray, bits: int) -> bytes:
+    """Parity of the shingles at each of so many places; the halves of a sketch make that of half the size by XOR."""
+    odd = np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _large(s: np.ndarray) -> bytes:
+    """The sketch by which pairs are screened: at least two places for each shingle."""
+    return _sketch(s, max(64, 1 << (2 * len(s) - 1).bit_length()))
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """Places in which two sketches differ, the larger one folded: never more than the sets differ."""
+    a, b = (np.frombuffer(v, U64) for v in (x, y))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -118,12 +139,17 @@ _DOCS = (np.int64, np.int64, np.int64)  # id, set, size
 _KEYS = (np.int64, np.int32, U64, U64, np.int32, np.uint32, np.uint8)  # per set: set, size, sketch, keys; per key: 40 bits
 
 
+def _name(items: bytes) -> int:
+    """A set is known by this hash of its sorted shingles."""
+    return int.from_bytes(xxhash.xxh64_digest(items), "big", signed=True)
+
+
 def _deal(buckets: int):
-    """Documents to packed rows: kind 0 with ids, kind 1 with the block keys of a bucket."""
+    """Documents to packed rows: kind 0 with ids, kind 1 with the block keys of a bucket, kind 3 with a large sketch (data; bucket: size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        docs, sets, keys, held = [], [], [], 0
+        docs, sets, keys, held, large = [], [], [], 0, []
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = [(0, docs[0][1] % buckets, _pack(*(np.array(c, np.int64) for c in zip(*docs, strict=True))))] if docs else []
@@ -140,13 +166,14 @@ def _deal(buckets: int):
                     who, count = np.unique(owner[part], return_counts=True)
                     if len(who):
                         rows.append((1, b, _pack(ref[who], n[who], s0[who], s1[who], count.astype(np.int32), (key[part] & U64(0xFFFFFFFF)).astype(np.uint32), (key[part] >> U64(56)).astype(np.uint8))))
-            kinds, where, data = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(where, pa.int32()), pa.array(data, pa.binary())], names=["kind", "bucket", "data"])
+            rows = [(k, b, 0, 0, data) for k, b, data in rows] + [(3, r % buckets, r, n, data) for r, n, data in large]
+            columns = zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["kind", "bucket", "ref", "n", "data"])
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text)
-                ref = int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)))
+                ref = _name(s.tobytes())
                 docs.append((i, ref, len(s)))
                 if len(s) and ref not in seen:
                     if len(seen) > MAX_CACHED:
@@ -154,12 +181,13 @@ def _deal(buckets: int):
                     seen.add(ref)
                     k = _keys(s)
                     if len(k):
-                        sets.append((ref, len(s), *_sketch(s)))
+                        sets.append((ref, len(s), *np.frombuffer(_sketch(s, 128), U64)))
+                        large.append((ref, len(s), _large(s)))
                         keys.append(k)
                         held += len(k)
                 if held > FLUSH_KEYS or len(docs) > FLUSH_KEYS >> 3:
                     yield from flush()
-                    docs, sets, keys, held = [], [], [], 0
+                    docs, sets, keys, held, large = [], [], [], 0, []
         if docs:
             yield from flush()
 
@@ -233,45 +261,113 @@ def _merged(large: list[np.ndarray], n: np.ndarray, s0: np.ndarray, s1: np.ndarr
     return [np.array(sorted(x)) for x in out]
 
 
-_OUT = ["kind", "a", "b", "n", "s0", "s1"]
+_OUT = ["kind", "a", "b", "n", "sketch"]
 
 
-def _rows(kind: int, a, b, n=None, s0=None, s1=None) -> pa.RecordBatch:
+def _rows(kind: int, a, b, n=None, sketch=None) -> pa.RecordBatch:
     zero = np.zeros(len(a), np.int64)
-    columns = [np.full(len(a), kind, np.int32), *(zero if c is None else np.ascontiguousarray(c).view(np.int64) if c.dtype == U64 else c.astype(np.int64) for c in (a, b, n, s0, s1))]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_OUT)
+    columns = [np.full(len(a), kind, np.int32), *(zero if c is None else c.astype(np.int64) for c in (a, b, n))]
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(sketch or [None] * len(a), pa.binary())], names=_OUT)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows, sorted by bucket, to rows of documents (0), pairs (1) and members of sets (2)."""
+    """Packed rows, sorted by bucket, to rows of documents (0), pairs (1), members of sets (2) and sketches (3). A set is named by its smallest member, so sets that share it become one."""
 
     def found(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         pair, sets, (ref, n, s0, s1) = _match(parts)
         if pair.shape[1]:
             yield _rows(1, ref[pair[0]], ref[pair[1]])
         for m in sets:
-            name = np.full(len(m), xxhash.xxh64_intdigest(ref[m].tobytes()), U64)
-            yield _rows(2, name, ref[m], n[m], s0[m], s1[m])
+            yield _rows(2, np.full(len(m), ref[m].min()), ref[m], n[m])
 
     at, parts = -1, []
     for batch in batches:
-        for kind, bucket, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        sketches = []
+        for kind, bucket, name, size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if kind == 0:
                 yield _rows(0, *_unpack(data, _DOCS))
                 continue
+            if kind == 3:
+                sketches.append((name, size, data))
+                continue
             if bucket != at and parts:
                 yield from found(parts)
                 parts = []
             at = bucket
             parts.append(data)
+        if sketches:
+            a, size, data = zip(*sketches, strict=True)
+            yield _rows(3, np.array(a), np.zeros(len(a), np.int64), np.array(size), sketch=list(data))
     if parts:
         yield from found(parts)
 
 
+def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, their sizes and large sketches) whose sketches allow a similarity of 0.75."""
+    for batch in batches:
+        keep = [7 * _differ(x, y) <= n + m for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _partners(features: list[tuple]):
+    """From (size, large sketch) of the members of a set to a function from one's number to those of the members that can be near to it."""
+    n = np.array([f[0] for f in features])
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    words = np.array([len(f[1]) // 8 for f in features])
+    for w in np.unique(words):
+        who = np.flatnonzero(words == w)
+        by_size[int(w)] = who, np.stack([np.frombuffer(features[i][1], U64) for i in who])
+    halves = {w: bits[:, : w // 2] ^ bits[:, w // 2 :] for w, (_, bits) in by_size.items() if w > 1}
+
+    def partners(i: int) -> np.ndarray:
+        own = np.frombuffer(features[i][1], U64)
+        found = []
+        for w, (who, bits) in by_size.items():  # partners have sketches of the same size, or of the next
+            if w == len(own):
+                differ = bits ^ own
+            elif w == 2 * len(own):
+                differ = halves[w] ^ own
+            elif 2 * w == len(own):
+                differ = bits ^ (own[:w] ^ own[w:])
+            else:
+                continue
+            low = 7 * np.bitwise_count(differ).sum(1, dtype=np.int64) <= n[who] + n[i]
+            found.append(who[low & (4 * np.minimum(n[who], n[i]) >= 3 * np.maximum(n[who], n[i])) & (who != i)])
+        return np.concatenate(found)
+
+    return partners
+
+
+def _near_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members (name, ref, n, large sketch; sorted by name) that can be near to another of their set. Sets too large to try all pairs stay whole."""
+
+    def done(rows: list[tuple]) -> list[tuple]:
+        if not 1 < len(rows) <= 1024:
+            return rows if len(rows) > 1 else []
+        partners = _partners([r[2:] for r in rows])
+        return [r for i, r in enumerate(rows) if len(partners(i))]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["name", "ref", "n", "sketch"])
+
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != at:
+                if kept := done(rows):
+                    yield out(kept)
+                at, rows = row[0], []
+            rows.append(row)
+    if kept := done(rows):
+        yield out(kept)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["ref", "items"])
+        right = pa.array([_name(x) == r for x, r in zip(packed, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["ref", "items"]).filter(right)
 
 
 def _verified(threshold: int):
@@ -300,22 +396,29 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
-    dealt = rows.mapInArrow(_deal(4 * parts), "kind int, bucket int, data binary")
-    found = materialize(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "kind int, a long, b long, n long, s0 long, s1 long"), "ngram")
+    dealt = rows.mapInArrow(_deal(parts), "kind int, bucket int, ref long, n long, data binary")
+    found = materialize(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "kind int, a long, b long, n long, sketch binary"), "ngram")
     members = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("ref"), "n")
-    pairs = materialize(found.where("kind = 1").select("a", "b").distinct(), "pairs")
-    sets = materialize(found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("ref"), "n", "s0", "s1").distinct(), "sets")
+    large = found.where("kind = 3").groupBy(F.col("a").alias("ref")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    pairs = found.where("kind = 1").select("a", "b").distinct()
+    sketch = lambda k: large.select(F.col("ref").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"x{k}"))
+
+    def screen(edges: DataFrame) -> DataFrame:
+        return edges.join(sketch("b"), "b").join(sketch("a"), "a").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_screened, "a long, b long")
+
+    pairs = materialize(screen(pairs), "pairs")
+    sets = found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("ref")).distinct().join(large, "ref").select("name", "ref", "n", "sketch")
+    sets = materialize(sets.repartition("name").sortWithinPartitions("name").mapInArrow(_near_members, "name long, ref long, n long, sketch binary"), "sets")
 
     wanted = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).union(sets.select("ref")).distinct()
     first = members.join(wanted, "ref", "left_semi").groupBy("ref").agg(F.min("id").alias("id"))
-    items = materialize(rows.join(first, "id").select("ref", "text").mapInArrow(_sets, "ref long, items binary").dropDuplicates(["ref"]), "items")
+    items = materialize(rows.join(first, "id").select("ref", "text").mapInArrow(_sets, "ref long, items binary"), "items")
 
     def verify(edges: DataFrame) -> DataFrame:
         left, right = items.select(F.col("ref").alias("a"), F.col("items").alias("x")), items.select(F.col("ref").alias("b"), F.col("items").alias("y"))
         return edges.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verified(75), "a long, b long")
 
-    near = "4 * least(n, cn) >= 3 * greatest(n, cn) and 7 * (bit_count(s0 ^ c0) + bit_count(s1 ^ c1)) <= n + cn"
-    links, labels = linked(pairs, sets, near, verify)
+    links, labels = linked(pairs, sets, screen, verify, _partners)
     placed = members.join(labels.select(F.col("node").alias("ref"), "comp"), "ref", "left").select("id", "n", F.coalesce("comp", "ref").alias("comp"))
     names = placed.groupBy("comp").agg(F.min("id").alias("name"))
     out = placed.where("n > 0").join(names, "comp").select("id", "n", "name").union(placed.where("n = 0").select("id", "n", F.col("id").alias("name")))
