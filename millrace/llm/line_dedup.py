@@ -1,7 +1,7 @@
 """Removal of repeated and nearly repeated lines.
 
-A line is lower-cased and reduced to its letters and digits, and has a SimHash of 64 bits over its
-words. Lines with hashes at most three bits apart agree in two of five blocks of the hash at least:
+A line is lower-cased, cut into words at white space, and its words are reduced to letters and
+digits; it has a SimHash of 64 bits over its words. Lines with hashes at most three bits apart agree in two of five blocks of the hash at least:
 each pair of blocks is a key of the join. Candidates are verified by edit similarity on the reduced
 lines; of a connected group the first occurrence stays, by doc_id and line number.
 """
@@ -20,61 +20,87 @@ from pyspark.sql import functions as F
 
 from ._work import discard, materialize, shuffle_partitions
 from .candidates import linked
+from .ngram_join import mix
 
 U64 = np.uint64
 APART = 3
 SHIFTS, WIDTHS = (0, 13, 26, 39, 52), (13, 13, 13, 13, 12)
 SMALL_SET = 8
-FLUSH_LINES = 1 << 18
 MAX_CACHED = 1 << 20
 _OTHER = re.compile(r"[\W_]+")
-_HASHES: dict[str, int] = {}
 
 
 def reduced(line: str) -> str:
-    """Lower case, every run of other characters than letters and digits one space."""
-    return _OTHER.sub(" ", line.lower()).strip()
-
-
-def simhashes(lines: list[str]) -> np.ndarray:
-    """Of each reduced line, which has a word, the 64 majorities over the bits of its words' hashes."""
-    words = [line.split(" ") for line in lines]
-    sizes = np.array([len(w) for w in words])
-    if len(_HASHES) > MAX_CACHED:
-        _HASHES.clear()
-    for w in {x for ws in words for x in ws}.difference(_HASHES):
-        _HASHES[w] = xxhash.xxh64_intdigest(w)
-    get = _HASHES.__getitem__
-    hashes = np.fromiter((h for ws in words for h in map(get, ws)), U64, sizes.sum())
-    out, begin = np.zeros(len(lines), U64), np.cumsum(sizes) - sizes
-    for at in range(0, len(lines), 512):
-        part = slice(begin[at], begin[at + 511] + sizes[at + 511] if at + 512 <= len(lines) else len(hashes))
-        bits = np.unpackbits(hashes[part].view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, begin[at : at + 512] - begin[at], axis=0, dtype=np.int32)
-        out[at : at + 512] = np.packbits(2 * sums > sizes[at : at + 512, None], axis=1).view(U64).ravel()
-    return out
+    """Lower case, words at white space, of them letters and digits, one space between two."""
+    return " ".join([w for w in (_OTHER.sub("", x) for x in line.lower().split()) if w])
+
+
+class _Words:
+    """The words met last: for each token its number; by number a hash, a length, and for each bit of the hash a counter of eight bits, eight in a word."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.hashes, self.sizes, self.lanes = np.zeros(1024, U64), np.zeros(1024, np.int64), np.zeros((1024, 8), U64)
+
+    def learn(self, tokens: list[str]) -> None:
+        begin, end = len(self.index), len(self.index) + len(tokens)
+        while end > len(self.hashes):
+            self.hashes, self.sizes, self.lanes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.sizes, self.lanes))
+        words = [_OTHER.sub("", t) for t in tokens]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), U64, len(words))
+        self.hashes[begin:end], self.sizes[begin:end] = hashes, np.fromiter(map(len, words), np.int64, len(words))
+        self.lanes[begin:end] = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).view(U64)
+        self.index.update(zip(tokens, range(begin, end), strict=True))
+
+
+_WORDS = _Words()
+
+
+def fingerprints(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines given as tokens: which have a word, and of these ref (a hash of the words in their order), length of the reduced line, SimHash (the majority of each bit over the words)."""
+    if len(_WORDS.index) > MAX_CACHED:
+        _WORDS.__init__()
+    flat = [w for line in lines for w in line]
+    fresh = list(set(flat).difference(_WORDS.index))
+    if fresh:
+        _WORDS.learn(fresh)
+    at = np.fromiter(map(_WORDS.index.__getitem__, flat), np.int64, len(flat))
+    line = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
+    some = _WORDS.sizes[at] > 0
+    at, line = at[some], line[some]
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 4
+    which, begin, count = np.unique(line, return_index=True, return_counts=True)
+    place = (np.arange(len(at)) - np.repeat(begin, count)).astype(U64)
+    with np.errstate(over="ignore"):
+        ref = mix(np.add.reduceat(mix(_WORDS.hashes[at] + place * U64(0x9E3779B97F4A7C15)), begin))
+    n = np.add.reduceat(_WORDS.sizes[at], begin) + count - 1
+    # A counter of eight bits holds 255 words: longer lines are summed in pieces.
+    pieces = np.flatnonzero(place.astype(np.int64) % 255 == 0)
+    sums = np.add.reduceat(_WORDS.lanes[at], pieces, axis=0).view(np.uint8).reshape(-1, 64)
+    if len(pieces) > len(begin):
+        sums = np.add.reduceat(sums, np.searchsorted(pieces, begin), axis=0, dtype=np.int32)
+    sim = np.packbits(2 * sums.astype(np.int32) > count[:, None], axis=1).view(U64).ravel()
+    return which, ref.view(np.int64), n, sim.view(np.int64)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines that have a letter or digit: id, line number, ref (hash), n (length), sim."""
-    names = ["id", "line", "ref", "n", "sim"]
+    """Lines that have a word: id, line number, ref, n (length), sim."""
 
     def flush(ids, numbers, lines):
-        ref = np.fromiter((xxhash.xxh64_intdigest(x) for x in lines), U64, len(lines))
-        columns = (np.array(ids, np.int64), np.array(numbers, np.int32), ref.view(np.int64), np.fromiter(map(len, lines), np.int64, len(lines)), simhashes(lines).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        which, ref, n, sim = fingerprints(lines)
+        columns = (np.array(ids, np.int64)[which], np.array(numbers, np.int32)[which], ref, n, sim)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "line", "ref", "n", "sim"])
 
     ids, numbers, lines, held = [], [], [], 0
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for k, raw in enumerate(text.split("\n")):
-                line = reduced(raw)
-                if line:
-                    ids.append(i)
-                    numbers.append(k)
-                    lines.append(line)
-                    held += len(line)
-            if held > 1 << 22:
+            raw = text.lower().split("\n")
+            ids += [i] * len(raw)
+            numbers += range(len(raw))
+            lines += map(str.split, raw)
+            held += len(text)
+            if held > 1 << 21:
                 yield flush(ids, numbers, lines)
                 ids, numbers, lines, held = [], [], [], 0
     if lines:
@@ -108,13 +134,29 @@ def _possible(n, sim, a, b):
     return (np.bitwise_count(sim[a] ^ sim[b]) <= APART) & (10 * np.minimum(n[a], n[b]) >= 9 * np.maximum(n[a], n[b]))
 
 
-def _rows(kind, a, b, n, s0) -> pa.RecordBatch:
-    columns = (np.full(len(a), kind, np.int32), a, b, n, s0, np.zeros(len(a), np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U64 else c) for c in columns], names=["kind", "a", "b", "n", "s0", "s1"])
+def _rows(kind, a, b, n, sim) -> pa.RecordBatch:
+    columns = (np.full(len(a), kind, np.int32), a, b, n, sim)
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U64 else c) for c in columns], names=["kind", "a", "b", "n", "sim"])
+
+
+def _partners(features: list[tuple]):
+    """From (n, sim) of the members of a set to a function from one's number to those of its possible partners."""
+    n, sim = np.array([f[0] for f in features]), np.array([f[1] for f in features], np.int64).view(U64)
+    every = np.arange(len(n))
+    return lambda i: np.flatnonzero(_possible(n, sim, i, every) & (every != i))
+
+
+def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, n and sim of both) that can be similar."""
+    for batch in batches:
+        na, nb, x, y = (batch.column(k).to_numpy() for k in range(2, 6))
+        both_n, both_sim = np.r_[na, nb], np.r_[x, y].view(U64)
+        keep = _possible(both_n, both_sim, np.arange(len(na)), np.arange(len(na), 2 * len(na)))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows, sorted by bucket, to pairs (kind 1) and members of sets (kind 2)."""
+    """Packed rows, sorted by bucket, to pairs (kind 1) and members of sets (kind 2). Sets with the same smallest member become one."""
 
     def found(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         key, ref, n, sim = [], [], [], []
@@ -145,7 +187,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 zero = np.zeros(1, np.int64)
                 yield _rows(1, ref[m[:1]], ref[m[1:]], zero, zero)
             elif len(m):
-                yield _rows(2, np.full(len(m), xxhash.xxh64_intdigest(ref[m].tobytes()), U64), ref[m], n[m], sim[m])
+                yield _rows(2, np.full(len(m), ref[m].min()), ref[m], n[m], sim[m])
 
     at, parts = -1, []
     for batch in batches:
@@ -210,16 +252,16 @@ def similar(a: str, b: str) -> bool:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        refs, lines = [], []
+        want, raw = [], []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = text.split("\n")
+            own = text.split("\n")
             for w in wanted:
-                if w["line"] < len(raw):
-                    line = reduced(raw[w["line"]])
-                    if np.uint64(xxhash.xxh64_intdigest(line)).view(np.int64) == w["ref"]:
-                        refs.append(w["ref"])
-                        lines.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(lines, pa.string())], names=["ref", "body"])
+                if w["line"] < len(own):
+                    want.append(w["ref"])
+                    raw.append(own[w["line"]])
+        which, ref, _, _ = fingerprints([x.lower().split() for x in raw])
+        right = [(r, raw[k]) for k, r in zip(which.tolist(), ref.tolist(), strict=True) if r == want[k]]
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in right], pa.int64()), pa.array([reduced(x) for _, x in right], pa.string())], names=["ref", "body"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,9 +282,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = materialize(rows.mapInArrow(_lines, "id long, line int, ref long, n long, sim long"), "lines")
     distinct = materialize(lines.groupBy("ref").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("times"), F.min("n").alias("n"), F.min("sim").alias("sim")), "distinct")
     dealt = distinct.select("ref", "n", "sim").mapInArrow(_deal(parts), "bucket int, data binary")
-    found = materialize(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "kind int, a long, b long, n long, s0 long, s1 long"), "line-candidates")
+    found = materialize(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "kind int, a long, b long, n long, sim long"), "line-candidates")
     pairs = found.where("kind = 1").select("a", "b").distinct()
-    sets = found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("ref"), "n", "s0", "s1").distinct()
+    sets = found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("ref"), "n", "sim").distinct()
     wanted = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).union(sets.select("ref")).distinct()
     where = distinct.join(wanted, "ref").groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "ref")).alias("wanted"))
     bodies = materialize(rows.join(where, "id").select("text", "wanted").mapInArrow(_texts, "ref long, body string").dropDuplicates(["ref"]), "bodies")
@@ -251,8 +293,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         left, right = bodies.select(F.col("ref").alias("a"), F.col("body").alias("x")), bodies.select(F.col("ref").alias("b"), F.col("body").alias("y"))
         return edges.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
 
-    near = f"10 * least(n, cn) >= 9 * greatest(n, cn) and bit_count(s0 ^ c0) <= {APART}"
-    links, labels = linked(pairs, sets, near, verify)
+    def screen(edges: DataFrame) -> DataFrame:
+        of = lambda k: distinct.select(F.col("ref").alias(k), F.col("n").alias(f"n{k}"), F.col("sim").alias(f"s{k}"))
+        return edges.join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_screened, "a long, b long")
+
+    links, labels = linked(pairs, sets, screen, verify, _partners)
     discard(links, bodies, found)
     grouped = distinct.join(labels.withColumnRenamed("node", "ref"), "ref", "left").where("times > 1 or comp is not null").select("ref", "first", F.coalesce("comp", "ref").alias("comp"))
     keep = grouped.groupBy("comp").agg(F.min("first").alias("keep"))
