@@ -12,7 +12,7 @@ from ..operators.changes import generation_diff
 
 
 def listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """path, size, mtime of every file below root; contents are not read."""
+    """path, size, mtime of every file below root that is not empty (the reader has no split for one that is); contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
