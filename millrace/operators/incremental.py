@@ -16,10 +16,14 @@ from . import facts
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut, where the session has a folder for that."""
-    sc = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.persist()
+    spark = df.sparkSession
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            return df.persist()
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
 
 
 def reached(start: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
