@@ -49,7 +49,7 @@ def shapes() -> dict[str, Column]:
     }
 
 
-#: A shape stands before those that yield to it: the narrower condition first.
+# The order in which shapes are tried. A shape stands before those that yield to it.
 PRECEDENCE = ("BatchReader", "Closer", "CompositeWriter", "Deleter", "Lifecycle", "Lookup", "MultiAggregator", "MultiArgWriter", "MultiReader", "Mutator", "PoisonAccessor", "Predicate", "ReaderWithBool", "StreamConsumer", "AnsweringWriter", "Reader", "StreamReader", "Computation", "Aggregator", "PointerReader", "ReaderNoError", "VoidLifecycle", "Writer")
 
 
