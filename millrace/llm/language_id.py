@@ -54,6 +54,9 @@ _NUMBERS = _Numbers()
 def _grams(token: str) -> list[int]:
     out = []
     for run in _LETTERS.findall(token):
+        run = run if run.isalpha() else "".join(filter(str.isalpha, run))  # ² and ½ are no letters
+        if not run:
+            continue
         p = f"^{run}$"
         out += map(_NUMBERS.__getitem__, [*p, *map("".join, zip(p, p[1:])), *map("".join, zip(p, p[1:], p[2:]))])
     return out

@@ -43,6 +43,8 @@ def test_language_edge_cases(spark, spoken, edge_rows, edge_docs, no_docs):
     got = {(r.doc_id, r.lang_pred == "und") for r in language_id.identify(edge_docs, model).collect()}
     assert got == {(i, not any(c.isalpha() for c in t or "")) for i, t, *_ in edge_rows}
     assert language_id.identify(no_docs, model).count() == 0
+    odd = spark.createDataFrame([(1, "½ ² 12 _!"), (2, "½a")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in language_id.identify(odd, model).collect()} == {1: True, 2: False}
     nothing = language_id.fit(no_docs, F.lit(True))
     assert {r.lang_pred for r in language_id.identify(edge_docs, nothing).collect()} == {"und"}
     one = language_id.fit(spoken.where("lang = 'en'"), F.lit(True), per_language=5)
