@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -252,7 +253,7 @@ def spelled_names(t):
 
 def _folder(t) -> str:
     base = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='millrace-')}/state-{t.spark.sparkContext.applicationId}-{id(t)}"
+    return f"{base or 'file://' + tempfile.mkdtemp(prefix='millrace-')}/state-{uuid.uuid4().hex}"
 
 
 @query("select o_orderkey as key, case when o_orderkey % 10 = 3 then 'new' else o_orderstatus end as value from orders where o_orderkey % 10 not in (0, 1) union all select o_orderkey + 100000000, 'added' from orders where o_orderkey % 100 = 7")
