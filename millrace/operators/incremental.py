@@ -40,23 +40,43 @@ def reached(start: DataFrame, edges: DataFrame, rounds: int | None = None) -> Da
     return seen
 
 
+def reached_through(start: DataFrame, uses: DataFrame, rounds: int | None = None) -> DataFrame:
+    """id and hop of all that start (id) is tied to by sharing something: uses has id and via.
+
+    Each round goes from the new ids to what they use and has not been seen, and from there to whoever
+    uses it. Pairs of ids that share a thing are never made, so a thing that all use costs no more
+    than its rows.
+    """
+    uses = cut(uses.select("id", "via").distinct())
+    seen = frontier = cut(start.select("id").distinct().withColumn("hop", F.lit(0)))
+    met, hop = None, 0
+    while rounds is None or hop < rounds:
+        hop += 1
+        via = uses.join(frontier.select("id"), "id", "left_semi").select("via").distinct()
+        via = cut(via if met is None else via.join(met, "via", "left_anti"))
+        met = via if met is None else cut(met.unionByName(via))
+        frontier = cut(uses.join(via, "via", "left_semi").select("id").distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.unionByName(frontier))
+    return seen
+
+
 def dirty_records(reads: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """record and hop of the records that a change of edges (edge) reaches.
 
     reads: edge, record. A record that reads a dirty edge is dirty, and so are the edges that it
     reads, hence records that share an edge with it.
     """
-    pairs = reads.select(F.col("record").alias("id"), "edge").distinct()
-    start = pairs.join(edges.select("edge").distinct(), "edge", "left_semi").select("id")
-    step = pairs.join(pairs.select(F.col("id").alias("next"), "edge"), "edge").where("id <> next").select("id", "next")
-    return reached(start, step, rounds).select(F.col("id").alias("record"), "hop")
+    uses = reads.select(F.col("record").alias("id"), F.col("edge").alias("via"))
+    start = reads.join(edges.select("edge").distinct(), "edge", "left_semi").select(F.col("record").alias("id"))
+    return reached_through(start, uses, rounds).select(F.col("id").alias("record"), "hop")
 
 
 def closure_of_groups(start: DataFrame, members: DataFrame) -> DataFrame:
     """Groups that start (group) pulls in: groups that share a file, until none joins. members: group, file."""
-    m = members.select(F.col("group").alias("id"), "file").distinct()
-    step = m.join(m.select(F.col("id").alias("next"), "file"), "file").where("id <> next").select("id", "next")
-    return reached(start.select(F.col("group").alias("id")), step).select(F.col("id").alias("group"))
+    uses = members.select(F.col("group").alias("id"), F.col("file").alias("via"))
+    return reached_through(start.select(F.col("group").alias("id")), uses).select(F.col("id").alias("group"))
 
 
 def needed(start: DataFrame, needs: DataFrame, loaded: DataFrame | None = None) -> DataFrame:

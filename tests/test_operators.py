@@ -168,6 +168,12 @@ def test_reached(spark):
     assert dict(map(tuple, incremental.reached(spark.createDataFrame([(1,)], "id long"), edges).collect())) == {1: 0, 2: 1, 3: 2}
 
 
+def test_a_shared_edge_is_not_squared(spark):
+    reads = spark.createDataFrame([(0, r) for r in range(3000)] + [(1, 7), (1, 5000), (2, 5000), (2, 5001), (3, 6000)], "edge long, record long")
+    dirty = {r.record: r.hop for r in incremental.dirty_records(reads, spark.createDataFrame([(2,)], "edge long")).collect()}
+    assert dirty[5000] == dirty[5001] == 0 and dirty[7] == 1 and dirty[8] == 2 and len(dirty) == 3002
+
+
 def test_warm_equals_cold(spark):
     c = spark.createDataFrame([(s, "k", f"v{s}{a}", a, 0, "p", 0) for s in range(20) for a in range(3)], CLAIM)
     run = lambda rows: rows.where("authority < 2")
