@@ -192,4 +192,12 @@ def op4_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op4_embedding_dedup": """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as x from embeddings),
+u as (select * from v where label is not null and len(x) > 0 and len([y for y in x if y is null or not isfinite(y)]) = 0 and list_dot_product(x, x) > 0),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and len(a.x) = len(b.x) and a.vec_id <> b.vec_id where list_cosine_similarity(a.x, b.x) >= 0.98),
+r(node, comp) as (select vec_id, vec_id from v union select l.b, r.comp from r join l on l.a = r.node),
+m as (select node, min(comp) as comp from r group by node)
+select vec_id, (select count(*) from l where a = vec_id) as n_links, comp as component_id, vec_id = comp as kept from v join m on node = vec_id"""
+}

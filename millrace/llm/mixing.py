@@ -17,6 +17,7 @@ from ._work import materialize, shuffle_partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_BITS = 10
+DIGITS = 15  # of an MD5, in hexadecimal: what fits a long
 
 
 def _targets(sizes: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
@@ -59,8 +60,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), tilts: Sequence[flo
     """
     size = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
     skey = F.when(docs["source"].isNull(), "1").otherwise(F.concat(F.lit("0"), docs["source"].cast("string")))
-    h = F.xxhash64(docs["doc_id"], F.lit(seed))
-    slim = materialize(docs.select(docs["doc_id"], size.alias("size"), skey.alias("skey"), h.alias("h"), F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int").alias("bucket")), "mix")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))))
+    h = F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long")
+    slim = materialize(docs.select(docs["doc_id"], size.alias("size"), skey.alias("skey"), h.alias("h"), F.shiftright(h, 4 * DIGITS - BUCKET_BITS).cast("int").alias("bucket")), "mix")
     cells = slim.groupBy("skey", "bucket").agg(F.sum("size").alias("cell"))
     targets = _targets(slim.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, max_repeats)
     along = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,4 +97,21 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_mixing": r"""
+with d as (select doc_id, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size, case when source is null then '1' else '0' || source end as skey,
+    cast('0x' || substr(md5('17:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h from documents),
+s as (select skey, cast(sum(size) as bigint) as source_size, [5, 2, 1][(row_number() over (order by skey) - 1) % 3 + 1] as w from d group by skey),
+t as (select *, 3 * source_size as cap, sum(source_size) over () - coalesce(sum(3 * source_size) over o, 0) as left_, sum(w) over () - coalesce(sum(w) over o, 0) as weight
+    from s window o as (order by 3 * source_size / w, skey rows between unbounded preceding and 1 preceding)),
+c as (select *, left_ * w >= cap * weight as capped from t),
+p as (select *, max(case when not capped then left_ end) over () as pool, max(case when not capped then weight end) over () as rest from c),
+g as (select skey, source_size, cast(w as int) as w, case when capped then cast(cap as double) else cast(w * pool as double) / cast(rest as double) end as target,
+    cast(case when capped then cap else (2 * w * pool + rest) // (2 * rest) end as bigint) as take, [-0.5::double, 0::double, 0.5::double][case w when 5 then 1 when 2 then 2 else 3 end] as tilt from p),
+b as (select d.*, g.* exclude (skey), cast(coalesce(sum(size) over (partition by d.skey order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) as bigint) as before_ from d join g using (skey)),
+q as (select *, case when source_size > 0 then take // source_size else 0 end as passes from b),
+r as (select *, greatest(0, least(size, take - passes * source_size - before_)) as part from q),
+k as (select *, case when size > 0 then passes + case when part > 0 then 1 else 0 end else 0 end as n, cast(before_ as double) / cast(take as double) as y from r)
+select doc_id, size, source_size, target, cast(size * passes + part as bigint) as taken, cast(n as int) as copies,
+  case when n > 0 then case when y <= 0 then 0::double else 2 * y / ((1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * y)) end end as position from k"""
+}

@@ -87,7 +87,7 @@ def test_urls_by_example(spark):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.sql(f"create view {table} as from '{SF}/{table}.parquet'")
     df, wanted = registry.queries()[name](spark, SF), con.sql(registry.oracle_sql()[name])
     columns = sorted(df.columns)
