@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CACHED = 1 << 20
+MAX_WORDS, MAX_PAIRS = 1 << 19, 1 << 18
 BLOCK_CHARS = 1 << 21
 _CODECS: dict[str, Codec] = {}
 
@@ -32,19 +32,20 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self._pairs: dict[tuple[int, int], int] = {}
+        self._pairs: dict[int, int] = {}
+        self._single = [ranks[bytes([b])] for b in range(256)]
 
     def _rank(self, a: int, b: int) -> int:
-        r = self._pairs.get((a, b))
+        r = self._pairs.get(a << 32 | b)
         if r is None:
-            if len(self._pairs) > MAX_CACHED:
+            if len(self._pairs) > MAX_PAIRS:
                 self._pairs.clear()
-            r = self._pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+            r = self._pairs[a << 32 | b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return r
 
     def encode(self, words: Sequence[bytes]) -> list[list[int]]:
         whole = [self.ranks.get(w) for w in words]
-        single = [self.ranks[bytes([b])] for b in range(256)]
+        single = self._single
         ids: list[int] = []
         nxt: list[int] = []
         prv: list[int] = []
@@ -103,7 +104,7 @@ class MergeReplay:
         return out
 
     def _alone(self, word: bytes) -> list[int]:
-        ids = [self.ranks[bytes([b])] for b in word]
+        ids = [self._single[b] for b in word]
         nxt, prv = [*range(1, len(ids)), -1], list(range(-1, len(ids) - 1))
         queue = [(r, i) for i in range(len(ids) - 1) if (r := self._rank(ids[i], ids[i + 1])) >= 0]
         heapq.heapify(queue)
@@ -140,7 +141,7 @@ class Codec:
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
         parts = [self.words(t) for t in texts]
-        if len(self.known) > MAX_CACHED:
+        if len(self.known) > MAX_WORDS:
             self.known.clear()
         fresh = list({w for p in parts for w in p}.difference(self.known))
         for w, ids in zip(fresh, self.replay.encode([w.encode() for w in fresh]), strict=True):

@@ -30,7 +30,7 @@ from .candidates import linked
 WORDS = 5
 SMALL_SET = 6
 FLUSH_KEYS = 1 << 21
-MAX_CACHED = 1 << 20
+MAX_CACHED = 1 << 18
 NO_ID = (1 << 63) - 1
 U64 = np.uint64
 _C = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5), U64(0xD6E8FEB86659FD93)]

@@ -24,7 +24,7 @@ from .linear import logistic
 
 IDENTITY_TERMS = ("women", "men", "muslims", "muslim", "christians", "christian", "jews", "jewish", "hindus", "atheists", "gay", "lesbian", "straight", "transgender", "black", "white", "asian", "latino", "immigrants", "refugees", "disabled", "deaf", "blind", "old", "young", "frauen", "männer", "muslime", "christen", "juden", "femmes", "hommes", "musulmans", "chrétiens", "juifs", "mujeres", "hombres", "musulmanes", "cristianos", "judíos")
 STEMS = (3, 4, 5, 6)
-MAX_CACHED = 1 << 20
+MAX_CACHED = 1 << 18
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SCORERS: dict[int, Scorer] = {}
 
