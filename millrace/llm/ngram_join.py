@@ -437,4 +437,17 @@ def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_ngram_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+s as (select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 5 then [hash(array_to_string(words, ' '))] else [hash(words[i], words[i + 1], words[i + 2], words[i + 3], words[i + 4]) for i in range(1, len(words) - 3)] end) as g from w),
+n as (select doc_id, count(*) as n, min(hash(g)) as lo, sum(g) as total from s group by doc_id),
+c as (select *, min(doc_id) over (partition by n, lo, total) as first from n),
+f as (select s.* from s join c on c.doc_id = s.doc_id and c.first = c.doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as both_ from f a join f b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join c x on x.doc_id = a join c y on y.doc_id = b where 100 * both_ >= 75 * (x.n + y.n - both_)),
+e as (select a, b from l union all select b, a from l),
+r(node, comp) as (select first, first from c where first = doc_id union select e.b, r.comp from r join e on e.a = r.node where e.b <> r.comp),
+m as (select node, min(comp) as comp from r group by node)
+select d.doc_id, coalesce(c.n, 0) as n_shingles, coalesce(m.comp, d.doc_id) as component_id from documents d left join c on c.doc_id = d.doc_id left join m on m.node = c.first"""
+}
