@@ -1,7 +1,7 @@
 """Removal of repeated and nearly repeated lines.
 
-A line is lower-cased, cut into words at white space, and its words are reduced to letters and
-digits; it has a SimHash of 64 bits over its words. Lines with hashes at most three bits apart agree in two of five blocks of the hash at least:
+A line is lower-cased, cut into words at ASCII white space, and its words lose ASCII punctuation and
+control characters; it has a SimHash of 64 bits over its words. Lines with hashes at most three bits apart agree in two of five blocks of the hash at least:
 each pair of blocks is a key of the join. Candidates are verified by edit similarity on the reduced
 lines; of a connected group the first occurrence stays, by doc_id and line number.
 """
@@ -26,85 +26,96 @@ U64 = np.uint64
 APART = 3
 SHIFTS, WIDTHS = (0, 13, 26, 39, 52), (13, 13, 13, 13, 12)
 SMALL_SET = 8
-MAX_CACHED = 1 << 20
-_OTHER = re.compile(r"[\W_]+")
+_BLANK = re.compile(r"[\t\v\f\r ]+")
+_DROPPED = re.compile(r"[\x00-\x08\x0E-\x1F!-/:-@\[-`{-\x7F]+")
+_RNG = np.random.default_rng(1)
+_LETTERS = _RNG.integers(1, 1 << 63, 256, dtype=U64)
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_CLASS = np.ones(256, np.uint8)  # 0: dropped, 1: kept, 2: blank, 3: line feed
+for _b in range(128):
+    _CLASS[_b] = 3 if _b == 10 else 2 if _BLANK.match(chr(_b)) else 0 if _DROPPED.match(chr(_b)) else 1
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(U64).ravel()
+_POWERS = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def reduced(line: str) -> str:
-    """Lower case, words at white space, of them letters and digits, one space between two."""
-    return " ".join([w for w in (_OTHER.sub("", x) for x in line.lower().split()) if w])
-
-
-class _Words:
-    """The words met last: for each token its number; by number a hash, a length, and for each bit of the hash a counter of eight bits, eight in a word."""
-
-    def __init__(self) -> None:
-        self.index: dict[str, int] = {}
-        self.hashes, self.sizes, self.lanes = np.zeros(1024, U64), np.zeros(1024, np.int64), np.zeros((1024, 8), U64)
-
-    def learn(self, tokens: list[str]) -> None:
-        begin, end = len(self.index), len(self.index) + len(tokens)
-        while end > len(self.hashes):
-            self.hashes, self.sizes, self.lanes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.sizes, self.lanes))
-        words = [_OTHER.sub("", t) for t in tokens]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), U64, len(words))
-        self.hashes[begin:end], self.sizes[begin:end] = hashes, np.fromiter(map(len, words), np.int64, len(words))
-        self.lanes[begin:end] = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).view(U64)
-        self.index.update(zip(tokens, range(begin, end), strict=True))
-
-
-_WORDS = _Words()
-
-
-def fingerprints(lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of lines given as tokens: which have a word, and of these ref (a hash of the words in their order), length of the reduced line, SimHash (the majority of each bit over the words)."""
-    if len(_WORDS.index) > MAX_CACHED:
-        _WORDS.__init__()
-    flat = [w for line in lines for w in line]
-    fresh = list(set(flat).difference(_WORDS.index))
-    if fresh:
-        _WORDS.learn(fresh)
-    at = np.fromiter(map(_WORDS.index.__getitem__, flat), np.int64, len(flat))
-    line = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
-    some = _WORDS.sizes[at] > 0
-    at, line = at[some], line[some]
-    if not len(at):
-        return (np.zeros(0, np.int64),) * 4
-    which, begin, count = np.unique(line, return_index=True, return_counts=True)
-    place = (np.arange(len(at)) - np.repeat(begin, count)).astype(U64)
+    """Lower case, words at white space, without ASCII punctuation, one space between two."""
+    return " ".join([w for w in (_DROPPED.sub("", x) for x in _BLANK.split(line.lower())) if w])
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, n at least."""
+    if len(_POWERS[0]) < n:
+        with np.errstate(over="ignore"):
+            for k, base in enumerate((_BASE, _INVERSE)):
+                steps = np.full(2 * n, base, U64)
+                steps[0] = 1
+                _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS
+
+
+def fingerprints(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of every line with a word: number of its text, line number in it, ref (a hash of the words in their order), length of the reduced line, SimHash (the majority of each bit over the words' hashes).
+
+    The texts are one array of bytes. A word's hash is polynomial, taken from prefix sums over the array.
+    """
+    b = np.frombuffer("\n".join(texts).lower().encode(), np.uint8)
+    kind = _CLASS[b]
+    b, kind = b[kind > 0], kind[kind > 0]
+    edge = np.diff((kind == 1).astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 5
+    power, inverse = _powers(len(b))
     with np.errstate(over="ignore"):
-        ref = mix(np.add.reduceat(mix(_WORDS.hashes[at] + place * U64(0x9E3779B97F4A7C15)), begin))
-    n = np.add.reduceat(_WORDS.sizes[at], begin) + count - 1
+        sums = np.r_[U64(0), np.cumsum(_LETTERS[b] * power[: len(b)], dtype=U64)]
+        word = mix((sums[ends] - sums[starts]) * inverse[starts])
+    chars = np.r_[0, np.cumsum((b & 0xC0) != 0x80)]
+    size = chars[ends] - chars[starts]
+    line = np.cumsum(kind == 3)[starts]
+    begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    count = np.diff(np.r_[begin, len(line)])
+    place = np.arange(len(line)) - np.repeat(begin, count)
+    with np.errstate(over="ignore"):
+        ref = mix(np.add.reduceat(mix(word + place.astype(U64) * U64(_BASE)), begin))
+    n = np.add.reduceat(size, begin) + count - 1
     # A counter of eight bits holds 255 words: longer lines are summed in pieces.
-    pieces = np.flatnonzero(place.astype(np.int64) % 255 == 0)
-    sums = np.add.reduceat(_WORDS.lanes[at], pieces, axis=0).view(np.uint8).reshape(-1, 64)
+    pieces = np.flatnonzero(place % 255 == 0)
+    sums = np.add.reduceat(_LANES[word.view(np.uint8)].reshape(-1, 8), pieces, axis=0).view(np.uint8).reshape(-1, 64)
     if len(pieces) > len(begin):
         sums = np.add.reduceat(sums, np.searchsorted(pieces, begin), axis=0, dtype=np.int32)
     sim = np.packbits(2 * sums.astype(np.int32) > count[:, None], axis=1).view(U64).ravel()
-    return which, ref.view(np.int64), n, sim.view(np.int64)
+    first = np.cumsum([0, *(t.count("\n") + 1 for t in texts)])
+    text = np.searchsorted(first, line[begin], side="right") - 1
+    return text, line[begin] - first[text], ref.view(np.int64), n, sim.view(np.int64)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines that have a word: id, line number, ref, n (length), sim."""
+    """Lines that have a word: id, line number, ref, n (length), sim. And of each text a row with line -1 and n its number of lines (0 for null)."""
+
+    names = ["id", "line", "ref", "n", "sim"]
 
-    def flush(ids, numbers, lines):
-        which, ref, n, sim = fingerprints(lines)
-        columns = (np.array(ids, np.int64)[which], np.array(numbers, np.int32)[which], ref, n, sim)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "line", "ref", "n", "sim"])
+    def flush(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+        text, line, ref, n, sim = fingerprints(texts)
+        columns = (np.array(ids, np.int64)[text], line.astype(np.int32), ref, n, sim)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    ids, numbers, lines, held = [], [], [], 0
+    ids, texts, held = [], [], 0
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = text.lower().split("\n")
-            ids += [i] * len(raw)
-            numbers += range(len(raw))
-            lines += map(str.split, raw)
-            held += len(text)
+        own, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        zero = pa.array(np.zeros(len(own), np.int64))
+        counts = pa.array([0 if t is None else t.count("\n") + 1 for t in bodies], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(own), -1, np.int32)), zero, counts, zero], names=names)
+        for i, text in zip(own, bodies, strict=True):
+            if i is not None and text is not None:
+                ids.append(i)
+                texts.append(text)
+                held += len(text)
             if held > 1 << 21:
-                yield flush(ids, numbers, lines)
-                ids, numbers, lines, held = [], [], [], 0
-    if lines:
-        yield flush(ids, numbers, lines)
+                yield flush(ids, texts)
+                ids, texts, held = [], [], 0
+    if texts:
+        yield flush(ids, texts)
 
 
 def _deal(buckets: int):
@@ -165,7 +176,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for to, kind, at, width in ((key, np.uint32, 0, 4), (ref, np.int64, 4 * m, 8), (n, np.uint32, 12 * m, 4), (sim, U64, 16 * m, 8)):
                 to.append(np.frombuffer(p, kind, m, at))
         key, ref, n, sim = np.concatenate(key), np.concatenate(ref), np.concatenate(n).astype(np.int64), np.concatenate(sim)
-        order = np.lexsort((ref, key))
+        order = np.argsort(key)
         key, ref, n, sim = key[order], ref[order], n[order], sim[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
@@ -175,7 +186,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists.append((starts[sizes == g][:, None, None] + np.stack([i, j], 1)).reshape(-1, 2))
         a, b = np.concatenate(lists).T
         ok = _possible(n, sim, a, b)
-        pair = np.unique(np.stack([ref[a[ok]], ref[b[ok]]]), axis=1)
+        pair = np.unique(np.sort(np.stack([ref[a[ok]], ref[b[ok]]]), axis=0), axis=1)
         if pair.shape[1]:
             zero = np.zeros(pair.shape[1], np.int64)
             yield _rows(1, pair[0], pair[1], zero, zero)
@@ -201,55 +212,6 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(parts)
 
 
-def edits(a: str, b: str, most: int) -> int:
-    """Levenshtein distance, or most + 1 if it is larger: the furthest reach on each diagonal, edit by edit."""
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return most + 1
-
-    def slide(i: int, j: int) -> int:
-        step = 16
-        while a[i : i + step] == b[j : j + step]:
-            if i + step >= n or j + step >= m:
-                break
-            i, j, step = i + step, j + step, 2 * step
-        while i < n and j < m and a[i] == b[j]:
-            if step > 1 and a[i : i + step // 2] == b[j : j + step // 2] and i + step // 2 <= n and j + step // 2 <= m:
-                i, j = i + step // 2, j + step // 2
-            else:
-                step = max(1, step // 2)
-                if step == 1:
-                    i, j = i + 1, j + 1
-        return i
-
-    reach = {0: slide(0, 0)}
-    if reach[0] >= n and n == m:
-        return 0
-    for d in range(1, most + 1):
-        further = {}
-        for k in range(-d, d + 1):
-            if abs(k) > max(n, m):
-                continue
-            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
-            if i < 0 or i + k < 0:
-                continue
-            i = min(i, n, m - k)
-            if i < 0 or i + k < 0:
-                continue
-            i = slide(i, i + k)
-            if i >= n and i + k >= m:
-                return d
-            further[k] = i
-        reach = further
-    return most + 1
-
-
-def similar(a: str, b: str) -> bool:
-    """Edit similarity of 0.9 or more: at most a tenth of the longer line's characters are edits."""
-    most = max(len(a), len(b)) // 10
-    return edits(a, b, most) <= most
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         want, raw = [], []
@@ -259,27 +221,78 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if w["line"] < len(own):
                     want.append(w["ref"])
                     raw.append(own[w["line"]])
-        which, ref, _, _ = fingerprints([x.lower().split() for x in raw])
+        which, _, ref, _, _ = fingerprints(raw)
         right = [(r, raw[k]) for k, r in zip(which.tolist(), ref.tolist(), strict=True) if r == want[k]]
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in right], pa.int64()), pa.array([reduced(x) for _, x in right], pa.string())], names=["ref", "body"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unlike_parts(x: str, y: str) -> tuple[str, str]:
+    """What is left of two lines without their common beginning and end; the edit distance stays."""
+
+    def common(same, most: int) -> int:
+        low = 0
+        while low < most:
+            mid = (low + most + 1) // 2
+            low, most = (mid, most) if same(mid) else (low, mid - 1)
+        return low
+
+    k = common(lambda m: x[:m] == y[:m], min(len(x), len(y)))
+    x, y = x[k:], y[k:]
+    k = common(lambda m: x[len(x) - m :] == y[len(y) - m :], min(len(x), len(y)))
+    return x[: len(x) - k], y[: len(y) - k]
+
+
+def edits_at_most(x: str, y: str, most: int) -> int:
+    """So many edits suffice, by words: where the lines part, the next place within twelve words at which two words agree again is looked for. Gives up beyond most."""
+    a, b, total, i, j = x.split(" "), y.split(" "), 0, 0, 0
+    n, m = len(a), len(b)
+    while i < n and j < m:
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        found = []
+        for skip in range(1, 13):
+            for p in range(max(0, skip - (m - j) + 1), min(skip, n - i - 1) + 1):
+                q = skip - p
+                if a[i + p] == b[j + q] and a[i + p + 1 : i + p + 2] == b[j + q + 1 : j + q + 2]:
+                    found.append((max(len(" ".join(a[i : i + p])), len(" ".join(b[j : j + q]))) + (not p or not q), p, q))
+            if found:
+                break
+        if not found:
+            break
+        cost, p, q = min(found)
+        total, i, j = total + cost, i + p, j + q
+        if total > most:
+            return total
+    return total + (max(len(" ".join(a[i:])), len(" ".join(b[j:]))) + 1 if i < n or j < m else 0)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, x, y) with their unlike parts, and how many edits the whole lines may be apart. Of most similar lines the words show that they are; nothing is left to compare."""
     for batch in batches:
-        keep = [similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        pairs = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+        most = [max(len(x), len(y)) // 10 for x, y in pairs]
+        parts = [("", "") if edits_at_most(x, y, m) <= m else unlike_parts(x, y) for (x, y), m in zip(pairs, most, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([p[k] for p in parts], pa.string()) for k in (0, 1)), pa.array(most, pa.int32())], names=["a", "b", "x", "y", "most"])
+
+
+def similar(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, lines x and y) with an edit similarity of 0.9 or more: at most a tenth of the longer line's characters are edits. The distance is cut off there."""
+    parts = pairs.select("a", "b", "x", "y").mapInArrow(_parts, "a long, b long, x string, y string, most int")
+    return parts.where(F.call_function("levenshtein", F.col("x"), F.col("y"), F.col("most")) >= 0).select("a", "b")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and line (from 0) of every line that goes.
+def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and n_lines of every text, and doc_id and line (from 0) of every line that goes.
 
-    Lines without a letter or digit always stay. Rows that repeat a doc_id and a text lose the same
+    Lines without a word always stay. Rows that repeat a doc_id and a text lose the same
     lines, so a line stays in all of them or in none. Null texts have no lines.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    rows = docs.where(docs["text"].isNotNull() & docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"))
-    lines = materialize(rows.mapInArrow(_lines, "id long, line int, ref long, n long, sim long"), "lines")
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"))
+    every = materialize(rows.mapInArrow(_lines, "id long, line int, ref long, n long, sim long"), "lines")
+    texts, lines = every.where("line = -1").select(F.col("id").alias("doc_id"), F.col("n").alias("n_lines")), every.where("line >= 0")
     distinct = materialize(lines.groupBy("ref").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("times"), F.min("n").alias("n"), F.min("sim").alias("sim")), "distinct")
     dealt = distinct.select("ref", "n", "sim").mapInArrow(_deal(parts), "bucket int, data binary")
     found = materialize(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "kind int, a long, b long, n long, sim long"), "line-candidates")
@@ -291,7 +304,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     def verify(edges: DataFrame) -> DataFrame:
         left, right = bodies.select(F.col("ref").alias("a"), F.col("body").alias("x")), bodies.select(F.col("ref").alias("b"), F.col("body").alias("y"))
-        return edges.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+        return similar(edges.join(right, "b").join(left, "a"))
 
     def screen(edges: DataFrame) -> DataFrame:
         of = lambda k: distinct.select(F.col("ref").alias(k), F.col("n").alias(f"n{k}"), F.col("sim").alias(f"s{k}"))
@@ -302,7 +315,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     grouped = distinct.join(labels.withColumnRenamed("node", "ref"), "ref", "left").where("times > 1 or comp is not null").select("ref", "first", F.coalesce("comp", "ref").alias("comp"))
     keep = grouped.groupBy("comp").agg(F.min("first").alias("keep"))
     fate = grouped.select("ref", "comp").join(keep, "comp").select("ref", "keep")
-    return lines.join(fate, "ref").where("struct(id, line) <> keep").select(F.col("id").alias("doc_id"), "line")
+    return texts, lines.join(fate, "ref").where("struct(id, line) <> keep").select(F.col("id").alias("doc_id"), "line")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
@@ -310,16 +323,16 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
     n_lines: line feeds plus one, 0 for a null text. An empty table gives no rows.
     """
-    gone = repeated_lines(docs).distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
-    n = F.when(docs["text"].isNull(), 0).otherwise(F.length(docs["text"]) - F.length(F.replace(docs["text"], F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), n.alias("n_lines")).join(gone, "doc_id", "left")
+    texts, gone = repeated_lines(docs)
+    gone = gone.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
+    out = texts.join(gone, "doc_id", "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size(dropped)).alias("n_kept"), dropped.alias("dropped"))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """docs with the texts that are left when the repeated lines go."""
-    gone = repeated_lines(docs).distinct().groupBy(F.col("doc_id").alias("_mr_id")).agg(F.collect_list("line").alias("_mr_gone"))
+    gone = repeated_lines(docs)[1].distinct().groupBy(F.col("doc_id").alias("_mr_id")).agg(F.collect_list("line").alias("_mr_gone"))
     out = docs.join(gone, docs["doc_id"] == F.col("_mr_id"), "left")
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_mr_gone", i)), "\n")
     return out.withColumn("text", F.when(F.col("_mr_gone").isNull(), F.col("text")).otherwise(rest)).drop("_mr_id", "_mr_gone")

@@ -140,6 +140,16 @@ def test_components(spark):
     assert found == want
 
 
+def edits(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
 def lines_brute(rows):
     first, seen = {}, []
     for i, text, *_ in rows:
@@ -150,8 +160,8 @@ def lines_brute(rows):
                     seen.append((i, k, r))
                     first[r] = min(first.get(r, (i, k)), (i, k))
     distinct = sorted(first)
-    sims = line_dedup.fingerprints([x.split() for x in distinct])[3].tolist()
-    links = [(a, b) for a in range(len(distinct)) for b in range(a) if ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= 3 and line_dedup.similar(distinct[a], distinct[b])]
+    sims = line_dedup.fingerprints(distinct)[4].tolist()
+    links = [(a, b) for a in range(len(distinct)) for b in range(a) if ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= 3 and 10 * edits(distinct[a], distinct[b]) <= max(len(distinct[a]), len(distinct[b]))]
     home = joined(links, range(len(distinct)))
     keep = {}
     for k, r in enumerate(distinct):
@@ -199,32 +209,40 @@ def test_lines_of_edge_cases(edge_rows, edge_docs):
     assert Counter((r.doc_id, tuple(r.dropped)) for r in line_dedup.dedup_report(edge_docs).collect()) == want
 
 
-def test_edits():
-    def slow(a, b):
-        last = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row = [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-            last = row
-        return last[-1]
-
+def test_fingerprints():
+    """Punctuation, blanks and case do not matter; order does; long lines, whose counters are summed in pieces, count every word."""
+    texts = ["A-b,  c\n\n!!\nc ab", "ab c", "é Ü\tx\ry", "", "c AB."]
+    text, line, ref, n, sim = line_dedup.fingerprints(texts)
+    assert list(zip(text.tolist(), line.tolist())) == [(0, 0), (0, 3), (1, 0), (2, 0), (4, 0)]
+    assert ref[0] == ref[2] != ref[1] == ref[4] and sim[0] == sim[1]
+    assert n.tolist() == [len(line_dedup.reduced(x)) for x in ("A-b,  c", "c ab", "ab c", "é Ü\tx\ry", "c AB.")]
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(9)}" for _ in range(1000)]
+    one = dict(zip(sorted(set(words)), line_dedup.fingerprints(sorted(set(words)))[4].tolist(), strict=True))
+    want = sum(1 << b for b in range(64) if sum(1 if one[w] >> b & 1 else -1 for w in words) > 0)
+    assert int(line_dedup.fingerprints([" ".join(words)])[4][0]) & (2**64 - 1) == want
+
+
+def test_words_bound_the_edits():
+    rng = random.Random(13)
+    for _ in range(400):
+        a = [rng.choice(["ab", "c", "def", "g"]) for _ in range(rng.randrange(1, 12))]
+        b = [w for w in a if rng.random() < 0.9]
+        for _ in range(rng.randrange(3)):
+            b.insert(rng.randrange(len(b) + 1), rng.choice(["x", "ab", "yz"]))
+        x, y = " ".join(a), " ".join(b)
+        assert line_dedup.edits_at_most(x, y, 1000) >= edits(x, y)
+        assert edits(*line_dedup.unlike_parts(x, y)) == edits(x, y)
+    assert line_dedup.edits_at_most("a b c", "a b c", 0) == 0 and line_dedup.edits_at_most("aa bb cc", "aa xx cc", 9) == 2
+
+
+def test_similar(spark):
     rng = random.Random(1)
-    for _ in range(500):
-        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(30))) for _ in range(2))
-        most = rng.randrange(15)
-        assert line_dedup.edits(a, b, most) == min(slow(a, b), most + 1)
-
-
-def test_long_lines_have_wide_counters():
-    """Over 255 words a line's counters are summed in pieces."""
-    line = [f"w{k % 7}" for k in range(1000)]
-    _, _, _, sim = line_dedup.fingerprints([line, ["x"]])
-    counts = Counter(line)
-    import xxhash
-
-    bits = [sum(n * (1 if xxhash.xxh64_intdigest(w) >> b & 1 else -1) for w, n in counts.items()) > 0 for b in range(64)]
-    assert int(sim[0]).to_bytes(8, "little", signed=True).hex() == sum(1 << b for b in range(64) if bits[b]).to_bytes(8, "little").hex() or bin(int(sim[0]) & (2**64 - 1)).count("1") == sum(bits)
+    rows = [("".join(rng.choice("ab") for _ in range(rng.randrange(40))), "".join(rng.choice("ab") for _ in range(rng.randrange(40)))) for _ in range(200)]
+    rows += [(a, a[: len(a) // 2] + "é" + a[len(a) // 2 :]) for a, _ in rows]
+    df = spark.createDataFrame([(k, k, *r) for k, r in enumerate(rows)], "a long, b long, x string, y string")
+    near = {r.a for r in line_dedup.similar(df).collect()}
+    assert near == {k for k, (x, y) in enumerate(rows) if 10 * edits(x, y) <= max(len(x), len(y))}
 
 
 def test_empty_tables(no_docs):
