@@ -17,12 +17,14 @@ import hashlib
 import heapq
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_WORDS, MAX_PAIRS = 1 << 19, 1 << 18
-BLOCK_CHARS = 1 << 21
+MAX_WORDS = 1 << 19
+FEW = 24  # places, below which they are merged one by one
+BLOCK_CHARS = 1 << 22
 _CODECS: dict[str, Codec] = {}
 
 
@@ -32,77 +34,109 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self._pairs: dict[int, int] = {}
         self._single = [ranks[bytes([b])] for b in range(256)]
+        pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self._pairs = pairs
+        self._keys = np.array(sorted(pairs) or [-1], np.int64)
+        self._values = np.array([pairs.get(k, -1) for k in self._keys.tolist()], np.int32)
 
     def _rank(self, a: int, b: int) -> int:
-        r = self._pairs.get(a << 32 | b)
-        if r is None:
-            if len(self._pairs) > MAX_PAIRS:
-                self._pairs.clear()
-            r = self._pairs[a << 32 | b] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return r
+        """The rank of two neighbours; -1 if they do not merge, or one is none."""
+        return self._pairs.get(a << 32 | b, -1) if a >= 0 and b >= 0 else -1
+
+    def _rank_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where((self._keys[at] == key) & (a >= 0) & (b >= 0), self._values[at], -1)
 
     def encode(self, words: Sequence[bytes]) -> list[list[int]]:
-        whole = [self.ranks.get(w) for w in words]
-        single = self._single
-        ids: list[int] = []
-        nxt: list[int] = []
-        prv: list[int] = []
-        owner: list[int] = []
-        starts: list[int] = []
-        for k, w in enumerate(words):
-            at = len(ids)
-            starts.append(at)
-            if whole[k] is None and w:
-                n = len(w)
-                ids += [single[b] for b in w]
-                prv += [-1, *range(at, at + n - 1)]
-                nxt += [*range(at + 1, at + n), -1]
-                owner += [k] * n
-        index: dict[int, list[int]] = {}
-        rank = self._rank
-        for i, j in enumerate(nxt):
-            if j >= 0 and (r := rank(ids[i], ids[j])) >= 0:
-                index.setdefault(r, []).append(i)
-        queue = list(index)
-        heapq.heapify(queue)
-        alone: set[int] = set()
+        out: list = [[r] if (r := self.ranks.get(w)) is not None else [] for w in words]
+        rest = [k for k, w in enumerate(words) if w and not out[k]]
+        if not rest:
+            return out
+        # Words stand end to end, each after an empty place (-1), and there is one more at the end.
+        size = np.fromiter((len(words[k]) for k in rest), np.int64, len(rest))
+        starts = np.cumsum(size + 1) - size
+        ids = np.full(int(size.sum()) + len(rest) + 1, -1, np.int32)
+        filled = np.ones(len(ids), bool)
+        filled[starts - 1] = filled[-1] = False
+        ids[filled] = np.array(self._single, np.int32)[np.frombuffer(b"".join([words[k] for k in rest]), np.uint8)]
+        nxt, prv = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+        odd: list[np.ndarray] = []
+
+        def note(places: np.ndarray, ranks: np.ndarray, current: int) -> None:
+            """Index pairs by rank; words in which a pair ranks before the one at hand are odd."""
+            if (ranks < current).any():
+                odd.append(places[(ranks < current) & (ranks >= 0)])
+            places, ranks = places[ranks >= 0], ranks[ranks >= 0]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]]) if len(ranks) else ranks
+            for r, part in zip(ranks[cuts].tolist(), np.split(places, cuts[1:]), strict=False):
+                if r in index:
+                    index[r].append(part)
+                else:
+                    index[r] = [part]
+                    heapq.heappush(queue, r)
+
+        note(np.arange(len(ids) - 1), self._rank_all(ids[:-1], ids[1:]), -1)
         while queue:
             r = heapq.heappop(queue)
-            for i in sorted(index.pop(r)):
-                j = nxt[i]
-                if ids[i] < 0 or j < 0 or rank(ids[i], ids[j]) != r:
-                    continue
-                ids[i], ids[j] = r, -1
-                after = nxt[i] = nxt[j]
-                if after >= 0:
-                    prv[after] = i
-                before = prv[i]
-                for a, b in ((before, i), (i, after)):
-                    if a >= 0 and b >= 0 and (new := rank(ids[a], ids[b])) >= 0:
-                        if new < r:
-                            alone.add(owner[i])
-                        places = index.get(new)
-                        if places is None:
-                            index[new] = [a]
-                            heapq.heappush(queue, new)
-                        else:
-                            places.append(a)
-        out = []
-        for k, w in enumerate(words):
-            if whole[k] is not None:
-                out.append([whole[k]])
-            elif k in alone:
-                out.append(self._alone(w))
-            else:
-                at, found = starts[k] if w else -1, []
-                while at >= 0:
-                    found.append(ids[at])
-                    at = nxt[at]
-                out.append(found)
+            parts = index.pop(r)
+            if sum(map(len, parts)) < FEW:
+                self._merge_few(r, sorted({i for p in parts for i in p.tolist()}), ids, nxt, prv, index, queue, odd)
+                continue
+            at = np.unique(np.concatenate(parts))
+            at = at[ids[at] >= 0]
+            at = at[self._rank_all(ids[at], ids[nxt[at]]) == r]
+            if not len(at):
+                continue
+            # Where places overlap, every other one of a run is taken, from the left.
+            chained = np.r_[False, at[1:] == nxt[at[:-1]]]
+            run = np.flatnonzero(~chained)
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+            gone = nxt[at]
+            after = nxt[gone]
+            between = self._rank_all(np.full(len(at), r, np.int32), ids[after])  # with what follows, before that merges itself
+            odd.append(at[(between >= 0) & (between < r)])
+            ids[at], ids[gone] = r, -1
+            nxt[at] = after
+            prv[after] = at
+            before = prv[at]
+            note(np.r_[before, at], np.r_[self._rank_all(ids[before], ids[at]), self._rank_all(ids[at], ids[after])], r)
+        places = np.concatenate(odd) if odd else np.zeros(0, np.int64)
+        alone = set((np.searchsorted(starts, places, side="right") - 1).tolist())
+        left = ids >= 0
+        flat = ids[left].tolist()
+        ends = np.cumsum(left)[starts + size - 1]
+        begin = 0
+        for n, (k, end) in enumerate(zip(rest, ends.tolist(), strict=True)):
+            out[k] = self._alone(words[k]) if n in alone else flat[begin:end]
+            begin = end
         return out
 
+    def _merge_few(self, r: int, at: list[int], ids, nxt, prv, index: dict, queue: list, odd: list) -> None:
+        """The same for few places, one by one from the left."""
+        rank = self._rank
+        for i in at:
+            j = int(nxt[i])
+            if ids[i] < 0 or rank(int(ids[i]), int(ids[j])) != r:
+                continue
+            after, before = int(nxt[j]), int(prv[i])
+            ids[i], ids[j], nxt[i], prv[after] = r, -1, after, i
+            for place, new in ((before, rank(int(ids[before]), r)), (i, rank(r, int(ids[after])))):
+                if new >= 0:
+                    here = np.array([place])
+                    if new < r:
+                        odd.append(here)
+                    if new in index:
+                        index[new].append(here)
+                    else:
+                        index[new] = [here]
+                        heapq.heappush(queue, new)
+
     def _alone(self, word: bytes) -> list[int]:
         ids = [self._single[b] for b in word]
         nxt, prv = [*range(1, len(ids)), -1], list(range(-1, len(ids) - 1))

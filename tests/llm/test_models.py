@@ -180,6 +180,19 @@ def test_ranks_out_of_order():
         assert bpe.MergeReplay(ranks).encode(words) == [ref.encode_ordinary(w.decode()) for w in words]
 
 
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_many_places_at_once(monkeypatch, few):
+    """Runs of places that overlap, by arrays and one by one."""
+    monkeypatch.setattr(bpe, "FEW", few)
+    rng = random.Random(few)
+    for _ in range(40):
+        more = {bytes(rng.choice(b"ab") for _ in range(rng.randrange(2, 6))) for _ in range(20)} | {b"aa", b"aaa", b"aaaa"}
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(rng.sample(sorted(more), len(more)))}
+        words = ["".join(rng.choice("aab") for _ in range(rng.randrange(1, 40))).encode() for _ in range(60)] + [b"a" * n for n in range(1, 40)]
+        ref = tiktoken.Encoding("t", pat_str=r"[abc]+", mergeable_ranks=ranks, special_tokens={})
+        assert bpe.MergeReplay(ranks).encode(words) == [ref.encode_ordinary(w.decode()) for w in words]
+
+
 def test_tokens_of_edge_cases(other, edge_rows, edge_docs, no_docs):
     ids = lambda t: np.array(other.encode_ordinary(t or ""), "<u4")
     sha = lambda b: hashlib.sha256(b).hexdigest()
