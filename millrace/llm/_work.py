@@ -5,8 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+_KEPT: dict[str, Callable[[], None]] = {}
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def keep_alone(name: str, clear: Callable[[], None]) -> None:
+    """Called in a worker by the operator that is about to fill its cache of words: those of the others go."""
+    _KEPT[name] = clear
+    for other, forget in _KEPT.items():
+        if other != name:
+            forget()
+
 
 def work_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one only where it is unset (tests)."""
@@ -17,11 +30,20 @@ def work_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: its lineage ends there."""
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: its lineage ends there.
+
+    batch_rows: the most rows in an Arrow batch meanwhile, where single rows can be large.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(BATCH, str(min(batch_rows, int(before))) if int(before) > 0 else str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out

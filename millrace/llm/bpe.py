@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_WORDS = 1 << 19
+from ._work import keep_alone
+
+MAX_WORDS = 1 << 18
 FEW = 24  # places, below which they are merged one by one
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 21
 _CODECS: dict[str, Codec] = {}
 
 
@@ -189,6 +191,7 @@ class Codec:
 
 def codec(rank_file: bytes, pattern: str) -> Codec:
     key = hashlib.sha256(rank_file + pattern.encode()).hexdigest()
+    keep_alone("bpe", _CODECS.clear)
     if key not in _CODECS:
         _CODECS[key] = Codec(rank_file, pattern)
     return _CODECS[key]

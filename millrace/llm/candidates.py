@@ -18,6 +18,7 @@ from ._work import discard, materialize
 from .components import components
 
 CHUNK = 2048
+ROWS = 200  # of two sets, sketches or lines, in an Arrow batch
 
 
 def _crossing(finder: Callable[[list[tuple]], Callable]):
@@ -61,8 +62,8 @@ def linked(pairs: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], Data
     features = [c for c in sets.columns if c not in ("name", "ref")]
     centers = sets.groupBy("name").agg(F.min("ref").alias("c"))
     star = sets.select("name", "ref").join(centers, "name").where("ref <> c").select(F.col("c").alias("a"), F.col("ref").alias("b")).distinct()
-    tested = materialize(pairs.union(screen(star)).distinct(), "tested")
-    links = materialize(verify(tested), "verified")
+    tested = materialize(pairs.union(screen(star)).distinct(), "tested", ROWS)
+    links = materialize(verify(tested), "verified", ROWS)
     labels = components(links)
     placed = sets.select("name", "ref").join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("name", "ref", F.coalesce("comp", "ref").alias("comp"))
     parts = placed.groupBy("name", "comp").agg(F.count("*").alias("n"))
@@ -71,10 +72,10 @@ def linked(pairs: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], Data
     chunk = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("ref"), F.col("chunks")).cast("int")))
     dealt = open_.withColumn("chunk", F.explode(chunk)).join(sets, ["name", "ref"]).select("name", "chunk", "ref", "comp", "outside", *features)
     crossing = dealt.repartition("name", "chunk").sortWithinPartitions("name", "chunk").mapInArrow(_crossing(finder), "a long, b long").distinct()
-    fresh = materialize(crossing.join(tested, ["a", "b"], "left_anti"), "crossing")
+    fresh = materialize(crossing.join(tested, ["a", "b"], "left_anti"), "crossing", ROWS)
     if fresh.isEmpty():
         discard(tested, fresh)
         return links, labels
-    more = materialize(links.union(verify(fresh)), "verified")
+    more = materialize(links.union(verify(fresh)), "verified", ROWS)
     discard(links, tested, fresh, labels)
     return more, components(more)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._work import keep_alone
 from .linear import svm
 
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance", "ru": "slavic", "pl": "slavic", "cs": "slavic", "uk": "slavic"}
@@ -175,6 +176,7 @@ def identify(docs: DataFrame, model: Model, *keep) -> DataFrame:
     """doc_id, the columns keep, lang_pred and score of every whole text. `und` and 0.0 for a text that is null or has no letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_alone("language", _SCORERS.clear)
         if model.key not in _SCORERS:
             _SCORERS[model.key] = Scorer(model)
         scorer = _SCORERS[model.key]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._work import discard, materialize, shuffle_partitions
-from .candidates import linked
+from .candidates import ROWS, linked
 from .ngram_join import mix
 
 U64 = np.uint64
@@ -300,7 +300,7 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("ref"), "n", "sim").distinct()
     wanted = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).union(sets.select("ref")).distinct()
     where = distinct.join(wanted, "ref").groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "ref")).alias("wanted"))
-    bodies = materialize(rows.join(where, "id").select("text", "wanted").mapInArrow(_texts, "ref long, body string").dropDuplicates(["ref"]), "bodies")
+    bodies = materialize(rows.join(where, "id").select("text", "wanted").mapInArrow(_texts, "ref long, body string").dropDuplicates(["ref"]), "bodies", ROWS)
 
     def verify(edges: DataFrame) -> DataFrame:
         left, right = bodies.select(F.col("ref").alias("a"), F.col("body").alias("x")), bodies.select(F.col("ref").alias("b"), F.col("body").alias("y"))

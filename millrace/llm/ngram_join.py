@@ -24,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import discard, materialize, shuffle_partitions
-from .candidates import linked
+from ._work import discard, keep_alone, materialize, shuffle_partitions
+from .candidates import ROWS, linked
 
 WORDS = 5
 SMALL_SET = 6
@@ -148,6 +148,7 @@ def _deal(buckets: int):
     """Documents to packed rows: kind 0 with ids, kind 1 with the block keys of a bucket, kind 3 with a large sketch (data; bucket: size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_alone("ngram", _HASHES.clear)
         seen: set[int] = set()
         docs, sets, keys, held, large = [], [], [], 0, []
 
@@ -406,13 +407,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def screen(edges: DataFrame) -> DataFrame:
         return edges.join(sketch("b"), "b").join(sketch("a"), "a").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_screened, "a long, b long")
 
-    pairs = materialize(screen(pairs), "pairs")
+    pairs = materialize(screen(pairs), "pairs", ROWS)
     sets = found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("ref")).distinct().join(large, "ref").select("name", "ref", "n", "sketch")
-    sets = materialize(sets.repartition("name").sortWithinPartitions("name").mapInArrow(_near_members, "name long, ref long, n long, sketch binary"), "sets")
+    sets = materialize(sets.repartition("name").sortWithinPartitions("name").mapInArrow(_near_members, "name long, ref long, n long, sketch binary"), "sets", ROWS)
 
     wanted = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).union(sets.select("ref")).distinct()
     first = members.join(wanted, "ref", "left_semi").groupBy("ref").agg(F.min("id").alias("id"))
-    items = materialize(rows.join(first, "id").select("ref", "text").mapInArrow(_sets, "ref long, items binary"), "items")
+    items = materialize(rows.join(first, "id").select("ref", "text").mapInArrow(_sets, "ref long, items binary"), "items", ROWS)
 
     def verify(edges: DataFrame) -> DataFrame:
         left, right = items.select(F.col("ref").alias("a"), F.col("items").alias("x")), items.select(F.col("ref").alias("b"), F.col("items").alias("y"))

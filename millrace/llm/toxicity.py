@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import discard, materialize
+from ._work import discard, keep_alone, materialize
 from .linear import logistic
 
 IDENTITY_TERMS = ("women", "men", "muslims", "muslim", "christians", "christian", "jews", "jewish", "hindus", "atheists", "gay", "lesbian", "straight", "transgender", "black", "white", "asian", "latino", "immigrants", "refugees", "disabled", "deaf", "blind", "old", "young", "frauen", "männer", "muslime", "christen", "juden", "femmes", "hommes", "musulmans", "chrétiens", "juifs", "mujeres", "hombres", "musulmanes", "cristianos", "judíos")
@@ -140,6 +140,7 @@ def score(docs: DataFrame, model: Model, *keep) -> DataFrame:
     """doc_id, the columns keep, score (0 to 1) and predicted (1 from 0.5 on) of every whole text; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_alone("toxicity", _SCORERS.clear)
         if model.key not in _SCORERS:
             _SCORERS[model.key] = Scorer(model)
         scorer = _SCORERS[model.key]
@@ -157,6 +158,7 @@ def filter_toxic(docs: DataFrame, model: Model) -> DataFrame:
     schema, names = docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_alone("toxicity", _SCORERS.clear)
         if model.key not in _SCORERS:
             _SCORERS[model.key] = Scorer(model)
         scorer, at = _SCORERS[model.key], names.index("text")
