@@ -2,7 +2,7 @@
 
 A logistic regression over the presence of words and word stems. Where a labelled text names a group
 of people, the name is swapped for that of every other group in the list, and the change of the score
-is penalised, so that the name alone cannot make a text toxic. The features are chosen by their
+by all features of the two names, stems included, is penalised, so that the name alone cannot make a text toxic. The features are chosen by their
 association with the labels; a bounded sample of labelled rows serves for both.
 """
 
@@ -67,20 +67,32 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _design(features: dict[str, int], identity: Sequence[str]):
+    """Of each text its features, the terms it names, and for each of these the features of any term that stay when this one goes."""
     terms = frozenset(identity)
+    movable = {f for t in terms for f in word_features(t)} & features.keys()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, named = [], []
+            rows, named, others = [], [], []
             for text in batch.column(1).to_pylist():
-                found = text_features(text)
-                rows.append(sorted(features[f] for f in found if f in features))
-                named.append(sorted(features[f] for f in found if f in terms))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32())), pa.array(named, pa.list_(pa.int32()))], names=["toxic", "found", "named"])
+                words = set(_LETTERS.findall(" ".join(text.lower().split())))
+                suppliers = {w: found for w in words if (found := movable.intersection(word_features(w)))}
+                rows.append(sorted(features[f] for f in text_features(text) if f in features))
+                own = sorted(words & terms, key=features.__getitem__)
+                named.append([features[t] for t in own])
+                others.append([sorted({features[f] for w, found in suppliers.items() if w != t for f in found}) for t in own])
+            columns = (pa.array(rows, pa.list_(pa.int32())), pa.array(named, pa.list_(pa.int32())), pa.array(others, pa.list_(pa.list_(pa.int32()))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["toxic", "found", "named", "others"])
 
     return run
 
 
+def swap(old: Sequence[int], new: Sequence[int], others: Sequence[int]) -> dict[int, int]:
+    """How a text's features change when a term with the features old gives way to one with the features new; others are those that the rest of the text has."""
+    gone, come = set(old).difference(others), set(new).difference(others)
+    return {**dict.fromkeys(sorted(gone - come), -1), **dict.fromkeys(sorted(come - gone), 1)}
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn, identity: Sequence[str] = IDENTITY_TERMS, per_class: int = 4000, n_features: int = 1024, fairness: float = 10.0, l2: float = 0.0002) -> Model:
     """Fit on at most per_class labelled rows of each class. Without rows of both classes the score is the share of toxic ones (0 without any)."""
     rows = materialize(sample(docs, labels, learn, per_class), "toxicity-sample")
@@ -99,21 +111,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn, identity: Sequence[str] = IDE
     names = [r.f for r in best if r.gain > 4]
     names += [t for t in identity if t not in set(names)]
     features = {f: i for i, f in enumerate(names)}
-    design = rows.select("toxic", "text").mapInArrow(_design(features, identity), "toxic int, found array<int>, named array<int>").orderBy("toxic", "found", "named").collect()
+    design = rows.select("toxic", "text").mapInArrow(_design(features, identity), "toxic int, found array<int>, named array<int>, others array<array<int>>").orderBy("toxic", "found", "named", "others").collect()
     discard(rows)
     x, y = np.zeros((len(design), len(features))), np.array([r.toxic for r in design], float)
-    moves, places = [], [features[t] for t in identity]
+    moves, terms = Counter(), {features[t]: [features[f] for f in word_features(t) if f in features] for t in identity}
     for i, r in enumerate(design):
         x[i, r.found] = 1
-        for t in r.named:
-            for other in places:
+        for t, others in zip(r.named, r.others, strict=True):
+            for other in terms:
                 if other not in r.named:
-                    move = Counter({other: 1, t: -1})
-                    moves.append(move)
-    d = np.zeros((min(len(moves), 20_000), len(features)))
-    for i, k in enumerate(np.linspace(0, len(moves) - 1, len(d)).astype(int) if moves else []):
-        for at, v in moves[k].items():
-            d[i, at] = v
+                    # The whole change, and that of the names without their stems, so that these cannot make up for one another.
+                    moves[tuple(swap(terms[t], terms[other], others).items())] += 1
+                    moves[(t, -1), (other, 1)] += 1
+    # Equal changes are one row, which weighs as much as they do.
+    d, total = np.zeros((len(moves), len(features))), sum(moves.values()) // 2
+    for i, (move, times) in enumerate(moves.items()):
+        for at, v in move:
+            d[i, at] = v * np.sqrt(times * len(moves) / total)
     w = logistic(x, y, d, l2, fairness)
     return Model(features, w, zlib.crc32(w.tobytes() + repr(names).encode()))
 

@@ -105,6 +105,18 @@ def test_a_group_mention_alone_is_not_toxic(spark, insulting):
     assert toxicity.Scorer(fair)(neutral) < min(0.5, toxicity.Scorer(plain)(neutral))
 
 
+def test_stems_of_a_group_are_not_toxic_either(spark):
+    """A swap changes the stems of a name as well, unless another word has them."""
+    assert toxicity.swap([0, 1, 2], [3, 1, 4], []) == {0: -1, 2: -1, 3: 1, 4: 1}
+    assert toxicity.swap([0, 1, 2], [3, 4], [2, 4]) == {0: -1, 1: -1, 3: 1}
+    rows, labels = toxic_rows(900, 6, identity="muslims")
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole = lambda m, name: sum(m.weights[m.features[f]] for f in toxicity.word_features(name) if f in m.features)
+    fair, plain = (toxicity.fit(docs, labels, lambda i: F.lit(True), fairness=f) for f in (10.0, 0.0))
+    assert whole(plain, "muslims") - whole(plain, "christians") > 1
+    assert abs(whole(fair, "muslims") - whole(fair, "christians")) < 0.2 * (whole(plain, "muslims") - whole(plain, "christians"))
+
+
 def test_stems_generalise(spark):
     rng = random.Random(8)
     rows, labels = [], []
