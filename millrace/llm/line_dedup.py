@@ -1,7 +1,7 @@
 """Removal of repeated and nearly repeated lines.
 
-A line is lower-cased, cut into words at ASCII white space, and its words lose ASCII punctuation and
-control characters; it has a SimHash of 64 bits over its words. Lines with hashes at most three bits apart agree in two of five blocks of the hash at least:
+A line is lower-cased, cut into words at Unicode white space, and its words are reduced to letters and
+digits; it has a SimHash of 64 bits over its words. Lines with hashes at most three bits apart agree in two of five blocks of the hash at least:
 each pair of blocks is a key of the join. Candidates are verified by edit similarity on the reduced
 lines; of a connected group the first occurrence stays, by doc_id and line number.
 """
@@ -26,8 +26,9 @@ U64 = np.uint64
 APART = 3
 SHIFTS, WIDTHS = (0, 13, 26, 39, 52), (13, 13, 13, 13, 12)
 SMALL_SET = 8
-_BLANK = re.compile(r"[\t\v\f\r ]+")
-_DROPPED = re.compile(r"[\x00-\x08\x0E-\x1F!-/:-@\[-`{-\x7F]+")
+_BLANK = re.compile(r"[\t\v\f\r\x1C-\x1F ]+")
+_DROPPED = re.compile(r"[\x00-\x08\x0E-\x1B!-/:-@\[-`{-\x7F]+")
+_WIDE = re.compile(r"[^\w\x00-\x7F]")
 _RNG = np.random.default_rng(1)
 _LETTERS = _RNG.integers(1, 1 << 63, 256, dtype=U64)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -38,9 +39,18 @@ _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(U64
 _POWERS = [np.ones(1, U64), np.ones(1, U64)]
 
 
+def narrowed(text: str) -> str:
+    """Lower case; beyond ASCII, white space is a space and what is no letter or digit is dropped."""
+    text = text.lower()
+    if not text.isascii():
+        for c in set(_WIDE.findall(text)):
+            text = text.replace(c, " " if c.isspace() else "")
+    return text
+
+
 def reduced(line: str) -> str:
-    """Lower case, words at white space, without ASCII punctuation, one space between two."""
-    return " ".join([w for w in (_DROPPED.sub("", x) for x in _BLANK.split(line.lower())) if w])
+    """Lower case, words at white space, of them letters and digits, one space between two."""
+    return " ".join([w for w in (_DROPPED.sub("", x) for x in _BLANK.split(narrowed(line))) if w])
 
 
 def _powers(n: int) -> list[np.ndarray]:
@@ -59,7 +69,7 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, ...]:
 
     The texts are one array of bytes. A word's hash is polynomial, taken from prefix sums over the array.
     """
-    b = np.frombuffer("\n".join(texts).lower().encode(), np.uint8)
+    b = np.frombuffer(narrowed("\n".join(texts)).encode(), np.uint8)
     kind = _CLASS[b]
     b, kind = b[kind > 0], kind[kind > 0]
     edge = np.diff((kind == 1).astype(np.int8), prepend=0, append=0)

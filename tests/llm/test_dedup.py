@@ -223,6 +223,20 @@ def test_fingerprints():
     assert int(line_dedup.fingerprints([" ".join(words)])[4][0]) & (2**64 - 1) == want
 
 
+def test_punctuation_and_blanks_beyond_ascii(spark):
+    same = ['He said "no" - it is late... 10 %', "he\u00a0said \u201cno\u201d \u2013 it is\u3000late\u2026 10\u202f%", "He\u2003said \u00abno\u00bb \u2014 it\u2028is\x1clate\u3002 10\u2009\u066a"]
+    assert {line_dedup.reduced(x) for x in same} == {"he said no it is late 10"}
+    assert len(set(line_dedup.fingerprints(same)[2].tolist())) == 1
+    found = line_dedup.dedup_report(spark.createDataFrame(list(enumerate(same)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.dropped for r in found} == {0: [], 1: [0], 2: [0]}
+    rng = random.Random(3)
+    stock = [chr(c) for c in (*range(10), *range(11, 0x370), *range(0x2000, 0x2070), *range(0x3000, 0x3040))]
+    for _ in range(500):
+        line = "".join(rng.choice(stock) for _ in range(60))
+        want = " ".join(w for w in ("".join(c for c in x if c.isalnum()) for x in line.lower().split()) if w)
+        assert line_dedup.reduced(line) == want and line_dedup.fingerprints([line])[3].tolist() == [len(want)] * bool(want)
+
+
 def test_words_bound_the_edits():
     rng = random.Random(13)
     for _ in range(400):
