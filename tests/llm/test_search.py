@@ -49,6 +49,38 @@ def test_vectors(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_no_vector_is_left_out(spark):
+    """Many lengths, and values whose squares are no finite or normal number; equal vectors, also of one vec_id."""
+    rng = np.random.default_rng(8)
+    rows = [(2 * d + k, [float(x) for x in v], 1) for d in range(1, 81) for v in [rng.normal(size=d)] for k in (0, 1)]
+    rows += [(k, v, 2) for k, v in enumerate(([1e-200, 2e-200], [1e-200, 2e-200], [1e200, 2e200], [5e-324, 1e-323], [-1e200, 0.0], [-1e200, -0.0]), 1000)]
+    df = spark.createDataFrame([*rows, rows[0], (2, [9.0], 1), (None, [1.0] * 3, 3), (None, [1.0] * 3, 3), (7000, [0.0], 5), (7001, [0.0], 5), (7001, [None], 5)], "vec_id long, embedding array<double>, label int")
+    out = embedding_dedup.near_vectors(df).collect()
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in out)
+    want = Counter((2 * d + k, 1, 2 * d) for d in range(2, 81) for k in (0, 1))
+    one = [v for _, v, _ in rows[:2]] + [[9.0]]
+    for i, v in zip((2, 3, 2), one, strict=True):
+        near = sum(x[0] * v[0] > 0 for x in one) - 1
+        want[i, near, 2 if near or i == 2 else 3] += 1
+    want += Counter([(1000, 3, 1000), (1001, 3, 1000), (1002, 3, 1000), (1003, 3, 1000), (1004, 1, 1004), (1005, 1, 1004), (None, 0, None), (7000, 0, 7000), (7001, 0, 7001), (7001, 0, 7001)])
+    assert got == want
+
+
+def test_copies_are_one_class(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=24)
+    rows = [(k, [float(x) for x in base], 0) for k in range(60)] + [(100 + k, [float(x) for x in base + rng.normal(size=24) * 0.02], 0) for k in range(5) for _ in range(3)]
+    rows += [(200 + k, rows[-1][1], 0) for k in range(7)]
+    got = Counter(tuple(r) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == vectors_brute([r for k, r in enumerate(rows) if r not in rows[:k]])
+
+
+def test_pivots_go_with_the_rows():
+    assert [embedding_dedup.pivot_count(n) for n in (0, 10**6, 2 * 10**6, 10**9)] == [128, 128, 256, 2048]
+    made = embedding_dedup.Pivots({3: np.eye(3)}, 8)
+    assert made[3].shape == (8, 3) and made[5].shape == (8, 5) and (made[3] == embedding_dedup.Pivots({3: np.eye(3)}, 8)[3]).all()
+
+
 def test_a_large_family_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(6)
