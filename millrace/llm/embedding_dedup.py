@@ -30,6 +30,7 @@ from .components import components
 
 PIVOTS, NEAREST, SHARED = 128, 6, 3
 BLOCK = 1024
+SHORT = 16  # vectors of a list that are tried pair by pair
 SAMPLE = 4096
 
 
@@ -80,9 +81,9 @@ class Pivots:
 
 
 def pivot_count(vectors: int) -> int:
-    """A power of two of which the third power is twice the vectors of the largest label, 128 at least."""
+    """A power of two of which the third power is 200 times the vectors of the largest label at least, and not below 128."""
     count = PIVOTS
-    while count**3 < 2 * vectors:
+    while count**3 < 200 * vectors:
         count *= 2
     return count
 
@@ -128,75 +129,105 @@ def _describe(pivots: Pivots):
     return run
 
 
-def _before(near: np.ndarray, combo: list[int]) -> np.ndarray:
-    """Of every vector its pivots that come before the last of the combination and are not in it; -1 for none."""
-    kept = np.where((near < combo[-1]) & ~np.isin(near, combo), near, -1)
+def _before(near: np.ndarray, combo: np.ndarray) -> np.ndarray:
+    """Of every vector its pivots that come before the last of its combination and are not in it; -1 for none. near: a row of pivots a vector; combo: the same of one combination."""
+    kept = np.where((near < combo[:, -1:]) & (near[:, :, None] != combo[:, None, :]).all(2), near, -1)
     return np.sort(kept, axis=1)[:, -(NEAREST - SHARED) :]
 
 
-def _links(rows: list[tuple], threshold: float, count: int) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Of a list's classes the vectors linked to each by the links that belong to this list, and enough links to join all that it links. rows: uid, side, combo, vectors, unit, near."""
-    uid = np.array([r[0] for r in rows], np.int64)
-    side = np.array([r[1] for r in rows])
-    weight = np.array([r[3] for r in rows], np.int64)
-    x = np.frombuffer(b"".join(r[4] for r in rows), np.float64).reshape(len(rows), -1)
-    combo = [rows[0][2] // count**2, rows[0][2] // count % count, rows[0][2] % count]
-    other = _before(np.frombuffer(b"".join(r[5] for r in rows), np.int32).reshape(-1, NEAREST), combo)
+def _smallest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs whose other pivots are x and y, whether they share none: no smaller combination is common to them."""
+    return ~((x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]).any((1, 2))
+
+
+def _parts(combo: np.ndarray, count: int) -> np.ndarray:
+    return np.stack([combo // count**2, combo // count % count, combo % count], 1)
+
+
+_FOUND = pa.schema({"kind": pa.int32(), "a": pa.int64(), "b": pa.int64()})
+
+
+def _found(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], schema=_FOUND)
+
+
+def _short_lists(uid, weight, unit: list[bytes], near, combo, starts, sizes, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links of lists that are tried pair by pair, all at once."""
+    lists = [starts[:0, None] + np.zeros((1, 2), np.int64)]
+    for g in np.unique(sizes).tolist():
+        i, j = np.triu_indices(g, 1)
+        lists.append((starts[sizes == g][:, None, None] + np.stack([i, j], 1)).reshape(-1, 2))
+    a, b = np.concatenate(lists).T
+    width = np.array([len(u) // 8 for u in unit])
+    for d in np.unique(width[a]).tolist():
+        rows, place = np.flatnonzero(width == d), np.zeros(len(width), np.int64)
+        place[rows] = np.arange(len(rows))
+        x = np.frombuffer(b"".join(unit[i] for i in rows), np.float64).reshape(len(rows), d)
+        own = np.flatnonzero(width[a] == d)
+        step = max(1, (1 << 20) // d)
+        for at in range(0, len(own), step):
+            p, q = a[own[at : at + step]], b[own[at : at + step]]
+            keep = (np.einsum("ij,ij->i", x[place[p]], x[place[q]]) >= threshold) & (uid[p] != uid[q])
+            p, q = p[keep], q[keep]
+            keep = _smallest(_before(near[p], combo[p]), _before(near[q], combo[q]))
+            p, q = p[keep], q[keep]
+            yield _found(0, np.r_[uid[p], uid[q]], np.r_[weight[q], weight[p]])
+            yield _found(1, uid[p], uid[q])
+
+
+def _long_list(uid, side, weight, x: np.ndarray, near, combo, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Of one list, or a pair of its blocks: to each vector the number of vectors by links that belong to this list, and enough of these links to join all that they link."""
+    other = _before(near, combo)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    linked = np.clip(x[left] @ x[right].T, -1, 1) >= threshold
-    linked &= uid[left][:, None] != uid[right][None, :]
-    counted = linked.copy()
-    for p in range(other.shape[1]):  # pairs with a smaller common combination are counted there
-        for q in range(other.shape[1]):
-            a, b = other[left, p], other[right, q]
-            counted &= (a[:, None] != b[None, :]) | (a < 0)[:, None]
-    counts: dict[int, int] = {}
+    linked = (np.clip(x[left] @ x[right].T, -1, 1) >= threshold) & (uid[left][:, None] != uid[right][None, :])
+    i, j = np.nonzero(linked)
+    for at in range(0, len(i), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        linked[i[part], j[part]] = _smallest(other[left[i[part]]], other[right[j[part]]])
     same = side[0] == 2
-    for at, n in [(left, counted @ weight[right]), *([] if same else [(right, weight[left] @ counted)])]:
-        for i in np.flatnonzero(n):
-            counts[int(uid[at[i]])] = counts.get(int(uid[at[i]]), 0) + int(n[i])
-    edges = []
-    fresh_left, fresh_right = np.ones(len(left), bool), np.ones(len(right), bool)
-    for first in range(len(left)):
-        if not fresh_left[first]:
-            continue
-        fresh_left[first] = False
-        todo = [(0, first)]
-        while todo:
-            kind, v = todo.pop()
-            near = linked[v] & fresh_right if kind == 0 else linked[:, v] & fresh_left
-            found = np.flatnonzero(near)
-            if kind == 0:
-                fresh_right[found] = False
-            else:
-                fresh_left[found] = False
-            a = uid[left[v]] if kind == 0 else uid[right[v]]
-            at = right if kind == 0 else left
-            edges += [(int(a), int(uid[at[j]])) for j in found if uid[at[j]] != a]
-            todo += [(1 - kind, int(j)) for j in found]
-            if same:  # both sides are the same vectors
-                todo += [(kind, int(j)) for j in found if (fresh_left if kind == 0 else fresh_right)[j]]
-                (fresh_left if kind == 0 else fresh_right)[found] = False
-    return counts, edges
+    for at, n in [(left, linked @ weight[right]), *([] if same else [(right, weight[left] @ linked)])]:
+        yield _found(0, uid[at[n > 0]], n[n > 0])
+    if same:  # both sides are the same vectors
+        linked = np.triu(linked)
+    name, edges = np.arange(len(uid)), []
+    for k in np.flatnonzero(linked.any(1)).tolist():
+        met = right[linked[k]]
+        names, first = np.unique(name[met], return_index=True)
+        fresh = names != name[left[k]]
+        if fresh.any():
+            edges += [(left[k], met[f]) for f in first[fresh]]
+            name[np.isin(name, names[fresh])] = name[left[k]]
+    if edges:
+        p, q = np.array(edges).T
+        yield _found(1, uid[p], uid[q])
 
 
 def _verified(threshold: float, count: int):
+    """Rows (key, i, j, uid, side, combo, rows, unit, near), sorted by list and blocks, to the vectors that each is linked to (kind 0) and links (kind 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1:
-                counts, edges = _links(rows, threshold, count)
-                out = [(0, u, n) for u, n in counts.items()] + [(1, a, b) for a, b in edges]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["kind", "a", "b"])
-
-        at, rows = None, []
+            key = np.array([r[:3] for r in rows], np.int64)
+            uid, side, combo, weight = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
+            unit, near = [r[7] for r in rows], np.frombuffer(b"".join([r[8] for r in rows]), np.int32).reshape(-1, NEAREST)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1) | (combo[1:] != combo[:-1])])
+            sizes, combo = np.diff(np.r_[starts, len(rows)]), _parts(combo, count)
+            short = (sizes <= SHORT) & (side[starts] == 2)
+            yield from _short_lists(uid, weight, unit, near, combo, starts[short], sizes[short], threshold)
+            for at, n in zip(starts[~short].tolist(), sizes[~short].tolist(), strict=True):
+                part = slice(at, at + n)
+                x = np.frombuffer(b"".join(unit[part]), np.float64).reshape(n, -1)
+                yield from _long_list(uid[part], side[part], weight[part], x, near[part], combo[part], threshold)
+
+        rows: list[tuple] = []
         for batch in batches:
-            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j, row[2]) != at:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(rows) >= BLOCK and row[:3] + row[5:6] != rows[-1][:3] + rows[-1][5:6]:
                     yield from done(rows)
-                    at, rows = (key, i, j, row[2]), []
-                rows.append(tuple(row))
-        yield from done(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from done(rows)
 
     return run
 

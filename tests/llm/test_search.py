@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import embedding_dedup, registry, url_filter
+from millrace.llm import embedding_dedup, mixing, registry, toxicity, url_filter
 
 from .test_dedup import joined, near_brute, normal
 
@@ -76,7 +76,7 @@ def test_copies_are_one_class(spark):
 
 
 def test_pivots_go_with_the_rows():
-    assert [embedding_dedup.pivot_count(n) for n in (0, 10**6, 2 * 10**6, 10**9)] == [128, 128, 256, 2048]
+    assert [embedding_dedup.pivot_count(n) for n in (0, 10**4, 10**5, 10**9)] == [128, 128, 512, 8192]
     made = embedding_dedup.Pivots({3: np.eye(3)}, 8)
     assert made[3].shape == (8, 3) and made[5].shape == (8, 5) and (made[3] == embedding_dedup.Pivots({3: np.eye(3)}, 8)[3]).all()
 
@@ -96,11 +96,13 @@ def test_a_large_family_is_cut_into_blocks(spark, monkeypatch):
 ENTRIES = [
     (1, 10, "Bad.example", "block", "spam"), (2, 20, "bad.example", "drop", "spam"), (3, 30, "bad.example", "block", "adult"), (4, 10, "ok.bad.example", "allow", "none"), (5, 12, "x.example/ads", "block", "ads"),
     (6, 40, "same.day", "block", "a"), (7, 40, "same.day", "allow", "b"), (8, None, "never", "block", "c"), (9, 1, None, "block", "c"), (9, 1, "nothing", None, "c"),
+    (10, 1, "[2001:db8::1]", "block", "c"), (11, 1, "0.0.1", "block", "c"), (12, 1, "9.0.0.1", "block", "c"), (13, 1, "0.0.1.example", "block", "c"), (14, 1, "[2001", "block", "c"), (15, 1, "[:", "block", "c"),
 ]
 CAPTURES = [
     (1, "http://bad.example/", 9, None), (2, "http://bad.example/x", 10, "bad.example"), (3, "https://u@a.BAD.example.:80/x", 19, "bad.example"), (4, "http://bad.example", 20, None), (5, "http://bad.example", 30, "bad.example"),
     (6, "http://ok.bad.example", 35, "ok.bad.example"), (7, "http://x.example/ads/1", 12, "x.example/ads"), (8, "http://x.example/adsy", 12, None), (9, "http://same.day", 40, "same.day"), (10, None, 40, None), (11, "no url", 40, None), (12, "http://bad.example", None, None),
     (None, "http://bad.example", 10, "bad.example"), (2, "http://bad.example/x", 10, "bad.example"),
+    (13, "http://[2001:DB8::1]:80/a", 10, "[2001:db8::1]"), (14, "http://[2001:db8::2]/a", 10, None), (15, "http://10.0.0.1/", 10, None), (16, "http://u@9.0.0.1:8/", 10, "9.0.0.1"), (17, "http://10.0.0.1.example/", 10, "0.0.1.example"), (18, "http://[::1", 10, None),
 ]
 
 
@@ -109,12 +111,25 @@ def test_urls_by_example(spark):
     captures = spark.createDataFrame([c[:3] for c in CAPTURES], "id long, url string, day int").withColumn("since", F.lit(1)).withColumn("pattern", F.lit("clash"))
     out = url_filter.judge(captures, entries)
     assert Counter((r.id, r.rule) for r in out.collect()) == Counter((c[0], c[3]) for c in CAPTURES)
-    assert {r.id for r in out.where("blocked").collect()} == {None, 2, 3, 5, 7}
+    assert {r.id for r in out.where("blocked").collect()} == {None, 2, 3, 5, 7, 13, 16, 17}
     assert out.where("id = 9").first().category == "b"
     assert url_filter.judge(captures.limit(0), entries).count() == 0
     assert url_filter.judge(captures, entries.limit(0)).where("rule is not null").count() == 0
 
 
+def test_hosts_equal_sql(spark, tmp_path):
+    """Addresses, userinfo, ports and nulls, by the query and by its SQL."""
+    urls = ["http://10.0.0.1/a/b", "http://10.0.0.1:80/", "http://[2001:DB8::1]/a", "https://u:p@[::ffff:1.2.3.4]:8080/x", "http://10.0.0.1.example./q", "ftp://sub.a.example", None, "none", "http://[::1", "http:///x", "http://one/", "http://1.2.3/"]
+    rows = [(k, urls[k % len(urls)], "") for k in range(20 * len(urls))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as from '{tmp_path}/pages.parquet/*.parquet'")
+    got = [tuple(r) for r in url_filter.op9_url_filter(spark, str(tmp_path)).collect()]
+    assert Counter(got) == Counter(con.sql(registry.oracle_sql()["op9_url_filter"]).fetchall())
+    hosts = {r[1] for r in got}
+    assert {"10.0.0.1", "[2001:db8::1]", "[::ffff:1.2.3.4]", "10.0.0.1.example", "1.2.3", None} <= hosts and not any(r[4] in ("0.1", "0.0.1") for r in got)
+
+
 @here
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, name):
@@ -137,16 +152,25 @@ def test_one_row_each(spark, name):
 
 def test_stages(spark, edge_rows, edge_docs, tmp_path):
     """Every stage on the edge cases: what it keeps, its columns, and none of its columns clash."""
-    spark.createDataFrame([(20, 1), (30, 0), (None, 1), (40, None)], "doc_id long, toxic int").withColumn("quality", F.lit(0)).write.parquet(f"{tmp_path}/labels.parquet")
-    docs = edge_docs
+    marked = [(i, int(i // 10 % 4 == 2)) for i, *_ in edge_rows if i is not None and i >= 20]
+    spark.createDataFrame([*marked, (None, 1), (4, None)], "doc_id long, toxic int").withColumn("quality", F.lit(0)).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = edge_docs.withColumn("text", F.when((F.col("doc_id") >= 20) & (F.floor(F.col("doc_id") / 10) % 4 == 2), F.concat("text", F.lit(" vile scum"))).otherwise(F.col("text")))
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        path = f"{tmp_path}/{k}"
+        path, given = f"{tmp_path}/{k}", docs
         before = [(r.doc_id, r.text, None) for r in docs.select("doc_id", "text").collect()]
         stage(spark, docs, str(tmp_path)).write.parquet(path)
         docs = spark.read.parquet(path)
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == edge_docs.columns
         after = Counter(r.doc_id for r in docs.collect())
+        if name == "toxicity":
+            model = toxicity.fit(given, spark.read.parquet(f"{tmp_path}/labels.parquet"), lambda i: toxicity.learned(i, 5))
+            assert after == Counter(i for i, t, _ in before if toxicity.Scorer(model)(t or "") < 0.5) and 0 < after.total() < len(before)
+        if name == "mixing":
+            want = Counter()
+            for r in mixing.mix(given).collect():
+                want[r.doc_id] += r.copies
+            assert after == +want
         if name == "exact dedup":
             assert sum(after.values()) == len({normal(t) for _, t, _ in before})
         if name == "near dedup":
