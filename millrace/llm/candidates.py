@@ -2,8 +2,11 @@
 
 All members of a set are first compared with one of them, its center. Where that leaves a set in more
 than one component, only the members outside its main component are compared with the rest, and only
-pairs whose sketches allow a link are taken up. A large set is dealt to several tasks: each gets all
-members outside the main component and a part of those inside.
+pairs whose sketches allow a link are taken up, the likeliest first: what these have joined needs no
+others. A set too large for one task is first cut by finer
+keys, of which members that can link share one: members that only a common passage has brought together
+share few of them. Of a list that is large even so every task gets a part, and the members outside the
+main component to compare with it.
 """
 
 from __future__ import annotations
@@ -18,24 +21,30 @@ from ._work import discard, materialize
 from .components import components
 
 CHUNK = 2048
+LARGE = 2 * CHUNK  # members from which a set is cut by finer keys
+TRIES = (8,)  # partners of a member that are tried before the others
 ROWS = 200  # of two sets, sketches or lines, in an Arrow batch
 
 
-def _crossing(finder: Callable[[list[tuple]], Callable]):
-    """Rows (name, chunk, ref, comp, outside, features...), sorted by set and chunk, to pairs of refs in different components that the finder holds possible.
+def _crossing(finder: Callable[[list[tuple]], Callable], most: int | None):
+    """Rows (name, chunk, ref, comp, outside, home, features...), sorted by set and chunk, to pairs of refs in different components that the finder holds possible.
 
-    finder: from the features of all rows to a function from a row's number to those of its possible partners.
+    A task compares the members outside the main component with those that are at home in its chunk.
+    finder: from the features of the latter to a function from those of any member to the numbers of its
+    possible partners, the likeliest first. most: so many partners of a member are taken, or all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            partners, a, b = finder([r[3:] for r in rows]), [], []
-            for i, (ref, comp, outside, *_) in enumerate(rows):
+        def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            home, a, b = [r for r in rows if r[3]], [], []
+            if not home:
+                return
+            partners = finder([r[4:] for r in home])
+            for ref, comp, outside, _, *features in rows:
                 if outside:
-                    for j in partners(i):
-                        if rows[j][1] != comp and (not rows[j][2] or (key[1] == 0 and ref < rows[j][0])):
-                            a.append(min(ref, rows[j][0]))
-                            b.append(max(ref, rows[j][0]))
+                    tried = [home[j][0] for j in partners(*features).tolist() if home[j][1] != comp][:most]
+                    a += [min(ref, other) for other in tried]
+                    b += [max(ref, other) for other in tried]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -44,38 +53,61 @@ def _crossing(finder: Callable[[list[tuple]], Callable]):
             for name, chunk, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (name, chunk) != at:
                     if len(rows) > 1:
-                        yield from done(at, rows)
+                        yield from done(rows)
                     at, rows = (name, chunk), []
                 rows.append(tuple(row))
         if len(rows) > 1:
-            yield from done(at, rows)
+            yield from done(rows)
 
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], finder) -> tuple[DataFrame, DataFrame]:
+def _open(placed: DataFrame) -> DataFrame:
+    """Of lists (name, ref, comp) in more than one component: their size, and outside, which members are not in the main one."""
+    parts = placed.groupBy("name", "comp").agg(F.count("*").alias("n"))
+    main = parts.groupBy("name").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    return placed.join(main, "name").select("name", "ref", "comp", "size", (F.col("comp") != F.col("main")).alias("outside"))
+
+
+def linked(pairs: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], finder, finer) -> tuple[DataFrame, DataFrame]:
     """Verified links enough to join what is linked, and the components they make.
 
-    pairs: a, b. sets: name, ref and features, a row for each member. screen and verify: from a table
-    of pairs to those that can be linked, and to those that are. finder: see _crossing.
+    pairs: a, b. sets: name, ref and features, a row for each member. screen: from pairs (a, b, and the
+    features of both by name_a and name_b) to those that can be linked. verify: from pairs to those that are. finder: see _crossing. finer: from a
+    table of refs to (ref, key), keys of which refs that can be linked share one.
     """
     features = [c for c in sets.columns if c not in ("name", "ref")]
-    centers = sets.groupBy("name").agg(F.min("ref").alias("c"))
-    star = sets.select("name", "ref").join(centers, "name").where("ref <> c").select(F.col("c").alias("a"), F.col("ref").alias("b")).distinct()
+    centers = sets.groupBy("name").agg(F.min("ref").alias("ref")).join(sets, ["name", "ref"])
+    centers = centers.select("name", F.col("ref").alias("a"), *[F.col(c).alias(f"{c}_a") for c in features])
+    star = sets.join(centers, "name").where("ref <> a").select("a", F.col("ref").alias("b"), *[F.col(c).alias(f"{c}_b") for c in features], *[f"{c}_a" for c in features])
     tested = materialize(pairs.union(screen(star)).distinct(), "tested", ROWS)
     links = materialize(verify(tested), "verified", ROWS)
     labels = components(links)
-    placed = sets.select("name", "ref").join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("name", "ref", F.coalesce("comp", "ref").alias("comp"))
-    parts = placed.groupBy("name", "comp").agg(F.count("*").alias("n"))
-    main = parts.groupBy("name").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = placed.join(main, "name").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("outside", F.col("comp") != F.col("main"))
-    chunk = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("ref"), F.col("chunks")).cast("int")))
-    dealt = open_.withColumn("chunk", F.explode(chunk)).join(sets, ["name", "ref"]).select("name", "chunk", "ref", "comp", "outside", *features)
-    crossing = dealt.repartition("name", "chunk").sortWithinPartitions("name", "chunk").mapInArrow(_crossing(finder), "a long, b long").distinct()
-    fresh = materialize(crossing.join(tested, ["a", "b"], "left_anti"), "crossing", ROWS)
-    if fresh.isEmpty():
-        discard(tested, fresh)
-        return links, labels
-    more = materialize(links.union(verify(fresh)), "verified", ROWS)
-    discard(links, tested, fresh, labels)
-    return more, components(more)
+    slim = sets.select("ref", *features).dropDuplicates(["ref"])
+    # The likeliest partners first: most lists are one component then. The last round leaves nothing out.
+    for most in (*TRIES, None):
+        placed = sets.select("name", "ref").join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("name", "ref", F.coalesce("comp", "ref").alias("comp"))
+        open_ = materialize(_open(placed), "open")
+        before, large = [open_], open_.where(F.col("size") > LARGE)
+        if not large.isEmpty():
+            keys = large.select("name", "ref", "comp").join(finer(large.select("ref")), "ref")
+            cut = materialize(_open(keys.select(F.xxhash64("name", "key").alias("name"), "ref", "comp").distinct()), "cut")
+            open_, before = open_.where(F.col("size") <= LARGE).unionByName(cut), [open_, cut]
+        open_ = open_.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+        own = F.pmod(F.xxhash64("ref"), F.col("chunks")).cast("int")
+        chunk = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
+        dealt = open_.withColumn("own", own).withColumn("chunk", F.explode(chunk)).withColumn("home", F.col("chunk") == F.col("own"))
+        dealt = dealt.join(slim, "ref").select("name", "chunk", "ref", "comp", "outside", "home", *features)
+        crossing = dealt.repartition("name", "chunk").sortWithinPartitions("name", "chunk").mapInArrow(_crossing(finder, most), "a long, b long").distinct()
+        fresh = materialize(crossing.join(tested, ["a", "b"], "left_anti"), "crossing", ROWS)
+        discard(*before)
+        if not fresh.isEmpty():
+            more = materialize(links.union(verify(fresh)), "verified", ROWS)
+            discard(links, labels)
+            links, labels = more, components(more)
+            if most is not None:
+                tested, old = materialize(tested.union(fresh), "tested"), tested
+                discard(old)
+        discard(fresh)
+    discard(tested)
+    return links, labels

@@ -3,8 +3,10 @@
 A text is the set of its distinct five-word shingles. Every shingle flips one bit of a sketch, so two
 sketches differ in at most as many places as the sets do; two sets of sizes a and b with similarity
 0.75 or more differ in D = (a + b) / 7 shingles at most. The sketch is cut into more than D blocks
-(their number belongs to a band of D), of which at least one that is not empty must be equal: blocks
-are the keys of the join. A block is that wide that it is kept as the XOR of its shingles' hashes. A
+(their number belongs to a band of D), so at least one is equal, and the blocks that are not empty are
+the keys of the join. A block is that wide that it is kept as the XOR of its shingles' hashes. If a set
+fills no more than D blocks, the equal ones can all be empty; it is cut once more into twice as many,
+and so is any partner that it has not been found with, for which the same holds. A
 second sketch of 128 bits is compared whole and discards most pairs of unlike texts at once. Larger
 sketches, with places in proportion to the set, screen what is left, which is verified on the sets.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -74,31 +77,34 @@ def shingles(text: bytes) -> np.ndarray:
 @cache
 def bands() -> tuple[list[int], list[int]]:
     """Of each band: blocks, and the largest D it serves."""
-    blocks, most = [2], [1]
+    blocks, most = [4], [1]
     while most[-1] < 1 << 40:
         blocks.append(max(blocks[-1] + 1, int(blocks[-1] * 2**0.5)))
-        most.append(max(most[-1] + 1, int((blocks[-1] - 1) / 1.08)))
+        most.append(max(most[-1] + 1, int((blocks[-1] - 1) / (1.08 + 4 / blocks[-1]))))
     return blocks, most
 
 
-def _keys(s: np.ndarray) -> np.ndarray:
-    """Block keys of a set, for every band that a partner of any size can put a pair in."""
+def _keys(s: np.ndarray, first_cut: int = 0) -> np.ndarray:
+    """Block keys of a set, for every band that a partner of any size can put a pair in. first_cut: cuts from another number on find the same pairs by other blocks."""
     n = len(s)
     low, high = max(1, (n + -(-3 * n // 4)) // 7), (n + 4 * n // 3) // 7
     if high < 1:
         return np.zeros(0, U64)  # only equal sets are near
     blocks, most = bands()
     first, last = int(np.searchsorted(most, low)), int(np.searchsorted(most, high))
-    flips, out = mix(s ^ _C[0]), []
+    cuts, out = [], []
     with np.errstate(over="ignore"):
         for j in range(first, last + 1):
-            at = ((s >> U64(32)) * U64(blocks[j])) >> U64(32)
-            starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            values, at = np.bitwise_xor.reduceat(flips, starts), at[starts]
-            if len(at) <= min(high, most[j]):  # too few blocks are used: equal empty ones count as well
-                free = np.setdiff1d(np.arange(blocks[j], dtype=U64), at, assume_unique=True)
-                values, at = np.r_[values, np.zeros(len(free), U64)], np.r_[at, free]
-            out.append(mix(values ^ mix(at * _C[1] + U64(j) * _C[2])))
+            for cut in count(first_cut):
+                if cut - first_cut == len(cuts):
+                    order = s if cut == 0 else np.sort(mix(s + U64(cut) * _C[3]))
+                    cuts.append((order >> U64(32), mix(order ^ _C[0])))
+                place, flips = cuts[cut - first_cut]
+                at = (place * U64(blocks[j] << (cut - first_cut))) >> U64(32)
+                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                out.append(mix(np.bitwise_xor.reduceat(flips, starts) ^ mix(at[starts] * _C[1] + U64(j) * _C[2] + U64(cut) * _C[4])))
+                if len(starts) > min(high, most[j]):
+                    break  # else all blocks that it shares with a partner can be empty
     return np.concatenate(out)
 
 
@@ -164,9 +170,9 @@ def _deal(buckets: int):
                 ref, n, s0, s1 = (np.array(c, k) for c, k in zip(zip(*sets, strict=True), _KEYS[:4], strict=True))
                 for b in range(buckets):
                     part = slice(ends[b], ends[b + 1])
-                    who, count = np.unique(owner[part], return_counts=True)
+                    who, times = np.unique(owner[part], return_counts=True)
                     if len(who):
-                        rows.append((1, b, _pack(ref[who], n[who], s0[who], s1[who], count.astype(np.int32), (key[part] & U64(0xFFFFFFFF)).astype(np.uint32), (key[part] >> U64(56)).astype(np.uint8))))
+                        rows.append((1, b, _pack(ref[who], n[who], s0[who], s1[who], times.astype(np.int32), (key[part] & U64(0xFFFFFFFF)).astype(np.uint32), (key[part] >> U64(56)).astype(np.uint8))))
             rows = [(k, b, 0, 0, data) for k, b, data in rows] + [(3, r % buckets, r, n, data) for r, n, data in large]
             columns = zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["kind", "bucket", "ref", "n", "data"])
@@ -205,10 +211,10 @@ def _possible(n: np.ndarray, s0: np.ndarray, s1: np.ndarray, a, b) -> np.ndarray
 def _match(parts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], tuple]:
     """Candidates of one bucket: pairs (2, m), sets of more members; both index the tables of sets (set, size, sketch)."""
     columns = list(zip(*(_unpack(p, _KEYS) for p in parts), strict=True))
-    ref, n, s0, s1, count, low, high = (np.concatenate(c) for c in columns)
+    ref, n, s0, s1, times, low, high = (np.concatenate(c) for c in columns)
     ref, first, dense = np.unique(ref, return_index=True, return_inverse=True)
     n, s0, s1 = n[first], s0[first], s1[first]
-    key, who = (high.astype(U64) << U64(32)) | low, np.repeat(dense, count)
+    key, who = (high.astype(U64) << U64(32)) | low, np.repeat(dense, times)
     order = np.lexsort((who, key))
     key, who = key[order], who[order]
     fresh = np.r_[True, (key[1:] != key[:-1]) | (who[1:] != who[:-1])]
@@ -311,7 +317,7 @@ def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _partners(features: list[tuple]):
-    """From (size, large sketch) of the members of a set to a function from one's number to those of the members that can be near to it."""
+    """From (size, large sketch) of the members of a set to a function from those of any member to the numbers of the members that can be near to it, the most alike first."""
     n = np.array([f[0] for f in features])
     by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     words = np.array([len(f[1]) // 8 for f in features])
@@ -320,9 +326,9 @@ def _partners(features: list[tuple]):
         by_size[int(w)] = who, np.stack([np.frombuffer(features[i][1], U64) for i in who])
     halves = {w: bits[:, : w // 2] ^ bits[:, w // 2 :] for w, (_, bits) in by_size.items() if w > 1}
 
-    def partners(i: int) -> np.ndarray:
-        own = np.frombuffer(features[i][1], U64)
-        found = []
+    def partners(size: int, sketch: bytes) -> np.ndarray:
+        own = np.frombuffer(sketch, U64)
+        found, apart = [np.zeros(0, np.int64)], [np.zeros(0)]
         for w, (who, bits) in by_size.items():  # partners have sketches of the same size, or of the next
             if w == len(own):
                 differ = bits ^ own
@@ -332,9 +338,11 @@ def _partners(features: list[tuple]):
                 differ = bits ^ (own[:w] ^ own[w:])
             else:
                 continue
-            low = 7 * np.bitwise_count(differ).sum(1, dtype=np.int64) <= n[who] + n[i]
-            found.append(who[low & (4 * np.minimum(n[who], n[i]) >= 3 * np.maximum(n[who], n[i])) & (who != i)])
-        return np.concatenate(found)
+            differ = np.bitwise_count(differ).sum(1, dtype=np.int64)
+            near = (7 * differ <= n[who] + size) & (4 * np.minimum(n[who], size) >= 3 * np.maximum(n[who], size))
+            found.append(who[near])
+            apart.append((differ / (n[who] + size))[near])
+        return np.concatenate(found)[np.argsort(np.concatenate(apart), kind="stable")]
 
     return partners
 
@@ -346,7 +354,7 @@ def _near_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not 1 < len(rows) <= 1024:
             return rows if len(rows) > 1 else []
         partners = _partners([r[2:] for r in rows])
-        return [r for i, r in enumerate(rows) if len(partners(i))]
+        return [r for r in rows if len(partners(*r[2:])) > 1]  # itself is one
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -371,6 +379,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["ref", "items"]).filter(right)
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members (ref, items) to the keys (ref, key) of other cuts, of which near sets share one as well."""
+    for batch in batches:
+        keys = [_keys(np.frombuffer(x, U64), 16) for x in batch.column(1).to_pylist()]
+        ref = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+        yield pa.RecordBatch.from_arrays([pa.array(ref), pa.array(np.concatenate([np.zeros(0, U64), *keys]).view(np.int64))], names=["ref", "key"])
+
+
 def _verified(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -402,12 +418,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("ref"), "n")
     large = found.where("kind = 3").groupBy(F.col("a").alias("ref")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     pairs = found.where("kind = 1").select("a", "b").distinct()
-    sketch = lambda k: large.select(F.col("ref").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"x{k}"))
+    sketch = lambda k: large.select(F.col("ref").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
 
     def screen(edges: DataFrame) -> DataFrame:
-        return edges.join(sketch("b"), "b").join(sketch("a"), "a").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_screened, "a long, b long")
+        return edges.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_screened, "a long, b long")
 
-    pairs = materialize(screen(pairs), "pairs", ROWS)
+    pairs = materialize(screen(pairs.join(sketch("b"), "b").join(sketch("a"), "a")), "pairs", ROWS)
     sets = found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("ref")).distinct().join(large, "ref").select("name", "ref", "n", "sketch")
     sets = materialize(sets.repartition("name").sortWithinPartitions("name").mapInArrow(_near_members, "name long, ref long, n long, sketch binary"), "sets", ROWS)
 
@@ -419,7 +435,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left, right = items.select(F.col("ref").alias("a"), F.col("items").alias("x")), items.select(F.col("ref").alias("b"), F.col("items").alias("y"))
         return edges.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verified(75), "a long, b long")
 
-    links, labels = linked(pairs, sets, screen, verify, _partners)
+    def finer(members: DataFrame) -> DataFrame:
+        return members.select("ref").distinct().join(items, "ref").select("ref", "items").mapInArrow(_finer, "ref long, key long")
+
+    links, labels = linked(pairs, sets, screen, verify, _partners, finer)
     placed = members.join(labels.select(F.col("node").alias("ref"), "comp"), "ref", "left").select("id", "n", F.coalesce("comp", "ref").alias("comp"))
     names = placed.groupBy("comp").agg(F.min("id").alias("name"))
     out = placed.where("n > 0").join(names, "comp").select("id", "n", "name").union(placed.where("n = 0").select("id", "n", F.col("id").alias("name")))
