@@ -1,16 +1,21 @@
 """Removal of repeated and nearly repeated lines.
 
 A line is lower-cased, cut into words at Unicode white space, and its words are reduced to letters and
-digits; it has a SimHash of 64 bits over its words. Lines with hashes at most three bits apart agree in two of five blocks of the hash at least:
-each pair of blocks is a key of the join. Candidates are verified by edit similarity on the reduced
-lines; of a connected group the first occurrence stays, by doc_id and line number.
+digits. For hashing, words of more than twelve bytes are cut into pieces, and letters of scripts without
+spaces are words of their own. A line has a SimHash of 64 bits over its words, and so has each of its
+blocks: runs of words counted from the beginning and from the end, two, four or eight by the length of
+the line. Their size is rounded down, and that of a line a tenth shorter serves as well, so that lines
+whose edits spare a block, and do not change its distance from its end of the line by more words than
+they add elsewhere, have that block in common: blocks are the keys of the join. Candidates whose
+SimHashes are further apart than their length allows are screened out, the others verified by edit
+similarity on the reduced lines; of a connected group the first occurrence stays, by doc_id and line
+number.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,28 +28,39 @@ from .candidates import ROWS, linked
 from .ngram_join import mix
 
 U64 = np.uint64
-APART = 3
-SHIFTS, WIDTHS = (0, 13, 26, 39, 52), (13, 13, 13, 13, 12)
+LENGTHS, APART = (0, 18, 24, 40, 72, 150, 300, 600), (29, 24, 19, 16, 14, 13, 11, 9)  # from so many characters on, SimHashes of similar lines are so many bits apart at most, nearly always
+SHORTEST = 10  # below, similar lines are equal
+LONG_WORD, PIECE = 12, 6  # bytes
+MAX_CACHED = 1 << 18
+NO_ID = (1 << 63) - 1
 SMALL_SET = 8
+ONE_TASK = 1 << 14
+FLUSH_KEYS = 1 << 20
 _BLANK = re.compile(r"[\t\v\f\r\x1C-\x1F ]+")
 _DROPPED = re.compile(r"[\x00-\x08\x0E-\x1B!-/:-@\[-`{-\x7F]+")
 _WIDE = re.compile(r"[^\w\x00-\x7F]")
+_COMMON = bytes([*range(0xC0), 0xC3])  # in UTF-8: ASCII, later bytes, and the first byte of the letters of Latin 1
 _RNG = np.random.default_rng(1)
 _LETTERS = _RNG.integers(1, 1 << 63, 256, dtype=U64)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_CLASS = np.ones(256, np.uint8)  # 0: dropped, 1: kept, 2: blank, 3: line feed
-for _b in range(128):
-    _CLASS[_b] = 3 if _b == 10 else 2 if _BLANK.match(chr(_b)) else 0 if _DROPPED.match(chr(_b)) else 1
+_GONE = bytes(c for c in range(128) if _DROPPED.match(chr(c)))
+_CLASSES = bytes(3 if c == 10 else 2 if c < 128 and _BLANK.match(chr(c)) else 1 for c in range(256))  # 1: kept, 2: blank, 3: line feed
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(U64).ravel()
 _POWERS = [np.ones(1, U64), np.ones(1, U64)]
+_SIZES = [1, 2, 3, 4, 5, 6]  # of blocks, in words; from there on by a quarter
+while _SIZES[-1] < 1 << 40:
+    _SIZES.append(_SIZES[-1] * 5 // 4 + 1)
+_SIZES = np.array(_SIZES)
 
 
 def narrowed(text: str) -> str:
     """Lower case; beyond ASCII, white space is a space and what is no letter or digit is dropped."""
     text = text.lower()
     if not text.isascii():
-        for c in set(_WIDE.findall(text)):
-            text = text.replace(c, " " if c.isspace() else "")
+        data = text.encode()
+        if data.translate(None, _COMMON) or b"\xc3\x97" in data or b"\xc3\xb7" in data:
+            for c in set(_WIDE.findall(text)):
+                text = text.replace(c, " " if c.isspace() else "")
     return text
 
 
@@ -64,95 +80,182 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def fingerprints(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Of every line with a word: number of its text, line number in it, ref (a hash of the words in their order), length of the reduced line, SimHash (the majority of each bit over the words' hashes).
+def _words(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut further: at letters of three bytes or more, and into pieces where they are long. Beginnings, ends, and whether a whole word begins there."""
+    whole = np.ones(len(starts), bool)
+    wide = np.flatnonzero(b >= 0xE0)
+    if len(wide):
+        cuts = np.setdiff1d(wide, starts, assume_unique=True)
+        order = np.argsort(np.r_[starts, cuts], kind="stable")
+        whole = np.r_[whole, np.zeros(len(cuts), bool)][order]
+        last = ends[np.searchsorted(starts, np.r_[starts, cuts][order], side="right") - 1]
+        starts = np.r_[starts, cuts][order]
+        ends = np.minimum(np.r_[starts[1:], len(b)], last)
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    if len(long):
+        more = (ends[long] - starts[long] - 1) // PIECE
+        nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+        cuts = np.repeat(starts[long], more) + PIECE * nth
+        order = np.argsort(np.r_[starts, cuts], kind="stable")
+        last = np.r_[ends, np.repeat(ends[long], more)][order]
+        whole = np.r_[whole, np.zeros(len(cuts), bool)][order]
+        starts = np.r_[starts, cuts][order]
+        ends = np.minimum(np.r_[starts[1:], len(b)], last)
+    return starts, ends, whole
+
+
+def _simhash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The majority of each bit over the hashes of the words of each range. sums: of the words before each, eight counters of eight bits in a number."""
+    count = end - begin
+    with np.errstate(over="ignore"):  # what runs over in the prefix sums cancels out
+        odds = (sums[np.minimum(begin + 255, end)] - sums[begin]).view(np.uint8).reshape(-1, 64)
+        most = odds > (count >> 1).astype(np.uint8)[:, None]
+        for k in np.flatnonzero(count > 255):  # a counter holds 255 words: longer ranges are summed in pieces
+            cuts = np.r_[np.arange(begin[k], end[k], 255), end[k]]
+            most[k] = 2 * (sums[cuts[1:]] - sums[cuts[:-1]]).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64) > count[k]
+    return np.packbits(most, axis=1).view(U64).ravel()
+
+
+def _plan(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lines of so many words: blocks counted from each end, and words in one."""
+    halves = np.where(words < 16, 1, np.where(words < 64, 2, 4))
+    size = np.where(words < 4, words - 1, words // (2 * halves))
+    return halves, _SIZES[np.maximum(0, np.searchsorted(_SIZES, size, side="right") - 1)]
+
+
+def _blocks(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of words that are blocks of lines: line, begin, end and a tag of size and place."""
+    line, first, last, tag, before = [], [], [], [], None
+    for words in (count, count - np.maximum(1, count // 10)):
+        halves, size = _plan(words)
+        for k in range(4):
+            use = (k < halves) & (words > 1) & (count > 1)
+            if before is not None:
+                use &= (halves != before[0]) | (size != before[1])
+            own = np.flatnonzero(use)
+            head = begin[own] + k * size[own]
+            tail = begin[own] + count[own] - (k + 1) * size[own]
+            for side, at in ((0, head), (1, tail)):
+                line.append(own)
+                first.append(at)
+                last.append(at + size[own])
+                tag.append(size[own] * 8 + 2 * k + side)
+        before = halves, size
+    return tuple(np.concatenate(x) for x in (line, first, last, tag))
+
+
+def fingerprints(texts: list[str], with_keys: bool = False) -> tuple[np.ndarray, ...]:
+    """Of every line with a word: number of its text, line number in it, ref (a hash of the words in their order), length of the reduced line, SimHash. With keys: also the keys, and to which of these lines each belongs.
 
     The texts are one array of bytes. A word's hash is polynomial, taken from prefix sums over the array.
     """
-    b = np.frombuffer(narrowed("\n".join(texts)).encode(), np.uint8)
-    kind = _CLASS[b]
-    b, kind = b[kind > 0], kind[kind > 0]
-    edge = np.diff((kind == 1).astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    data = narrowed("\n".join(texts)).encode().translate(None, _GONE)
+    b, kind = np.frombuffer(data, np.uint8), np.frombuffer(data.translate(_CLASSES), np.uint8)
+    inside = kind == 1
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(b) and inside[0]:
+        edges = np.r_[0, edges]
+    if len(edges) % 2:
+        edges = np.r_[edges, len(b)]
+    starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * (7 if with_keys else 5)
+    starts, ends, whole = _words(b, starts, ends)
     power, inverse = _powers(len(b))
     with np.errstate(over="ignore"):
         sums = np.r_[U64(0), np.cumsum(_LETTERS[b] * power[: len(b)], dtype=U64)]
         word = mix((sums[ends] - sums[starts]) * inverse[starts])
     chars = np.r_[0, np.cumsum((b & 0xC0) != 0x80)]
-    size = chars[ends] - chars[starts]
-    line = np.cumsum(kind == 3)[starts]
-    begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-    count = np.diff(np.r_[begin, len(line)])
-    place = np.arange(len(line)) - np.repeat(begin, count)
+    size = chars[ends] - chars[starts] + whole
+    bounds = np.r_[0, np.searchsorted(starts, np.flatnonzero(kind == 3)), len(starts)]
+    line = np.flatnonzero(bounds[1:] > bounds[:-1])
+    begin, count = bounds[line], np.diff(bounds)[line]
+    place = np.arange(len(word)) - np.repeat(begin, count)
     with np.errstate(over="ignore"):
-        ref = mix(np.add.reduceat(mix(word + place.astype(U64) * U64(_BASE)), begin))
-    n = np.add.reduceat(size, begin) + count - 1
-    # A counter of eight bits holds 255 words: longer lines are summed in pieces.
-    pieces = np.flatnonzero(place % 255 == 0)
-    sums = np.add.reduceat(_LANES[word.view(np.uint8)].reshape(-1, 8), pieces, axis=0).view(np.uint8).reshape(-1, 64)
-    if len(pieces) > len(begin):
-        sums = np.add.reduceat(sums, np.searchsorted(pieces, begin), axis=0, dtype=np.int32)
-    sim = np.packbits(2 * sums.astype(np.int32) > count[:, None], axis=1).view(U64).ravel()
+        ref = mix(np.add.reduceat(mix(word + (2 * place + whole).astype(U64) * U64(_BASE)), begin))
+    n = np.add.reduceat(size, begin) - 1
+    with np.errstate(over="ignore"):
+        odds = np.concatenate([np.zeros((1, 8), U64), np.cumsum(_LANES[word.view(np.uint8)].reshape(-1, 8), axis=0, dtype=U64)])
+    sim = _simhash(odds, begin, begin + count)
     first = np.cumsum([0, *(t.count("\n") + 1 for t in texts)])
-    text = np.searchsorted(first, line[begin], side="right") - 1
-    return text, line[begin] - first[text], ref.view(np.int64), n, sim.view(np.int64)
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines that have a word: id, line number, ref, n (length), sim. And of each text a row with line -1 and n its number of lines (0 for null)."""
-
-    names = ["id", "line", "ref", "n", "sim"]
+    text = np.searchsorted(first, line, side="right") - 1
+    out = text, line - first[text], ref.view(np.int64), n, sim.view(np.int64)
+    if not with_keys:
+        return out
+    owner, head, tail, tag = _blocks(begin, np.where(n < SHORTEST, 0, count))
+    with np.errstate(over="ignore"):
+        keys = mix(_simhash(odds, head, tail) ^ mix(tag.astype(U64) * U64(_BASE))) if len(owner) else np.zeros(0, U64)
+    return *out, keys, owner
 
-    def flush(ids: list[int], texts: list[str]) -> pa.RecordBatch:
-        text, line, ref, n, sim = fingerprints(texts)
-        columns = (np.array(ids, np.int64)[text], line.astype(np.int32), ref, n, sim)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    ids, texts, held = [], [], 0
-    for batch in batches:
-        own, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        zero = pa.array(np.zeros(len(own), np.int64))
-        counts = pa.array([0 if t is None else t.count("\n") + 1 for t in bodies], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(own), -1, np.int32)), zero, counts, zero], names=names)
-        for i, text in zip(own, bodies, strict=True):
-            if i is not None and text is not None:
-                ids.append(i)
-                texts.append(text)
-                held += len(text)
-            if held > 1 << 21:
-                yield flush(ids, texts)
-                ids, texts, held = [], [], 0
-    if texts:
-        yield flush(ids, texts)
+def _deal(buckets: int):
+    """Texts (id, key, text) to rows of their lines that have a word (kind 0: id, key, line, ref), of themselves (kind 1: id, key, n lines, 0 for null) and packed rows of the keys of a bucket (kind 2: bucket as line, data)."""
 
+    names = ["kind", "id", "key", "line", "ref", "n", "data"]
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
-def _deal(buckets: int):
-    """Distinct lines to packed rows of a bucket: key, ref, n, sim."""
+    def batch_of(kind: int, rows: int, **columns) -> pa.RecordBatch:
+        given = columns | {"kind": np.full(rows, kind, np.int32)}
+        return pa.RecordBatch.from_arrays([pa.nulls(rows, t) if c not in given else pa.array(given[c], t) for c, t in zip(names, types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ref, n, sim = (batch.column(k).to_numpy() for k in range(3))
-            blocks = [(sim.view(U64) >> U64(s)) & U64((1 << w) - 1) for s, w in zip(SHIFTS, WIDTHS, strict=True)]
-            keys = np.concatenate([U64(t) << U64(26) | blocks[i] << U64(13) | blocks[j] for t, (i, j) in enumerate(combinations(range(len(SHIFTS)), 2))])
-            with np.errstate(over="ignore"):
-                bucket = ((keys * U64(0x9E3779B97F4A7C15)) >> U64(40)) % U64(buckets)
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def lines_of(ids: list[int], keys: list[int], texts: list[str]) -> pa.RecordBatch:
+            text, line, ref, n, sim, block, owner = fingerprints(texts, True)
+            if len(seen) > MAX_CACHED:
+                seen.clear()
+            fresh = np.zeros(len(ref), bool)
+            _, first = np.unique(ref, return_index=True)
+            fresh[[k for k, r in zip(first.tolist(), ref[first].tolist(), strict=True) if r not in seen]] = True
+            seen.update(ref[fresh].tolist())
+            use = fresh[owner]
+            owner = owner[use]
+            held.append((block[use], ref[owner], n[owner].astype(np.uint32), sim[owner]))
+            return batch_of(0, len(ref), id=np.array(ids, np.int64)[text], key=np.array(keys, np.int64)[text], line=line.astype(np.int32), ref=ref)
+
+        def dealt() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            bucket = ((columns[0] >> U64(32)) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
-            rows = []
-            for b in range(buckets):
-                part = order[ends[b] : ends[b + 1]]
-                if len(part):
-                    who = part % len(ref)
-                    rows.append((b, b"".join((keys[part].astype(np.uint32).tobytes(), ref[who].tobytes(), n[who].astype(np.uint32).tobytes(), sim[who].tobytes()))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "data"])
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            columns = [c[order] for c in columns]
+            rows = [(b, b"".join([c[ends[b] : ends[b + 1]].tobytes() for c in columns])) for b in range(buckets) if ends[b] < ends[b + 1]]
+            return batch_of(2, len(rows), line=[r[0] for r in rows], data=[r[1] for r in rows])
+
+        ids, keys, texts, size = [], [], [], 0
+        for batch in batches:
+            own, key, bodies = (batch.column(k).to_pylist() for k in range(3))
+            yield batch_of(1, len(own), id=own, key=key, n=[0 if t is None else t.count("\n") + 1 for t in bodies])
+            for i, k, text in zip(own, key, bodies, strict=True):
+                if text is not None:
+                    ids.append(i)
+                    keys.append(k)
+                    texts.append(text)
+                    size += len(text)
+                if size > 1 << 19:
+                    yield lines_of(ids, keys, texts)
+                    ids, keys, texts, size = [], [], [], 0
+                    if sum(len(h[0]) for h in held) > FLUSH_KEYS:
+                        yield dealt()
+        if texts:
+            yield lines_of(ids, keys, texts)
+        if held:
+            yield dealt()
 
     return run
 
 
+def _apart(n: np.ndarray) -> np.ndarray:
+    return np.array(APART)[np.searchsorted(LENGTHS, n, side="right") - 1]
+
+
 def _possible(n, sim, a, b):
-    return (np.bitwise_count(sim[a] ^ sim[b]) <= APART) & (10 * np.minimum(n[a], n[b]) >= 9 * np.maximum(n[a], n[b]))
+    """Whether lengths and SimHashes allow an edit similarity of 0.9."""
+    large = np.maximum(n[a], n[b])
+    return (np.bitwise_count(sim[a] ^ sim[b]) <= _apart(large)) & (10 * np.minimum(n[a], n[b]) >= 9 * large)
 
 
 def _rows(kind, a, b, n, sim) -> pa.RecordBatch:
@@ -161,10 +264,17 @@ def _rows(kind, a, b, n, sim) -> pa.RecordBatch:
 
 
 def _partners(features: list[tuple]):
-    """From (n, sim) of the members of a set to a function from one's number to those of its possible partners."""
+    """From (n, sim) of the members of a set to a function from those of any member to the numbers of its possible partners."""
     n, sim = np.array([f[0] for f in features]), np.array([f[1] for f in features], np.int64).view(U64)
-    every = np.arange(len(n))
-    return lambda i: np.flatnonzero(_possible(n, sim, i, every) & (every != i))
+    apart = _apart(n)
+
+    def partners(size: int, own: int) -> np.ndarray:
+        far = np.where(n >= size, apart, _apart(np.array([size])))
+        differ = np.bitwise_count(sim ^ np.array([own], np.int64).view(U64))
+        found = np.flatnonzero((differ <= far) & (10 * np.minimum(n, size) >= 9 * np.maximum(n, size)))
+        return found[np.argsort(differ[found], kind="stable")]
+
+    return partners
 
 
 def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +290,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed rows, sorted by bucket, to pairs (kind 1) and members of sets (kind 2). Sets with the same smallest member become one."""
 
     def found(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        key, ref, n, sim = [], [], [], []
+        columns: list[list[np.ndarray]] = [[], [], [], []]
         for p in parts:
-            m = len(p) // 24
-            for to, kind, at, width in ((key, np.uint32, 0, 4), (ref, np.int64, 4 * m, 8), (n, np.uint32, 12 * m, 4), (sim, U64, 16 * m, 8)):
+            m = len(p) // 28
+            for to, kind, at in zip(columns, (U64, np.int64, np.uint32, U64), (0, 8 * m, 16 * m, 20 * m), strict=True):
                 to.append(np.frombuffer(p, kind, m, at))
-        key, ref, n, sim = np.concatenate(key), np.concatenate(ref), np.concatenate(n).astype(np.int64), np.concatenate(sim)
-        order = np.argsort(key)
-        key, ref, n, sim = key[order], ref[order], n[order], sim[order]
+        key, ref, n, sim = (np.concatenate(c) for c in columns)
+        order = np.lexsort((ref, key))
+        order = order[np.r_[True, (key[order[1:]] != key[order[:-1]]) | (ref[order[1:]] != ref[order[:-1]])]]
+        key, ref, n, sim = key[order], ref[order], n[order].astype(np.int64), sim[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         lists = [starts[sizes == 2][:, None] + np.array([[0, 1]])]
@@ -200,13 +311,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if pair.shape[1]:
             zero = np.zeros(pair.shape[1], np.int64)
             yield _rows(1, pair[0], pair[1], zero, zero)
-        for at, size in zip(starts[sizes > SMALL_SET], sizes[sizes > SMALL_SET], strict=True):
-            m = np.arange(at, at + size)
-            near = np.fromiter((_possible(n, sim, x, m).sum() > 1 for x in m), bool, size) if size <= 4096 else np.ones(size, bool)
-            m = m[near]
+        for at, size in zip(starts[sizes > SMALL_SET].tolist(), sizes[sizes > SMALL_SET].tolist(), strict=True):
+            m = at + np.argsort(n[at : at + size], kind="stable")
+            if size <= ONE_TASK:
+                # Partners are a tenth longer or shorter at most: a window of the lines by length.
+                low, high = np.searchsorted(n[m], -(-9 * n[m] // 10)), np.searchsorted(n[m], n[m] * 10 // 9, side="right")
+                m = m[np.fromiter((_possible(n, sim, x, m[i:j]).sum() > 1 for x, i, j in zip(m, low, high, strict=True)), bool, size)]
             if len(m) == 2:
                 zero = np.zeros(1, np.int64)
-                yield _rows(1, ref[m[:1]], ref[m[1:]], zero, zero)
+                yield _rows(1, ref[m].min(keepdims=True), ref[m].max(keepdims=True), zero, zero)
             elif len(m):
                 yield _rows(2, np.full(len(m), ref[m].min()), ref[m], n[m], sim[m])
 
@@ -223,17 +336,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts and the numbers and refs of lines that are wanted of them to the reduced lines."""
     for batch in batches:
-        want, raw = [], []
+        refs, bodies = [], []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = text.split("\n")
             for w in wanted:
-                if w["line"] < len(own):
-                    want.append(w["ref"])
-                    raw.append(own[w["line"]])
-        which, _, ref, _, _ = fingerprints(raw)
-        right = [(r, raw[k]) for k, r in zip(which.tolist(), ref.tolist(), strict=True) if r == want[k]]
-        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in right], pa.int64()), pa.array([reduced(x) for _, x in right], pa.string())], names=["ref", "body"])
+                refs.append(w["ref"])
+                bodies.append(reduced(own[w["line"]]))
+        yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(bodies, pa.string())], names=["ref", "body"])
 
 
 def unlike_parts(x: str, y: str) -> tuple[str, str]:
@@ -277,55 +388,87 @@ def edits_at_most(x: str, y: str, most: int) -> int:
     return total + (max(len(" ".join(a[i:])), len(" ".join(b[j:]))) + 1 if i < n or j < m else 0)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, x, y) with their unlike parts, and how many edits the whole lines may be apart. Of most similar lines the words show that they are; nothing is left to compare."""
+def distance(x: str, y: str, most: int) -> int:
+    """The edit distance; some number above most if the lengths tell that it is above most. A column of the table of distances is two numbers, of which a bit says where it rises or falls."""
+    if abs(len(x) - len(y)) > most or not x or not y:
+        return max(len(x), len(y))
+    letters = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+    places = {chr(c): int.from_bytes(np.packbits(letters == c, bitorder="little").tobytes(), "little") for c in np.unique(letters).tolist()}
+    up = every = (1 << len(x)) - 1
+    down, get = 0, places.get
+    for c in y:
+        same = get(c, 0)
+        still = same | down
+        across = (((same & up) + up) ^ up) | same
+        rise = (down | (across | up) & every ^ every) << 1 | 1
+        up = (up & across) << 1 & every | (still | rise) & every ^ every
+        down = rise & still
+    return len(y) + up.bit_count() - down.bit_count()
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of most similar lines the words show that they are; of the others the unlike parts are compared."""
     for batch in batches:
-        pairs = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-        most = [max(len(x), len(y)) // 10 for x, y in pairs]
-        parts = [("", "") if edits_at_most(x, y, m) <= m else unlike_parts(x, y) for (x, y), m in zip(pairs, most, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([p[k] for p in parts], pa.string()) for k in (0, 1)), pa.array(most, pa.int32())], names=["a", "b", "x", "y", "most"])
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            most = max(len(x), len(y)) // 10
+            keep.append(edits_at_most(x, y, most) <= most or distance(*unlike_parts(x, y), most) <= most)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def similar(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, lines x and y) with an edit similarity of 0.9 or more: at most a tenth of the longer line's characters are edits. The distance is cut off there."""
-    parts = pairs.select("a", "b", "x", "y").mapInArrow(_parts, "a long, b long, x string, y string, most int")
-    return parts.where(F.call_function("levenshtein", F.col("x"), F.col("y"), F.col("most")) >= 0).select("a", "b")
+    """The pairs (a, b, lines x and y) with an edit similarity of 0.9 or more: at most a tenth of the longer line's characters are edits."""
+    return pairs.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
+
+
+def _rows_of(docs: DataFrame) -> DataFrame:
+    """id and key of every row, by which rows are told apart: rows that share both are equal in id and text."""
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs["text"]).alias("key"), docs["text"].alias("text"))
 
 
 def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id and n_lines of every text, and doc_id and line (from 0) of every line that goes.
+    """id, key and n_lines of every text, and id, key and line (from 0) of every line that goes (see _rows_of; once a row or more often).
 
-    Lines without a word always stay. Rows that repeat a doc_id and a text lose the same
-    lines, so a line stays in all of them or in none. Null texts have no lines.
+    Lines without a word always stay. Unlike rows of one doc_id are rows of their own; rows that
+    repeat a doc_id and a text lose the same lines, so a line stays in all of them or in none. Rows
+    with a null doc_id come after all others. Null texts have no lines.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"))
-    every = materialize(rows.mapInArrow(_lines, "id long, line int, ref long, n long, sim long"), "lines")
-    texts, lines = every.where("line = -1").select(F.col("id").alias("doc_id"), F.col("n").alias("n_lines")), every.where("line >= 0")
-    distinct = materialize(lines.groupBy("ref").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("times"), F.min("n").alias("n"), F.min("sim").alias("sim")), "distinct")
-    dealt = distinct.select("ref", "n", "sim").mapInArrow(_deal(parts), "bucket int, data binary")
-    found = materialize(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "kind int, a long, b long, n long, sim long"), "line-candidates")
+    rows = _rows_of(docs)
+    dealt = rows.select("id", "key", "text").mapInArrow(_deal(parts), "kind int, id long, key long, line int, ref long, n long, data binary")
+    every = materialize(dealt, "lines")
+    texts = every.where("kind = 1").select("id", "key", F.col("n").alias("n_lines"))
+    lines = every.where("kind = 0").select("id", "key", "line", "ref")
+    packed = every.where("kind = 2").select(F.col("line").alias("bucket"), "data")
+    found = materialize(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "kind int, a long, b long, n long, sim long"), "line-candidates")
     pairs = found.where("kind = 1").select("a", "b").distinct()
     sets = found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("ref"), "n", "sim").distinct()
     wanted = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).union(sets.select("ref")).distinct()
-    where = distinct.join(wanted, "ref").groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "ref")).alias("wanted"))
-    bodies = materialize(rows.join(where, "id").select("text", "wanted").mapInArrow(_texts, "ref long, body string").dropDuplicates(["ref"]), "bodies", ROWS)
+    first = lines.join(wanted, "ref").groupBy("ref").agg(F.min(F.struct("id", "key", "line")).alias("first"))
+    where = first.groupBy(F.col("first.id").alias("id"), F.col("first.key").alias("key")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "ref")).alias("wanted"))
+    bodies = rows.join(where, ["id", "key"]).select("text", "wanted").mapInArrow(_texts, "ref long, body string").dropDuplicates(["ref"])
+    bodies = materialize(bodies, "bodies", ROWS)
 
     def verify(edges: DataFrame) -> DataFrame:
         left, right = bodies.select(F.col("ref").alias("a"), F.col("body").alias("x")), bodies.select(F.col("ref").alias("b"), F.col("body").alias("y"))
         return similar(edges.join(right, "b").join(left, "a"))
 
-    def screen(edges: DataFrame) -> DataFrame:
-        of = lambda k: distinct.select(F.col("ref").alias(k), F.col("n").alias(f"n{k}"), F.col("sim").alias(f"s{k}"))
-        return edges.join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_screened, "a long, b long")
+    def screen(star: DataFrame) -> DataFrame:
+        return star.select("a", "b", "n_a", "n_b", "sim_a", "sim_b").mapInArrow(_screened, "a long, b long")
+
+    def finer(refs: DataFrame) -> DataFrame:
+        # Lengths of similar lines are in the same step of a tenth, or in neighbouring ones.
+        step = F.floor(F.log("n") / F.log(F.lit(10 / 9)) / 1.0001)
+        return sets.select("ref", "n").distinct().join(refs.distinct(), "ref").select("ref", F.explode(F.array(step, step + 1)).alias("key"))
 
-    links, labels = linked(pairs, sets, screen, verify, _partners)
-    discard(links, bodies, found)
-    grouped = distinct.join(labels.withColumnRenamed("node", "ref"), "ref", "left").where("times > 1 or comp is not null").select("ref", "first", F.coalesce("comp", "ref").alias("comp"))
-    keep = grouped.groupBy("comp").agg(F.min("first").alias("keep"))
-    fate = grouped.select("ref", "comp").join(keep, "comp").select("ref", "keep")
-    return texts, lines.join(fate, "ref").where("struct(id, line) <> keep").select(F.col("id").alias("doc_id"), "line")
+    links, labels = linked(pairs, sets, screen, verify, _partners, finer)
+    repeated = lines.groupBy("ref").agg(F.count("*").alias("times")).where("times > 1").select("ref")
+    marked = repeated.join(labels.withColumnRenamed("node", "ref"), "ref", "full").select("ref", F.coalesce("comp", "ref").alias("comp"))
+    places = materialize(lines.join(marked, "ref").select("id", "key", "line", "comp"), "places")
+    discard(links, labels, bodies, found)
+    keep = places.groupBy("comp").agg(F.min(F.struct("id", "key", "line")).alias("keep"))
+    return texts, places.join(keep, "comp").where("struct(id, key, line) <> keep").select("id", "key", "line")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
@@ -334,18 +477,19 @@ def dedup_report(docs: DataFrame) -> DataFrame:
     n_lines: line feeds plus one, 0 for a null text. An empty table gives no rows.
     """
     texts, gone = repeated_lines(docs)
-    gone = gone.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
-    out = texts.join(gone, "doc_id", "left")
+    gone = gone.groupBy("id", "key").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    out = texts.join(gone, ["id", "key"], "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size(dropped)).alias("n_kept"), dropped.alias("dropped"))
+    return out.select(F.when(F.col("id") < NO_ID, F.col("id")).alias("doc_id"), "n_lines", (F.col("n_lines") - F.size(dropped)).alias("n_kept"), dropped.alias("dropped"))
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """docs with the texts that are left when the repeated lines go."""
-    gone = repeated_lines(docs)[1].distinct().groupBy(F.col("doc_id").alias("_mr_id")).agg(F.collect_list("line").alias("_mr_gone"))
-    out = docs.join(gone, docs["doc_id"] == F.col("_mr_id"), "left")
+    gone = repeated_lines(docs)[1].groupBy(F.col("id").alias("_mr_id"), F.col("key").alias("_mr_key")).agg(F.collect_set("line").alias("_mr_gone"))
+    own = docs.withColumn("_mr_id", F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))).withColumn("_mr_key", F.xxhash64(docs["text"]))
+    out = own.join(gone, ["_mr_id", "_mr_key"], "left")
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_mr_gone", i)), "\n")
-    return out.withColumn("text", F.when(F.col("_mr_gone").isNull(), F.col("text")).otherwise(rest)).drop("_mr_id", "_mr_gone")
+    return out.withColumn("text", F.when(F.col("_mr_gone").isNull(), F.col("text")).otherwise(rest)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,8 +7,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 
+from millrace.llm import candidates
 from millrace.llm import components as cc
 from millrace.llm import exact_dedup, line_dedup, ngram_join
 
@@ -113,6 +116,56 @@ def test_near_families_of_every_size(spark):
     assert got == near_brute(rows)
 
 
+def test_near_short_texts(spark):
+    """Short texts of every size, near copies of each among unlike ones; many blocks of such sets are empty."""
+    rng = random.Random(21)
+    rows = []
+    for n in range(1, 41):
+        for _ in range(8):
+            text = [f"v{rng.randrange(10**6)}" for _ in range(n + 4)]
+            rows.append((len(rows), " ".join(text)))
+            for _ in range(3):
+                copy = list(text)
+                for _ in range(rng.randrange(1, 2 + n // 12)):
+                    at = rng.choice([0, len(copy), rng.randrange(len(copy))])
+                    copy[at : at + rng.randrange(2)] = [f"y{rng.randrange(10**6)}"] * rng.randrange(2)
+                rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_components(df).collect())
+    assert got == near_brute(rows)
+
+
+def test_keys_have_content():
+    """Unlike short sets share no key, near ones always do, by the other cuts as well."""
+    rng = np.random.default_rng(2)
+    seen = Counter()
+    for n in range(3, 60):
+        for _ in range(50):
+            s = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            seen.update(set(ngram_join._keys(s).tolist()))
+            t = np.unique(np.r_[s[rng.permutation(n)[: n - n // 7]], rng.integers(0, 1 << 64, n // 7 if n > 13 else 0, dtype=np.uint64)])
+            if 4 * len(np.intersect1d(s, t)) >= 3 * len(np.union1d(s, t)) and len(t) != n:
+                for first in (0, 16):
+                    assert set(ngram_join._keys(s, first).tolist()) & set(ngram_join._keys(t, first).tolist())
+    assert max(seen.values()) == 1
+
+
+def test_large_sets_are_cut_again(spark, monkeypatch):
+    """Unlike texts that share a passage, among them some near copies, in sets that are too large for one task."""
+    monkeypatch.setattr(candidates, "CHUNK", 8)
+    monkeypatch.setattr(candidates, "LARGE", 16)
+    rng = random.Random(31)
+    passage = " ".join(f"p{k}" for k in range(80))
+    rows = []
+    for k in range(90):
+        rows.append((len(rows), passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(28, 60)))))
+        if k % 9 == 0:
+            rows += [(len(rows) + j, rows[-1][1] + f" z{j}" * (j + 1)) for j in range(rng.randrange(1, 4))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_components(df).collect())
+    assert got == near_brute(rows)
+
+
 def test_keep_one(edge_rows, edge_docs):
     kept = ngram_join.keep_one(edge_docs)
     assert kept.columns == edge_docs.columns
@@ -150,30 +203,50 @@ def edits(a, b):
     return last[-1]
 
 
+def block_keys(lines):
+    *_, n, sim, keys, owner = line_dedup.fingerprints(lines, True)
+    out = [set() for _ in lines]
+    for k, o in zip(keys.tolist(), owner.tolist(), strict=True):
+        out[o].add(k)
+    return out, n, sim
+
+
+def similar_by_blocks(lines):
+    """Pairs of different lines that share a block, are not too far apart and have an edit similarity of 0.9."""
+    keys, n, sim = block_keys(lines)
+    apart = lambda m: next(d for at, d in zip(reversed(line_dedup.LENGTHS), reversed(line_dedup.APART), strict=True) if m >= at)
+    near = lambda a, b: ((int(sim[a]) ^ int(sim[b])) & (2**64 - 1)).bit_count() <= apart(max(n[a], n[b]))
+    return [(a, b) for a in range(len(lines)) for b in range(a) if keys[a] & keys[b] and near(a, b) and 10 * edits(*line_dedup.unlike_parts(lines[a], lines[b])) <= max(len(lines[a]), len(lines[b]))]
+
+
 def lines_brute(rows):
+    """By row (id, text), the null id last: the lines that go."""
     first, seen = {}, []
     for i, text, *_ in rows:
-        if i is not None and text is not None:
+        if text is not None:
             for k, raw in enumerate(text.split("\n")):
                 r = line_dedup.reduced(raw)
                 if r:
-                    seen.append((i, k, r))
-                    first[r] = min(first.get(r, (i, k)), (i, k))
+                    place = (NO_ID if i is None else i, key_of(text), k)
+                    seen.append((i, text, r, place))
+                    first[r] = min(first.get(r, place), place)
     distinct = sorted(first)
-    sims = line_dedup.fingerprints(distinct)[4].tolist()
-    links = [(a, b) for a in range(len(distinct)) for b in range(a) if ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= 3 and 10 * edits(distinct[a], distinct[b]) <= max(len(distinct[a]), len(distinct[b]))]
-    home = joined(links, range(len(distinct)))
+    home = joined(similar_by_blocks(distinct), range(len(distinct)))
     keep = {}
     for k, r in enumerate(distinct):
         keep[home[k]] = min(keep.get(home[k], first[r]), first[r])
     at = {r: keep[home[k]] for k, r in enumerate(distinct)}
     gone = defaultdict(set)
-    for i, k, r in seen:
-        if at[r] != (i, k):
-            gone[i].add(k)
+    for i, text, r, place in seen:
+        if at[r] != place:
+            gone[i, text].add(place[2])
     return gone
 
 
+def key_of(text):
+    return xxhash.xxh64_intdigest(text.encode(), 42) - (xxhash.xxh64_intdigest(text.encode(), 42) >> 63 << 64)
+
+
 def line_rows():
     rng = random.Random(9)
     stock = [" ".join(f"k{rng.randrange(500)}" for _ in range(rng.randrange(2, 40))) for _ in range(30)]
@@ -194,19 +267,64 @@ def line_rows():
 
 
 def test_lines(spark):
-    rows = [*line_rows(), (100, None), (101, ""), (102, "\n\n"), (None, "a line"), (7, line_rows()[7][1])]
+    rows = [*line_rows(), (100, None), (101, ""), (102, "\n\n"), (None, "a line of nobody\nanother such line"), (None, "a line of nobody"), (None, None), (7, line_rows()[7][1]), (103, "a line of nobody")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     gone = lines_brute(rows)
-    want = Counter((i, 0 if t is None else t.count("\n") + 1, tuple(sorted(gone.get(i, ())))) for i, t in rows)
+    want = Counter((i, 0 if t is None else t.count("\n") + 1, tuple(sorted(gone.get((i, t), ())))) for i, t in rows)
     assert Counter((r.doc_id, r.n_lines, tuple(r.dropped)) for r in line_dedup.dedup_report(df).collect()) == want
-    texts = Counter((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))) for i, t in rows)
+    texts = Counter((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((i, t), ()))) for i, t in rows)
     assert Counter((r.doc_id, r.text) for r in line_dedup.drop_lines(df).collect()) == texts
 
 
 def test_lines_of_edge_cases(edge_rows, edge_docs):
     gone = lines_brute(edge_rows)
-    want = Counter((i, tuple(sorted(gone.get(i, ())))) for i, *_ in edge_rows)
+    want = Counter((i, tuple(sorted(gone.get((i, t), ())))) for i, t, *_ in edge_rows)
     assert Counter((r.doc_id, tuple(r.dropped)) for r in line_dedup.dedup_report(edge_docs).collect()) == want
+    assert line_dedup.drop_lines(edge_docs).columns == edge_docs.columns
+
+
+def test_unlike_rows_of_one_id_keep_their_own_lines(spark):
+    rows = [(0, "one two three four"), (1, "one two three four\nalpha beta gamma"), (1, "precious unique words here\nzulu yankee")]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([(0, "one two three four"), (1, "alpha beta gamma"), rows[2]])
+
+
+def test_large_sets_of_lines(spark, monkeypatch):
+    """Lines that share their first half, too many for one task; similar only in part."""
+    monkeypatch.setattr(candidates, "CHUNK", 8)
+    monkeypatch.setattr(candidates, "LARGE", 16)
+    rng = random.Random(17)
+    rows = [(k, " ".join(["every line begins with these words"] + [f"m{rng.randrange(10**4)}" for _ in range(rng.randrange(4, 8))])) for k in range(80)]
+    rows += [(100 + k, rows[k][1] + "x" * (k % 3)) for k in range(0, 80, 4)]
+    gone = lines_brute(rows)
+    out = line_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: set(r.dropped) for r in out} == {i: gone.get((i, t), set()) for i, t in rows} and gone
+
+
+@pytest.mark.parametrize(("changes", "least"), [(1, 0.97), (2, 0.8), (3, 0.65)])
+def test_recall_of_similar_lines(changes, least):
+    """Of pairs with an edit similarity of 0.9, after so many words changed, added or left out, or letters mistyped, most are found."""
+    rng = random.Random(changes)
+    found = total = 0
+    for _ in range(400):
+        w = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 11))) for _ in range(rng.randrange(3, 90))]
+        v = list(w)
+        for _ in range(changes):
+            k = rng.randrange(len(v))
+            v[k : k + 1] = rng.choice([[v[k] + "s"], [v[k][1:] or "q"], [], [v[k], "an"], [v[k][::-1]]])
+        x, y = " ".join(w), " ".join(v)
+        if x != y and v and max(len(x), len(y)) >= 10 and 10 * edits(*line_dedup.unlike_parts(x, y)) <= max(len(x), len(y)):
+            total += 1
+            found += bool(similar_by_blocks([x, y]))
+    print(changes, found, total)
+    assert total > 100 and found >= least * total, (found, total)
+
+
+def test_lines_without_spaces(spark):
+    """Scripts that do without spaces, and one long word."""
+    line = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u4e00\u8d77\u53bb\u516c\u56ed\u6563\u6b65\u5427\u4e0d\u8981\u5fd8\u8bb0\u5e26\u4e0a\u96e8\u4f1e"
+    url = "https://example.org/" + "0123456789abcdef" * 6
+    assert similar_by_blocks([line, line[:9] + "\u7684" + line[9:]]) and similar_by_blocks([url + "7", url + "8"])
 
 
 def test_fingerprints():
@@ -250,6 +368,16 @@ def test_words_bound_the_edits():
     assert line_dedup.edits_at_most("a b c", "a b c", 0) == 0 and line_dedup.edits_at_most("aa bb cc", "aa xx cc", 9) == 2
 
 
+def test_distance():
+    rng = random.Random(19)
+    for _ in range(500):
+        x, y = ("".join(rng.choice("abé") for _ in range(rng.randrange(40))) for _ in range(2))
+        want = edits(x, y)
+        for most in (0, want - 1, want, 100):
+            got = line_dedup.distance(x, y, most)
+            assert got == want if want <= most else got > most
+
+
 def test_similar(spark):
     rng = random.Random(1)
     rows = [("".join(rng.choice("ab") for _ in range(rng.randrange(40))), "".join(rng.choice("ab") for _ in range(rng.randrange(40)))) for _ in range(200)]
