@@ -110,10 +110,27 @@ def test_training_order(spark):
     assert Counter(r.doc_id for r in out.collect()) == Counter({i: c for i, c in copies.items() if c})
 
 
+def test_training_order_goes_by_rows(spark):
+    """Null ids, equal rows, and unlike rows of one id: each comes as often as its places say."""
+    rows = [(k, " ".join([f"w{k}"] * (k % 7 + 1)), "ab"[k % 2], {"m": k}) for k in range(40)]
+    rows += [(None, "lost words", "a", None), (None, "more lost words", "a", None), (None, "lost words", "b", None), (None, "lost words", "b", None)]
+    rows += [(5, "another text", "b", {"m": 1}), (5, "another text", "b", {"m": 2}), rows[3], rows[3], rows[3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string, int>").withColumn("key", F.lit("clash")).repartition(3)
+    plan = mixing._plan(df, (5, 2, 1), (-0.5, 0.0, 0.5), 3, 17).withColumnRenamed("key", "k")
+    want = Counter()
+    for r in plan.join(df.withColumn("k", mixing.row_key(df)).select("k", "text", "source", "more").dropDuplicates(["k"]), "k").collect():
+        want[r.doc_id, r.text, r.source, str(r.more)] += r.copies
+    assert plan.count() == len(rows) and min(want[None, "lost words", s, "None"] for s in "ab") > 0
+    out = mixing.training_order(df)
+    assert out.columns == df.columns
+    assert Counter((r.doc_id, r.text, r.source, str(r.more)) for r in out.collect()) == +want
+
+
 def test_mix_edge_cases(edge_rows, edge_docs):
     out = mixing.mix(edge_docs).collect()
     assert Counter((r.doc_id, r["size"]) for r in out) == Counter((i, count(t)) for i, t, *_ in edge_rows)
-    mixing.training_order(edge_docs).collect()
+    ordered = mixing.training_order(edge_docs)
+    assert ordered.columns == edge_docs.columns and ordered.count() == sum(r.copies for r in out)
 
 
 def test_empty(no_docs):
