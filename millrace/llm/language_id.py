@@ -1,7 +1,9 @@
 """Language identification by hierarchical discrimination.
 
 One-versus-one linear support vector machines choose a language family; others, trained within the
-family alone, choose among its closely related languages. The features are hashed character n-grams
+family alone, choose among its closely related languages. Languages in no listed family are families of
+their own, or, if they are many, are put together by their likeness into about as many families as have
+languages each, so that the machines stay few. The features are hashed character n-grams
 of words, so a word adds the same to every machine wherever it stands, and a text is scored by
 looking up its words.
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from itertools import combinations
 from typing import NamedTuple
@@ -20,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._work import keep_alone
-from .linear import svm
+from .linear import Sparse, svm
 
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance", "ru": "slavic", "pl": "slavic", "cs": "slavic", "uk": "slavic"}
 DIM = 1 << 13
 MAX_CACHED = 1 << 19
+TABLE_BYTES = 64 << 20  # of the words that a worker keeps
+OWN_FAMILIES = 8
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SCORERS: dict[int, Scorer] = {}
 
@@ -63,15 +68,14 @@ def _grams(token: str) -> list[int]:
     return out
 
 
-def _features(text: str) -> np.ndarray:
-    counts = np.zeros(DIM)
-    for token in text.lower().split():
-        np.add.at(counts, _grams(token), 1)
-    return counts / max(1.0, counts.sum())
+def _features(text: str) -> Sparse:
+    counts = Counter(at for token in text.lower().split() for at in _grams(token))
+    at = np.array(sorted(counts), np.int64)
+    return at, np.array([counts[k] for k in at.tolist()], float) / max(1, counts.total())
 
 
 def sample(docs: DataFrame, learn, per_language: int, max_chars: int) -> list:
-    """At most per_language rows of each language, chosen by a hash of the id, of at most max_chars in all."""
+    """At most per_language rows of each language, the first by a hash of the id, of at most max_chars in all or little more."""
     known = docs.where(learn & docs["lang"].isNotNull() & docs["text"].isNotNull()).select("doc_id", "lang", "text")
     counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("chars")).collect()
     if not counts:
@@ -80,33 +84,66 @@ def sample(docs: DataFrame, learn, per_language: int, max_chars: int) -> list:
     part = F.lit(False)
     for r in counts:
         part = part | ((F.col("lang") == r.lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.2 * want / r.n)) + 1))
-    rows, seen = sorted(known.where(part).limit(int(1.5 * want * len(counts)) + 100).collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)), {}
-    return [r for r in rows if (seen.__setitem__(r.lang, seen.get(r.lang, 0) + 1) or seen[r.lang] <= want)]
+    order = [F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")).cast("binary")), "doc_id", "lang", F.sha2("text", 256)]
+    rows, seen = known.where(part).orderBy(*order).limit(int(1.5 * want * len(counts)) + 100).collect(), Counter()
+    out = []
+    for r in rows:
+        seen[r.lang] += 1
+        if seen[r.lang] <= want:
+            out.append(r)
+    return out
+
+
+def _grouped(langs: list[str], rows: list[Sparse], of: list[str], families: Mapping[str, str]) -> dict[str, str]:
+    """The family of each language. Those in no listed one, if more than OWN_FAMILIES, go to the most alike of a few that are unlike one another."""
+    home = {v: families.get(v, v) for v in langs}
+    rest = [v for v in langs if v not in families]
+    if len(rest) <= OWN_FAMILIES:
+        return home
+    center = {v: np.zeros(DIM) for v in rest}
+    for (at, x), v in zip(rows, of, strict=True):
+        if v in center:
+            center[v][at] += np.sqrt(x)
+    c = np.array([center[v] / max(1e-12, np.linalg.norm(center[v])) for v in rest])
+    seeds, near = [0], c @ c[0]
+    while len(seeds) ** 2 < len(rest):
+        seeds.append(int(near.argmin()))
+        near = np.maximum(near, c @ c[seeds[-1]])
+    return home | {v: rest[seeds[k]] for v, k in zip(rest, (c @ c[seeds].T).argmax(1).tolist(), strict=True)}
 
 
 def fit(docs: DataFrame, learn, families: Mapping[str, str] = FAMILIES, per_language: int = 400, max_chars: int = 24 << 20) -> Model:
-    """Fit on a bounded sample of the rows for which learn holds. A language without a family is a family of its own."""
-    rows = sample(docs, learn, per_language, max_chars)
-    x = np.array([_features(r.text) for r in rows]) if rows else np.zeros((0, DIM))
-    scale = 1 / (x.std(0) + 1e-4) if len(x) else np.ones(DIM)
-    x = x * scale / np.sqrt(DIM)
-    langs = np.array([r.lang for r in rows], dtype=object)
-    kin = np.array([families.get(v, v) for v in langs], dtype=object)
-    groups = {f: sorted({v for v, k in zip(langs, kin, strict=True) if k == f}) for f in sorted(set(kin))}
+    """Fit on a bounded sample of the rows for which learn holds, the same in every run."""
+    sampled = sample(docs, learn, per_language, max_chars)
+    rows, of = [_features(r.text) for r in sampled], [r.lang for r in sampled]
+    total, squares = np.zeros(DIM), np.zeros(DIM)
+    for at, v in rows:
+        total[at] += v
+        squares[at] += v * v
+    n = max(1, len(rows))
+    scale = 1 / (np.sqrt(np.maximum(0, squares / n - (total / n) ** 2)) + 1e-4) / np.sqrt(DIM) if rows else np.ones(DIM)
+    home = _grouped(sorted(set(of)), rows, of, families)
+    rows = [(at, v * scale[at]) for at, v in rows]
+    kin = [home[v] for v in of]
+    groups = {f: sorted({v for v, k in home.items() if k == f}) for f in sorted(set(home.values()))}
     pairs, columns = [], []
-    for at, names, of in [("", sorted(groups), kin), *((f, members, langs) for f, members in groups.items())]:
+    for at, names, labels in [("", sorted(groups), kin), *((f, members, of) for f, members in groups.items())]:
+        members = {name: [k for k, v in enumerate(labels) if v == name] for name in names}
         for a, b in combinations(names, 2):
-            rows_ab = (of == a) | (of == b)
             pairs.append((at, a, b))
-            columns.append(svm(x[rows_ab], np.where(of[rows_ab] == a, 1.0, -1.0)))
+            columns.append(svm([rows[k] for k in members[a] + members[b]], np.r_[np.ones(len(members[a])), -np.ones(len(members[b]))], DIM))
     weights = np.array(columns).T if columns else np.zeros((DIM + 1, 0))
-    return Model(groups, pairs, weights, scale / np.sqrt(DIM), zlib.crc32(weights.tobytes() + repr(groups).encode()))
+    return Model(groups, pairs, weights, scale, zlib.crc32(weights.tobytes() + repr(groups).encode()))
 
 
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
         self.per_gram = model.weights[:-1] * model.scale[:, None]
+        self.most = min(MAX_CACHED, TABLE_BYTES // (8 * (self.per_gram.shape[1] + 1)))
+        self.machines: dict[str, list[tuple[int, str, str]]] = {}
+        for k, (at, a, b) in enumerate(model.pairs):
+            self.machines.setdefault(at, []).append((k, a, b))
         self.reset()
 
     def reset(self) -> None:
@@ -129,7 +166,7 @@ class Scorer:
         self.index.update(zip(tokens, range(begin, begin + len(tokens)), strict=True))
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        if len(self.index) > MAX_CACHED:
+        if len(self.index) > self.most:
             self.reset()
         places, ends = [], []
         for t in texts:
@@ -162,12 +199,12 @@ class Scorer:
 
     def _vote(self, at: str, names: list[str], margins: np.ndarray) -> tuple[str, float]:
         won = {n: [0, 0.0, 1.0] for n in names}
-        for (where, a, b), m in zip(self.model.pairs, margins, strict=True):
-            if where == at and a in won:
-                for n, s in ((a, m), (b, -m)):
-                    won[n][0] += s > 0
-                    won[n][1] += s
-                    won[n][2] = min(won[n][2], 1 / (1 + np.exp(-2 * np.clip(s, -15, 15))))
+        for k, a, b in self.machines.get(at, ()):
+            m = margins[k]
+            for n, s in ((a, m), (b, -m)):
+                won[n][0] += s > 0
+                won[n][1] += s
+                won[n][2] = min(won[n][2], 1 / (1 + np.exp(-2 * np.clip(s, -15, 15))))
         best = max(names, key=lambda n: (won[n][0], won[n][1], n))
         return best, float(won[best][2])
 

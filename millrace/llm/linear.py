@@ -5,17 +5,20 @@ from __future__ import annotations
 import numpy as np
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30, seed: int = 1) -> np.ndarray:
+Sparse = tuple[np.ndarray, np.ndarray]  # places and values of a row that are not zero
+
+
+def svm(rows: list[Sparse], y: np.ndarray, dim: int, c: float = 10.0, epochs: int = 30, seed: int = 1) -> np.ndarray:
     """Weights (the last is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent. y: -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    q = (x * x).sum(1) + 0.5 / c
-    alpha, w, order = np.zeros(len(x)), np.zeros(x.shape[1]), np.random.default_rng(seed)
+    rows = [(np.r_[at, dim], np.r_[v, 1.0]) for at, v in rows]
+    q = [v @ v + 0.5 / c for _, v in rows]
+    alpha, w, order = [0.0] * len(rows), np.zeros(dim + 1), np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in order.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + alpha[i] * 0.5 / c
-            new = max(0.0, alpha[i] - g / q[i])
+        for i in order.permutation(len(rows)).tolist():
+            at, v = rows[i]
+            new = max(0.0, alpha[i] - (y[i] * (w[at] @ v) - 1 + alpha[i] * 0.5 / c) / q[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[at] += (new - alpha[i]) * y[i] * v
                 alpha[i] = new
     return w
 
