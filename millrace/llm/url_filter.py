@@ -3,7 +3,7 @@
 A list has dated entries: from a day on, a pattern is blocked, allowed, or dropped from the list. The
 entries of a pattern become validity intervals, and every capture is judged by the entries that were
 valid on the day it was fetched; of several patterns the longest decides. A pattern is a host, any of
-its parent domains, or a host with the first segment of the path. DataFrame operations only.
+its parent domains (an address has none), or a host with the first segment of the path. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:\[\]]+)"
+ADDRESS = r"^\[|^[0-9]+(\.[0-9]+){3}$"
 SEGMENT = r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 OPEN_END = 1 << 30
 
 
 def host_of(url: Column) -> Column:
-    """The host of a URL in lower case, without a final dot; null without one."""
+    """The host of a URL in lower case, without a final dot; an IPv6 address stands in brackets. Null without one."""
     host = F.rtrim(F.regexp_extract(F.lower(url), HOST, 1), F.lit("."))
     return F.when(host != "", host)
 
@@ -42,10 +43,10 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def candidates(host: Column, segment: Column) -> Column:
-    """Patterns that can name a capture: the host, its parents of two labels or more, the host with the segment."""
+    """Patterns that can name a capture: the host, its parents of two labels or more, the host with the segment. IP addresses have no parents."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    parents = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))).otherwise(F.array(host))
+    parents = F.when((n > 1) & ~host.rlike(ADDRESS), F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))).otherwise(F.array(host))
     return F.array_distinct(F.when(segment != "", F.concat(parents, F.array(F.concat(host, F.lit("/"), segment)))).otherwise(parents))
 
 
@@ -63,10 +64,11 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     hit = tried.join(intervals(entries), "pattern").where("day >= since and day < until")
     best = F.max(F.struct(F.length("pattern").alias("length"), "pattern", "action", "category", "since")).alias("best")
     verdicts = hit.groupBy("host", "segment", "day").agg(best)
-    out = placed.join(verdicts, ["host", "segment", "day"], "left")
-    return out.select(
-        "id", "host", "day", F.coalesce(F.col("best.action") == "block", F.lit(False)).alias("blocked"), F.col("best.pattern").alias("rule"), F.col("best.category").alias("category"), F.col("best.since").alias("since")
-    )
+    # Captures without a host or day are not joined: as nulls they would all meet in one task.
+    known = F.col("host").isNotNull() & F.col("day").isNotNull()
+    out = placed.where(known).join(verdicts, ["host", "segment", "day"], "left").select("id", "host", "day", "best.action", "best.pattern", "best.category", "best.since")
+    out = out.unionByName(placed.where(~known).select("id", "host", "day"), allowMissingColumns=True)
+    return out.select("id", "host", "day", F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"), F.col("pattern").alias("rule"), "category", "since")
 
 
 def _draw(key: Column, at: int) -> Column:
@@ -82,7 +84,7 @@ def sample_list(urls: DataFrame) -> DataFrame:
     """
     host, segment = host_of(F.col("url")), first_segment(F.col("url"))
     places = urls.select(host.alias("host"), segment.alias("segment")).where("host is not null").distinct()
-    domain = F.substring_index("host", ".", -2)
+    domain = F.when(F.col("host").rlike(ADDRESS), F.col("host")).otherwise(F.substring_index("host", ".", -2))
     named = places.select(F.col("host").alias("pattern"), F.lit(2).alias("part")).union(places.select(domain, F.lit(4))).union(places.where("segment <> ''").select(F.concat("host", F.lit("/"), "segment"), F.lit(6)))
     key = F.col("pattern")
     chosen = named.groupBy("pattern").agg(F.min("part").alias("part")).where(_draw(key, 1) % F.col("part") == 0)
@@ -108,13 +110,13 @@ def op9_url_filter(spark, sf_dir: str) -> DataFrame:
 _SQL = r"""
 with captures as (
   select page_id, cast(19723 + page_id % 366 as int) as day,
-    nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '.'), '') as host,
+    nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]+\]|[^/?#:\[\]]+)', 1), '.'), '') as host,
     regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) as segment
   from pages),
 places as (select distinct host, segment from captures where host is not null),
 named as (
   select host as pattern, 2 as part from places
-  union all select array_to_string(string_split(host, '.')[-2:], '.'), 4 from places
+  union all select case when regexp_matches(host, '^\[|^[0-9]+(\.[0-9]+){3}$') then host else array_to_string(string_split(host, '.')[-2:], '.') end, 4 from places
   union all select host || '/' || segment, 6 from places where segment <> ''),
 drawn as (
   select pattern, part, md5(pattern) as h from (select pattern, min(part) as part from named group by pattern) x),
@@ -132,7 +134,7 @@ valid as (
   select * from (select *, coalesce(lead(since) over (partition by pattern order by since), 1073741824) as until from entries) x where action <> 'drop'),
 tried as (
   select page_id, day, unnest(list_distinct(list_concat(
-    case when len(string_split(host, '.')) > 1 then [array_to_string(string_split(host, '.')[i:], '.') for i in range(1, len(string_split(host, '.')))] else [host] end,
+    case when len(string_split(host, '.')) > 1 and not regexp_matches(host, '^\[|^[0-9]+(\.[0-9]+){3}$') then [array_to_string(string_split(host, '.')[i:], '.') for i in range(1, len(string_split(host, '.')))] else [host] end,
     case when segment <> '' then [host || '/' || segment] else [] end))) as pattern
   from captures where host is not null),
 best as (
