@@ -7,12 +7,16 @@ remove what it has met before.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import incremental
+
 DEPTH = 8
 
 
@@ -61,10 +65,13 @@ def merged(members: DataFrame) -> DataFrame:
 
 
 def first_owner(members: DataFrame, order: DataFrame) -> DataFrame:
-    """Per (root, name) the members of the owner that comes first in the root's linear order (root, owner, at)."""
+    """Per (root, name) the members of the owner that comes first in the root's linear order (root, owner, at); in a root without an order, those of the owner of the first member of least depth."""
     placed = members.join(order, ["root", "owner"])
     least = placed.groupBy("root", "name").agg(F.min("at").alias("at"))
-    return placed.join(least, ["root", "name", "at"]).drop("at")
+    ordered = placed.join(least, ["root", "name", "at"]).drop("at")
+    rest = members.join(order.select("root").distinct(), "root", "left_anti")
+    nearest = rest.groupBy("root", "name").agg(F.min_by("owner", F.struct("depth", "id")).alias("owner"))
+    return ordered.unionByName(rest.join(nearest, ["root", "name", "owner"]))
 
 
 def interface_members(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,78 +81,110 @@ def interface_members(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("_at = 1").drop("_first", "_at"), marked.where("_at > 1 and sig <> _first").drop("_first", "_at")
 
 
-def linearised(bases: dict, node, seen: tuple = ()) -> list | None:
+def linearised(bases: dict, node, known: dict | None = None) -> list | None:
     """The C3 order of a node: itself, then the merge of its bases' orders and its bases; None if there is none.
 
-    bases: node to its bases in order. A cycle has no order.
+    bases: node to its bases in order. A cycle has no order. known: orders found before, of a node at work None.
     """
-    if node in seen:
-        return None
-    parts = []
-    for b in bases.get(node, ()):
-        order = linearised(bases, b, (*seen, node))
+    known = {} if known is None else known
+    if node in known:
+        return known[node]
+    known[node] = None
+    own, parts = list(bases.get(node, ())), []
+    for b in own:
+        order = linearised(bases, b, known)
         if order is None:
             return None
         parts.append(order)
-    parts.append(list(bases.get(node, ())))
+    parts = [p for p in (*parts, own) if p]
+    at = [0] * len(parts)
+    tails = Counter(x for p in parts for x in p[1:])
     out = [node]
-    while parts := [p for p in parts if p]:
-        for p in parts:
-            if not any(p[0] in q[1:] for q in parts):
-                head = p[0]
-                break
-        else:
+    while any(k < len(p) for k, p in zip(at, parts, strict=True)):
+        head = next((p[k] for k, p in zip(at, parts, strict=True) if k < len(p) and not tails[p[k]]), None)
+        if head is None:
             return None
         out.append(head)
-        parts = [[x for x in p if x != head] for p in parts]
+        for i, p in enumerate(parts):
+            if at[i] < len(p) and p[at[i]] == head:
+                at[i] += 1
+                if at[i] < len(p):
+                    tails[p[at[i]]] -= 1
+    known[node] = out
     return out
 
 
+def rooted(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """root, node, base, pos: the edges (node, base, pos) of all nodes that each root (root) leads to."""
+    reach = incremental.reached_by(roots.select(F.col("root").alias("start"), F.col("root").alias("id")), edges.select(F.col("node").alias("id"), F.col("base").alias("next")))
+    return reach.select(F.col("start").alias("root"), F.col("id").alias("node")).join(edges.select("node", "base", "pos"), "node").select("root", "node", "base", "pos")
+
+
+def _per_group(run):
+    """A function of a group's lists, over rows (group, lists...), to rows (group, item, number)."""
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            groups, lists = batch.column(0).to_pylist(), [c.to_pylist() for c in batch.columns[1:]]
+            orders = [run(g, *x) for g, *x in zip(groups, *lists, strict=True)]
+            rows = [(g, x, k) for g, order in zip(groups, orders, strict=True) for k, x in enumerate(order)]
+            columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True) if rows else ()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["a", "b", "c"])
+
+    return batches
+
+
 def linear_orders(edges: DataFrame) -> DataFrame:
     """root, owner, at (from 0) of the C3 order of each root; roots without an order have no rows.
 
-    edges: root, node, base, pos, the base lists of all nodes below each root. Roots are independent,
-    so each is a group of its own, of the size of one hierarchy.
+    edges: root, node, base, pos, the base lists of all nodes above each root. Roots are independent,
+    so each is a list of its own, of the size of one hierarchy.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    def one(root: int, rows: list[dict]) -> list:
         bases: dict = {}
-        for node, base in rows.sort_values(["node", "pos"])[["node", "base"]].itertuples(index=False):
-            bases.setdefault(node, []).append(base)
-        order = linearised(bases, rows["root"].iloc[0]) or []
-        return pd.DataFrame({"root": [rows["root"].iloc[0]] * len(order), "owner": order, "at": range(len(order))}, columns=["root", "owner", "at"])
+        for r in rows:
+            bases.setdefault(r["node"], []).append(r["base"])
+        return linearised(bases, root) or []
 
-    return edges.groupBy("root").applyInPandas(one, "root long, owner long, at int")
+    e = edges.select(*[F.col(c).cast("long").alias(c) for c in ("root", "node", "base")], "pos")
+    lists = e.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("node", "pos", "base"))).alias("rows"))
+    return lists.mapInArrow(_per_group(one), "root long, owner long, at int")
 
 
 def topological(items: Sequence, after: dict) -> list:
     """Items in an order in which each comes after what it needs; of those that are free the first by place. A cycle keeps the given order."""
     place = {x: k for k, x in enumerate(items)}
-    left, out = {x: {y for y in after.get(x, ()) if y in place and y != x} for x in items}, []
-    while left:
-        free = [x for x in left if not left[x]]
-        if not free:
-            return list(items)
-        x = min(free, key=place.__getitem__)
+    left = {x: {y for y in after.get(x, ()) if y in place and y != x} for x in items}
+    waiting: dict = {}
+    for x, needs in left.items():
+        for y in needs:
+            waiting.setdefault(y, []).append(x)
+    free, out = [place[x] for x in items if not left[x]], []
+    heapq.heapify(free)
+    while free:
+        x = items[heapq.heappop(free)]
         out.append(x)
-        del left[x]
-        for needs in left.values():
-            needs.discard(x)
-    return out
+        for y in waiting.get(x, ()):
+            left[y].discard(x)
+            if not left[y]:
+                heapq.heappush(free, place[y])
+    return out if len(out) == len(items) else list(items)
 
 
 def topological_orders(items: DataFrame, needs: DataFrame) -> DataFrame:
-    """unit, item, at (from 0). items: unit, item, pos; needs: unit, item, need. Each unit (a file) is a group."""
+    """unit, item, at (from 0). items: unit, item, pos; needs: unit, item, need. Each unit (a file) is a list of its own."""
 
-    def one(key, rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    def one(unit: int, rows: list[dict], edges: list[dict] | None) -> list:
         after: dict = {}
-        for item, need in edges[["_item", "_need"]].itertuples(index=False):
-            after.setdefault(item, set()).add(need)
-        order = topological(rows.sort_values(["pos", "item"])["item"].tolist(), after)
-        return pd.DataFrame({"unit": [key[0]] * len(order), "item": order, "at": range(len(order))}, columns=["unit", "item", "at"])
+        for e in edges or ():
+            after.setdefault(e["item"], set()).add(e["need"])
+        return topological([r["item"] for r in rows], after)
 
-    needs = needs.select(F.col("unit").alias("_unit"), F.col("item").alias("_item"), F.col("need").alias("_need"))
-    return items.groupBy("unit").cogroup(needs.groupBy("_unit")).applyInPandas(one, "unit long, item long, at int")
+    lists = items.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("pos", "item"))).alias("rows"))
+    edges = needs.groupBy("unit").agg(F.collect_list(F.struct("item", "need")).alias("edges"))
+    return lists.join(edges, "unit", "left").mapInArrow(_per_group(one), "unit long, item long, at int")
 
 
 def instance_ordinals(instances: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "ord") -> DataFrame:

@@ -1,11 +1,12 @@
 """Incremental recomputation: what a change makes dirty, and bringing results up to date.
 
 The loops run on the driver; what they carry from round to round is written in the folder of
-spark.checkpoint.dir, or held in a cache where none is set, so that plans do not grow.
+spark.checkpoint.dir, so that plans do not grow.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -15,13 +16,16 @@ from . import facts
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, where the session has a folder for that."""
+    """df with its lineage cut, in the folder of spark.checkpoint.dir; where that is unset, in a local one, but only if the executors are on this machine."""
     spark = df.sparkSession
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            return df.persist()
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
+            spark.conf.set("spark.checkpoint.dir", folder)
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
@@ -40,6 +44,35 @@ def reached(start: DataFrame, edges: DataFrame, rounds: int | None = None) -> Da
     return seen
 
 
+def reached_by(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """start and id of everything that each start leads to, itself included. starts: start, id; edges: id, next."""
+    step = edges.select("id", F.col("next").alias("_next")).distinct()
+    seen = frontier = cut(starts.select("start", "id").distinct())
+    while not frontier.isEmpty():
+        frontier = cut(frontier.join(step, "id").select("start", F.col("_next").alias("id")).distinct().join(seen, ["start", "id"], "left_anti"))
+        seen = cut(seen.unionByName(frontier))
+    return seen
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node and comp, the smallest node that it is linked with directly or not, for every node of links (a, b).
+
+    Each round every node takes the smallest of its neighbours, what these have taken is followed, and
+    the links are contracted, so that a chain takes about the logarithm of its length in rounds.
+    """
+    edges = cut(links.select("a", "b").where("a <> b").distinct())
+    names = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().select("node", F.col("node").alias("comp"))
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        hook = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("p")))
+        for _ in range(2):
+            hook = cut(hook.join(hook.select(F.col("x").alias("p"), F.col("p").alias("q")), "p").select("x", F.col("q").alias("p")))
+        names = cut(names.join(hook.select(F.col("x").alias("comp"), "p"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")))
+        pa, pb = hook.select(F.col("x").alias("a"), F.col("p").alias("pa")), hook.select(F.col("x").alias("b"), F.col("p").alias("pb"))
+        edges = cut(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+    return names
+
+
 def reached_through(start: DataFrame, uses: DataFrame, rounds: int | None = None) -> DataFrame:
     """id and hop of all that start (id) is tied to by sharing something: uses has id and via.
 
@@ -74,9 +107,14 @@ def dirty_records(reads: DataFrame, edges: DataFrame, rounds: int | None = None)
 
 
 def closure_of_groups(start: DataFrame, members: DataFrame) -> DataFrame:
-    """Groups that start (group) pulls in: groups that share a file, until none joins. members: group, file."""
-    uses = members.select(F.col("group").alias("id"), F.col("file").alias("via"))
-    return reached_through(start.select(F.col("group").alias("id")), uses).select(F.col("id").alias("group"))
+    """Groups that start (group) pulls in: groups that share a file, until none joins. members: group, file.
+
+    The files of a group are linked with its first; a long chain of groups takes few rounds.
+    """
+    first = members.groupBy("group").agg(F.min("file").alias("first"))
+    names = components(members.select("group", "file").join(first, "group").select(F.col("first").alias("a"), F.col("file").alias("b")))
+    placed = first.join(names.withColumnRenamed("node", "first"), "first").select("group", "comp")
+    return placed.join(placed.join(start.select("group").distinct(), "group", "left_semi").select("comp").distinct(), "comp", "left_semi").select("group")
 
 
 def needed(start: DataFrame, needs: DataFrame, loaded: DataFrame | None = None) -> DataFrame:

@@ -82,9 +82,9 @@ def unique_params(t):
     return emitting.unique_params(rows, ["fn"]).select("id", "pos", "settled")
 
 
-@query("select l_orderkey, string_agg(l_returnflag || l_linestatus, ',' order by l_linenumber, l_partkey, l_suppkey) as signature from lineitem where l_orderkey % 10 = 0 group by 1")
+@query("select l_orderkey, string_agg(l_returnflag || l_linestatus, ',' order by l_linenumber, l_partkey, l_suppkey) as signature from lineitem group by 1")
 def signature_keys(t):
-    rows = t.lineitem.where("l_orderkey % 10 = 0").withColumn("type", F.concat("l_returnflag", "l_linestatus"))
+    rows = t.lineitem.withColumn("type", F.concat("l_returnflag", "l_linestatus"))
     return grouping.accumulated(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "type", "signature")
 
 
@@ -107,9 +107,9 @@ def emit_refused(t):
     return emitting.translated(t.part, mapping, ["p_type"])[1].select("p_partkey")
 
 
-@query("select p_partkey, 'mirror' || p_brand as host, true as mirrored from part where p_size > 40")
+@query("select p_partkey, 'mirror' || p_brand as host, true as mirrored from part")
 def mirrored_methods(t):
-    return emitting.mirrored(t.part.where("p_size > 40"), F.concat(F.lit("mirror"), "p_brand")).select("p_partkey", "host", "mirrored")
+    return emitting.mirrored(t.part, F.concat(F.lit("mirror"), "p_brand")).select("p_partkey", "host", "mirrored")
 
 
 @query("select p_partkey, case p_type when 'ECONOMY' then 'int' when 'PROMO' then 'float' else 'string' end as witness from part")
@@ -125,17 +125,17 @@ def error_contract(t):
     return linking.satisfying(m, t.spark.createDataFrame([("F",), ("O",)], "member string")).select(F.col("owner").alias("o_custkey"))
 
 
-@query("select l_suppkey, l_orderkey, l_partkey, cast(row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) as int) as at from lineitem where l_quantity > 48")
+@query("select l_suppkey, l_orderkey, l_partkey, cast(row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) as int) as at from lineitem")
 def slot_appends(t):
-    return emitting.appended(t.lineitem.where("l_quantity > 48"), ["l_suppkey"], ["l_orderkey", "l_linenumber"], "l_partkey").select("l_suppkey", "l_orderkey", "l_partkey", "at")
+    return emitting.appended(t.lineitem, ["l_suppkey"], ["l_orderkey", "l_linenumber"], "l_partkey").select("l_suppkey", "l_orderkey", "l_partkey", "at")
 
 
-@query("select p_brand, 'package ' || p_brand || chr(10) || string_agg('type ' || p_partkey, chr(10) order by p_partkey) as body from part where p_size > 30 group by p_brand")
+@query("select p_brand, 'package ' || p_brand || chr(10) || string_agg('type ' || p_partkey, chr(10) order by p_partkey) as body from part group by p_brand")
 def rendered_files(t):
     def render(rows):
         return f"package {rows[0]['p_brand']}\n" + "\n".join(f"type {r['p_partkey']}" for r in rows)
 
-    return emitting.rendered(t.part.where("p_size > 30").select("p_brand", "p_partkey"), "p_brand", render, ["p_partkey"])
+    return emitting.rendered(t.part.select("p_brand", "p_partkey"), "p_brand", render, ["p_partkey"])
 
 
 @query("select p_brand, max(p_size) - min(p_size) as spread, count(*) as n from part group by p_brand")

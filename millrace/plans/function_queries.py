@@ -115,10 +115,10 @@ def normalised_text(t):
     return t.documents.select("doc_id", text.normalised(F.col("text")).alias("body"))
 
 
-@query("select doc_id, array_to_string([trim(x, ' ') for x in string_split(text, chr(10))], ' ') as body from documents where doc_id % 3 = 0")
+@query("select doc_id, array_to_string([trim(x, ' ') for x in string_split(text, chr(10))], ' ') as body from documents")
 def folded_lines(t):
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.trim(x), F.lit(" \\")))
-    return t.documents.where("doc_id % 3 = 0").select("doc_id", text.joined(lines).alias("body"))
+    return t.documents.select("doc_id", text.joined(lines).alias("body"))
 
 
 @query("select event_id, case when event_id % 2 = 0 then '+' else '-' end as mark, event_type || ' k=' || user_id as payload from events where event_id % 3 <> 0")
@@ -147,10 +147,10 @@ def code_parsing(t):
     return t.orders.select("o_orderkey", identity.code_parts(code).alias("c")).select("o_orderkey", "c.prefix", "c.number")
 
 
-@query("select l_orderkey, l_linenumber, l_shipmode as file, line, col from (select l_orderkey, l_linenumber, 'f' || l_suppkey || '.go' as l_shipmode, cast(l_partkey as int) as line, l_linenumber as col from lineitem where l_quantity < 3) x")
+@query("select l_orderkey, l_linenumber, l_shipmode as file, line, col from (select l_orderkey, l_linenumber, 'f' || l_suppkey || '.go' as l_shipmode, cast(l_partkey as int) as line, l_linenumber as col from lineitem) x")
 def position_parsing(t):
     spelled = F.concat(F.lit("f"), F.col("l_suppkey").cast("string"), F.lit(".go:"), F.col("l_partkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string"))
-    return t.lineitem.where("l_quantity < 3").select("l_orderkey", "l_linenumber", identity.position_parts(spelled).alias("p")).select("l_orderkey", "l_linenumber", "p.file", "p.line", "p.col")
+    return t.lineitem.select("l_orderkey", "l_linenumber", identity.position_parts(spelled).alias("p")).select("l_orderkey", "l_linenumber", "p.file", "p.line", "p.col")
 
 
 @query("select o_orderkey, case when o_orderkey - 200 between -128 and 127 then cast(o_orderkey - 200 as bigint) end as i8, case when o_orderkey - 200 between 0 and 255 then cast(o_orderkey - 200 as bigint) end as u8 from orders")
@@ -196,7 +196,7 @@ def mentioned_params(t):
 
 
 SIG = """s as (select l_orderkey, l_linenumber, l_partkey % 4 as inputs, l_suppkey % 4 as vals, l_returnflag = 'R' as fails, l_linestatus = 'O' as has_ctx, l_linenumber = 3 as variadic,
-  ['Named', 'List', 'Interface', 'Scalar'][cast(l_partkey % 16 / 4 as int) % 4 + 1] as first_form, ['Bool', 'List', 'Optional', 'Named'][cast(l_suppkey // 4 % 4 as int) + 1] as value_form, l_quantity > 45 as stream, case when l_quantity < 10 then 'Close' when l_quantity < 20 then 'remove' else 'Run' end as name, l_quantity > 25 as same from lineitem where l_orderkey % 5 = 0)"""
+  ['Named', 'List', 'Interface', 'Scalar'][cast(l_partkey % 16 / 4 as int) % 4 + 1] as first_form, ['Bool', 'List', 'Optional', 'Named'][cast(l_suppkey // 4 % 4 as int) + 1] as value_form, l_quantity > 45 as stream, case when l_quantity < 10 then 'Close' when l_quantity < 20 then 'remove' else 'Run' end as name, l_quantity > 25 as same from lineitem)"""
 
 
 def _signatures(t):
@@ -206,7 +206,7 @@ def _signatures(t):
     inputs, values = (c("l_partkey") % 4).alias("inputs"), (c("l_suppkey") % 4).alias("values")
     fails, ctx = c("l_returnflag") == "R", c("l_linestatus") == "O"
     typed = F.when(c("l_quantity") > 25, "T").otherwise("")
-    return t.lineitem.where("l_orderkey % 5 = 0").select(
+    return t.lineitem.select(
         "l_orderkey", "l_linenumber", inputs, values, fails.alias("fails"), ctx.alias("has_ctx"), (inputs + ctx.cast("int")).alias("n_params"), (values + F.when(fails, 1).otherwise(0)).alias("n_returns"),
         pick(("Named", "List", "Interface", "Scalar"), F.floor(c("l_partkey") % 16 / 4) % 4).alias("first_form"), (c("l_linenumber") == 3).alias("first_variadic"), value_form.alias("value_form"),
         F.when(~fails & (values > 0), value_form).otherwise("Named").alias("last_form"), typed.alias("first_type"), typed.alias("value_type"), (c("l_quantity") > 45).alias("stream"),
@@ -214,7 +214,7 @@ def _signatures(t):
     )
 
 
-@query("""with s0 as (select l_orderkey, l_linenumber, l_partkey % 4 as i, l_suppkey % 4 as v, l_returnflag = 'R' as f, l_linestatus = 'O' as c, l_linenumber = 3 as va, ['Named', 'List', 'Interface', 'Scalar'][cast(l_partkey % 16 // 4 as int) + 1] as ff, ['Bool', 'List', 'Optional', 'Named'][cast(l_suppkey // 4 % 4 as int) + 1] as vf, l_quantity > 45 as st, case when l_quantity < 10 then 'close' when l_quantity < 20 then 'remove' else 'run' end as n, l_quantity > 25 as same from lineitem where l_orderkey % 5 = 0),
+@query("""with s0 as (select l_orderkey, l_linenumber, l_partkey % 4 as i, l_suppkey % 4 as v, l_returnflag = 'R' as f, l_linestatus = 'O' as c, l_linenumber = 3 as va, ['Named', 'List', 'Interface', 'Scalar'][cast(l_partkey % 16 // 4 as int) + 1] as ff, ['Bool', 'List', 'Optional', 'Named'][cast(l_suppkey // 4 % 4 as int) + 1] as vf, l_quantity > 45 as st, case when l_quantity < 10 then 'close' when l_quantity < 20 then 'remove' else 'run' end as n, l_quantity > 25 as same from lineitem),
 s as (select *, i + case when c then 1 else 0 end as np, v + case when f then 1 else 0 end as nr, case when not f and v > 0 then vf else 'Named' end as lf from s0)
 select l_orderkey, l_linenumber, case when f and i = 1 and va and v = 1 and vf in ('List', 'Bytes') then 'BatchReader' when f and np = 0 and v = 0 and n = 'close' then 'Closer' when f and i = 2 and v = 0 then 'CompositeWriter' when f and i = 1 and v = 0 and n = 'remove' then 'Deleter' when c and f and i = 0 and v = 0 then 'Lifecycle' when i = 1 and nr = 3 and lf = 'Bool' then 'Lookup' when f and i = 0 and v >= 2 then 'MultiAggregator' when f and i >= 3 and v = 0 then 'MultiArgWriter' when f and i = 1 and v >= 2 then 'MultiReader' when not f and i = 1 and nr = 0 then 'Mutator' when f and np = 0 and v = 0 then 'PoisonAccessor' when np = 0 and nr = 1 and lf = 'Bool' then 'Predicate' when i = 1 and nr = 2 and lf = 'Bool' then 'ReaderWithBool' when c and f and i = 1 and v = 1 and ff = 'Interface' then 'StreamConsumer' when f and i = 1 and v = 1 and same then 'AnsweringWriter' when f and i = 1 and v = 1 and ff not in ('List', 'Interface') then 'Reader' when i <= 1 and nr = 1 and st then 'StreamReader' when not c and not f and nr = 1 then 'Computation' when i = 0 and v = 1 then 'Aggregator' when not f and i = 1 and nr = 1 and vf = 'Optional' then 'PointerReader' when not f and i = 1 and not va and nr = 1 and v = 1 and not st then 'ReaderNoError' when np = 0 and nr = 0 and not f then 'VoidLifecycle' when f and i = 1 and v = 0 then 'Writer' end as shape from s""")
 def shape_detection(t):
