@@ -193,6 +193,17 @@ def test_components(spark):
     assert found == want
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    made = []
+    materialize = cc.materialize
+    monkeypatch.setattr(cc, "materialize", lambda df, name: made.append(name) or materialize(df, name))
+    rng = random.Random(3)
+    mixed = rng.sample(range(1000, 1300), 300)
+    links = [(k, k + 1) for k in range(300)] + list(zip(mixed, mixed[1:]))
+    found = {r.node: r.comp for r in cc.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert set(found.values()) == {0, 1000} and len(found) == 601 and made.count("links") <= 7 and made.count("hook") < 30
+
+
 def edits(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
