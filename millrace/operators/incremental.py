@@ -7,27 +7,31 @@ spark.checkpoint.dir, so that plans do not grow.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import facts
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a local one, but only if the executors are on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder of spark.checkpoint.dir; where that is unset, in a local one, but only if the executors are on this machine."""
-    spark = df.sparkSession
-    context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-            spark.conf.set("spark.checkpoint.dir", folder)
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """df as a table written in the shared folder: neither its lineage nor what the planner infers from it grows from round to round."""
+    path = f"{shared_folder(df.sparkSession)}/millrace-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reached(start: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -57,16 +61,20 @@ def reached_by(starts: DataFrame, edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and comp, the smallest node that it is linked with directly or not, for every node of links (a, b).
 
-    Each round every node takes the smallest of its neighbours, what these have taken is followed, and
-    the links are contracted, so that a chain takes about the logarithm of its length in rounds.
+    Each round every node takes the smallest of its neighbours, what these have taken is followed to its
+    end, twice as far at each step, and the links are contracted: each round leaves half of the nodes at
+    most.
     """
     edges = cut(links.select("a", "b").where("a <> b").distinct())
     names = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().select("node", F.col("node").alias("comp"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         hook = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("p")))
-        for _ in range(2):
-            hook = cut(hook.join(hook.select(F.col("x").alias("p"), F.col("p").alias("q")), "p").select("x", F.col("q").alias("p")))
+        moved = True
+        while moved:
+            up = hook.select(F.col("x").alias("p"), F.col("p").alias("q"))
+            hook = cut(hook.select("x", "p").join(up, "p").select("x", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+            moved = not hook.where("moved").isEmpty()
         names = cut(names.join(hook.select(F.col("x").alias("comp"), "p"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")))
         pa, pb = hook.select(F.col("x").alias("a"), F.col("p").alias("pa")), hook.select(F.col("x").alias("b"), F.col("p").alias("pb"))
         edges = cut(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())

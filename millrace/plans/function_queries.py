@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import directives, identity, naming, signatures, text
+from ..operators import incremental
 from ..sources import state
 from ..streaming import watch
 from .registry import query
@@ -252,8 +252,7 @@ def spelled_names(t):
 
 
 def _folder(t) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='millrace-')}/state-{uuid.uuid4().hex}"
+    return f"{incremental.shared_folder(t.spark)}/state-{uuid.uuid4().hex}"
 
 
 @query("select o_orderkey as key, case when o_orderkey % 10 = 3 then 'new' else o_orderstatus end as value from orders where o_orderkey % 10 not in (0, 1) union all select o_orderkey + 100000000, 'added' from orders where o_orderkey % 100 = 7")
