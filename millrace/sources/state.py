@@ -1,8 +1,9 @@
 """State kept between runs: generations of runs, manifests in shards, outputs written where they differ.
 
 A store is a folder of any Hadoop file system. Runs of a table are immutable Parquet folders; a
-generation is a small JSON file that names the live runs of each table, and CURRENT names the live
-generation. A reader sees the old generation or the new one, never a mix.
+generation is a small JSON file that names the live runs of each table. Generations are numbered, and
+the last one is live. One is written under another name and renamed when it is whole, and none is ever
+written over: a reader sees the old generation or the new one, never a mix, and a crash leaves the old.
 """
 
 from __future__ import annotations
@@ -43,9 +44,24 @@ class Store:
         finally:
             stream.close()
 
+    def _current(self) -> str | None:
+        """The live generation's file."""
+        p = self._path(f"{self.root}/generations")
+        names = [s.getPath().getName() for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
+        last = max((n for n in names if n.endswith(".json")), default=None)
+        return last and f"generations/{last}"
+
+    def _publish(self, generation: dict) -> None:
+        current = self._current()
+        number = int(current.split("/")[1].split(".")[0]) + 1 if current else 0
+        staged, at = f"generations/{uuid.uuid4().hex}.tmp", f"generations/{number:016d}.json"
+        self._write(staged, json.dumps(generation))
+        if self._fs.exists(self._path(f"{self.root}/{at}")) or not self._fs.rename(self._path(f"{self.root}/{staged}"), self._path(f"{self.root}/{at}")):
+            raise FileExistsError(f"another run has published {at}")
+
     def generation(self) -> dict[str, list[dict]]:
         """Of each table its live runs, oldest first: name and rows."""
-        current = self._read("CURRENT")
+        current = self._current()
         return json.loads(self._read(current)) if current else {}
 
     def table(self, name: str, key: str = "key", schema=None) -> DataFrame | None:
@@ -85,13 +101,11 @@ class Store:
                 newest(every, key).drop("run").withColumn("dead", F.lit(False)).write.parquet(f"{self.root}/{folder}")
                 runs = [{"name": folder, "rows": self.spark.read.parquet(f"{self.root}/{folder}").count()}]
             generation[name] = runs
-        at = f"generations/{uuid.uuid4().hex}.json"
-        self._write(at, json.dumps(generation))
-        self._write("CURRENT", at)
+        self._publish(generation)
 
     def collect_garbage(self) -> int:
         """Delete runs and generations that the live generation does not name. How many went."""
-        current, gone = self._read("CURRENT"), 0
+        current, gone = self._current(), 0
         live = {run["name"] for runs in self.generation().values() for run in runs} | {current}
         for folder in ("runs", "generations"):
             p = self._path(f"{self.root}/{folder}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -183,3 +184,64 @@ def test_warm_equals_cold(spark):
     assert sorted(map(tuple, warm.select("subject", "value").collect())) == sorted(map(tuple, cold.select("subject", "value").collect()))
     assert changed.count() == 7
     assert incremental.warm_winners(c, c, c.limit(0), run)[1].count() == 0
+
+
+def order_brute(bases, node, path=()):
+    """C3 by its definition, each base's order found anew."""
+    if node in path:
+        return None
+    parts = [order_brute(bases, b, (*path, node)) for b in bases.get(node, ())]
+    if None in parts:
+        return None
+    parts, out = [list(p) for p in (*parts, bases.get(node, ())) if p], [node]
+    while parts:
+        heads = [p[0] for p in parts if not any(p[0] in q[1:] for q in parts)]
+        if not heads:
+            return None
+        out.append(heads[0])
+        parts = [q for p in parts if (q := [x for x in p if x != heads[0]])]
+    return out
+
+
+def test_linear_orders_of_all_ancestors(spark):
+    from millrace import catalog
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    got = {}
+    for r in sorted(catalog.queries()["c3_orders"](spark, folder).collect(), key=lambda r: (r.root, r.at)):
+        got.setdefault(r.root, []).append(r.owner)
+    nodes = [r[0] for r in spark.read.parquet(f"{folder}/part.parquet").select("p_partkey").collect() if r[0] > 0]
+    bases = {n: [b for b in dict.fromkeys((n // 2, n // 3)) if b > 0] for n in nodes}
+    want = {n: order for n in nodes if bases[n] and (order := order_brute(bases, n))}
+    assert got == want and len(got) > 10 and max(map(len, got.values())) > 5
+
+
+def test_topological_orders(spark):
+    rng = random.Random(4)
+    units = {u: (list(range(rng.randrange(1, 9))), {(rng.randrange(9), rng.randrange(9)) for _ in range(5)}) for u in range(60)}
+    items = spark.createDataFrame([(u, x, (x * 7) % 9) for u, (xs, _) in units.items() for x in xs], "unit long, item long, pos long")
+    needs = spark.createDataFrame([(u, a, b) for u, (_, es) in units.items() for a, b in es], "unit long, item long, need long")
+    got = {}
+    for r in sorted(hierarchy.topological_orders(items, needs).collect(), key=lambda r: (r.unit, r.at)):
+        got.setdefault(r.unit, []).append(r.item)
+    for u, (xs, es) in units.items():
+        given = sorted(xs, key=lambda x: ((x * 7) % 9, x))
+        left, out, after = list(given), [], {x: {b for a, b in es if a == x and b in xs and b != x} for x in xs}
+        while free := [x for x in left if not after[x] - set(out)]:
+            out.append(free[0])
+            left.remove(free[0])
+        assert got[u] == (given if left else out)
+
+
+def test_without_an_order_the_nearest_owner_counts(spark):
+    members = spark.createDataFrame([(1, "m", 10, 1, 5), (1, "m", 11, 1, 4), (1, "m", 12, 2, 3), (2, "m", 20, 1, 9), (2, "m", 21, 1, 9), (2, "m", 22, 1, 8)], "root long, name string, id long, depth int, owner long")
+    order = spark.createDataFrame([(1, 3, 0), (1, 4, 1), (1, 5, 2)], "root long, owner long, at int")
+    assert {r.id for r in hierarchy.first_owner(members, order).collect()} == {12, 20, 21}
+
+
+def test_closure_of_a_long_chain(spark):
+    members = spark.createDataFrame([(k, f) for k in range(400) if k != 300 for f in (k, k + 1)], "group long, file long")
+    found = incremental.closure_of_groups(spark.createDataFrame([(250,)], "group long"), members)
+    assert {r.group for r in found.collect()} == set(range(300))

@@ -121,3 +121,23 @@ def test_plugins_run_in_order(spark):
     assert rules.selected_plans(["c"], {"c": ["a", "b"], "b": ["a"]}) == ["a", "b", "c"]
     with pytest.raises(ValueError, match="depend on each other"):
         rules.selected_plans(["a"], {"a": ["a"]})
+
+
+def test_a_crash_before_publishing_keeps_the_old_generation(spark, tmp_path, monkeypatch):
+    store = state.Store(spark, f"file://{tmp_path}/s")
+    rows = lambda v: {"t": spark.createDataFrame([(1, v, False)], "key long, value string, dead boolean")}
+    store.commit(rows("old"))
+    write = store._write
+
+    def fails(name, text):
+        write(name, text[:1])  # half of it, then the end
+        raise OSError
+
+    monkeypatch.setattr(store, "_write", fails)
+    with pytest.raises(OSError):
+        store.commit(rows("new"))
+    fresh = state.Store(spark, f"file://{tmp_path}/s")
+    assert [r.value for r in fresh.table("t").collect()] == ["old"]
+    fresh.commit(rows("newer"))
+    assert [r.value for r in fresh.table("t").collect()] == ["newer"] and fresh.collect_garbage() > 0
+    assert [r.value for r in fresh.table("t").collect()] == ["newer"]
