@@ -32,10 +32,11 @@ def work_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None, codec: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: its lineage ends there.
 
-    batch_rows: the most rows in an Arrow batch meanwhile, where single rows can be large.
+    batch_rows: the most rows in an Arrow batch meanwhile, where single rows can be large. codec: of the
+    files, where the session's is not the one to take.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
@@ -43,7 +44,7 @@ def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
     try:
         if batch_rows:
             spark.conf.set(BATCH, str(min(batch_rows, int(before))) if int(before) > 0 else str(batch_rows))
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
