@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, periodic_runs, sharding, toxicity, url_filter
+from . import bpe, embedding_dedup, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, periodic_runs, sharding, toxicity, url_filter, vector_codes
 
-MODULES = (ngram_join, toxicity, sharding, embedding_dedup, mixing, exact_dedup, language_id, bpe, url_filter, line_dedup, periodic_runs, packing)
+MODULES = (ngram_join, toxicity, sharding, embedding_dedup, mixing, exact_dedup, language_id, bpe, url_filter, line_dedup, periodic_runs, vector_codes, packing)
 
 
 def queries() -> dict:
