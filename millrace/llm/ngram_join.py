@@ -24,7 +24,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._work import discard, keep_alone, materialize, shuffle_partitions
@@ -141,7 +141,7 @@ def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-_DOCS = (np.int64, np.int64, np.int64)  # id, set, size
+_DOCS = (np.int64, np.int64, np.int64, np.int64)  # id, hash of the text, set, size
 _KEYS = (np.int64, np.int32, U64, U64, np.int32, np.uint32, np.uint8)  # per set: set, size, sketch, keys; per key: 40 bits
 
 
@@ -159,7 +159,7 @@ def _deal(buckets: int):
         docs, sets, keys, held, large = [], [], [], 0, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(0, docs[0][1] % buckets, _pack(*(np.array(c, np.int64) for c in zip(*docs, strict=True))))] if docs else []
+            rows = [(0, docs[0][2] % buckets, _pack(*(np.array(c, np.int64) for c in zip(*docs, strict=True))))] if docs else []
             if sets:
                 key = np.concatenate(keys)
                 owner = np.repeat(np.arange(len(keys), dtype=np.int64), [len(k) for k in keys])
@@ -178,10 +178,10 @@ def _deal(buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["kind", "bucket", "ref", "n", "data"])
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingles(text)
                 ref = _name(s.tobytes())
-                docs.append((i, ref, len(s)))
+                docs.append((i, h, ref, len(s)))
                 if len(s) and ref not in seen:
                     if len(seen) > MAX_CACHED:
                         seen.clear()
@@ -268,12 +268,12 @@ def _merged(large: list[np.ndarray], n: np.ndarray, s0: np.ndarray, s1: np.ndarr
     return [np.array(sorted(x)) for x in out]
 
 
-_OUT = ["kind", "a", "b", "n", "sketch"]
+_OUT = ["kind", "a", "b", "n", "h", "sketch"]
 
 
-def _rows(kind: int, a, b, n=None, sketch=None) -> pa.RecordBatch:
+def _rows(kind: int, a, b, n=None, h=None, sketch=None) -> pa.RecordBatch:
     zero = np.zeros(len(a), np.int64)
-    columns = [np.full(len(a), kind, np.int32), *(zero if c is None else c.astype(np.int64) for c in (a, b, n))]
+    columns = [np.full(len(a), kind, np.int32), *(zero if c is None else c.astype(np.int64) for c in (a, b, n, h))]
     return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(sketch or [None] * len(a), pa.binary())], names=_OUT)
 
 
@@ -292,7 +292,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketches = []
         for kind, bucket, name, size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if kind == 0:
-                yield _rows(0, *_unpack(data, _DOCS))
+                i, h, ref, n = _unpack(data, _DOCS)
+                yield _rows(0, i, ref, n, h)
                 continue
             if kind == 3:
                 sketches.append((name, size, data))
@@ -403,19 +404,20 @@ def _verified(threshold: int):
     return run
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links).
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What tells rows apart: the id, and a hash of the text, as ids can be null or repeat."""
+    return F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
 
-    Two documents link if their shingle sets have 100 * intersection >= 75 * union. Null, empty and
-    blank texts have no shingles and link with nothing. A row with a null id takes part in links, but
-    never names a component that has another id. An empty table gives no rows.
-    """
+
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each row of docs its key (id, h), n (shingles) and first: the smallest key of its component. Rows without shingles are their own."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
+    i, h = _row_key(docs, id_col, text_col)
+    rows = docs.select(i.alias("id"), h.alias("h"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
     dealt = rows.mapInArrow(_deal(parts), "kind int, bucket int, ref long, n long, data binary")
-    found = materialize(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "kind int, a long, b long, n long, sketch binary"), "ngram")
-    members = found.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("ref"), "n")
+    found = materialize(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "kind int, a long, b long, n long, h long, sketch binary"), "ngram")
+    members = found.where("kind = 0").select(F.col("a").alias("id"), "h", F.col("b").alias("ref"), "n")
     large = found.where("kind = 3").groupBy(F.col("a").alias("ref")).agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     pairs = found.where("kind = 1").select("a", "b").distinct()
     sketch = lambda k: large.select(F.col("ref").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
@@ -428,8 +430,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(sets.repartition("name").sortWithinPartitions("name").mapInArrow(_near_members, "name long, ref long, n long, sketch binary"), "sets", ROWS)
 
     wanted = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).union(sets.select("ref")).distinct()
-    first = members.join(wanted, "ref", "left_semi").groupBy("ref").agg(F.min("id").alias("id"))
-    items = materialize(rows.join(first, "id").select("ref", "text").mapInArrow(_sets, "ref long, items binary"), "items", ROWS)
+    first = members.join(wanted, "ref", "left_semi").groupBy("ref").agg(F.min(F.struct("id", "h")).alias("key")).select("ref", "key.id", "key.h")
+    items = materialize(rows.dropDuplicates(["id", "h"]).join(first, ["id", "h"]).select("ref", "text").mapInArrow(_sets, "ref long, items binary"), "items", ROWS)
 
     def verify(edges: DataFrame) -> DataFrame:
         left, right = items.select(F.col("ref").alias("a"), F.col("items").alias("x")), items.select(F.col("ref").alias("b"), F.col("items").alias("y"))
@@ -439,18 +441,33 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return members.select("ref").distinct().join(items, "ref").select("ref", "items").mapInArrow(_finer, "ref long, key long")
 
     links, labels = linked(pairs, sets, screen, verify, _partners, finer)
-    placed = members.join(labels.select(F.col("node").alias("ref"), "comp"), "ref", "left").select("id", "n", F.coalesce("comp", "ref").alias("comp"))
-    names = placed.groupBy("comp").agg(F.min("id").alias("name"))
-    out = placed.where("n > 0").join(names, "comp").select("id", "n", "name").union(placed.where("n = 0").select("id", "n", F.col("id").alias("name")))
-    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    placed = members.join(labels.select(F.col("node").alias("ref"), "comp"), "ref", "left").select("id", "h", "n", F.coalesce("comp", "ref").alias("comp"))
+    key = F.struct("id", "h")
+    firsts = placed.where("n > 0").groupBy("comp").agg(F.min(key).alias("first"))
     discard(links, pairs, sets, items)
-    return out.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), real("name").alias("component_id"))
+    return placed.where("n > 0").join(firsts, "comp").select("id", "h", "n", "first").union(placed.where("n = 0").select("id", "h", "n", key.alias("first")))
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links).
+
+    Two documents link if their shingle sets have 100 * intersection >= 75 * union. Null, empty and
+    blank texts have no shingles and link with nothing. A row with a null id takes part in links, but
+    never names a component that has another id. Rows that share an id, or repeat, are documents of their
+    own. An empty table gives no rows.
+    """
+    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return _placed(docs, id_col, text_col).select(real("id").alias(id_col), F.col("n").alias("n_shingles"), real("first.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id. Rows that repeat it stay too."""
-    named = near_components(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_mr_id")).distinct()
-    return docs.join(named, docs[id_col].eqNullSafe(F.col("_mr_id")), "left_semi")
+    """docs with one row of each component: that of the smallest id, null ids last; of equal ids, that of the smallest hash of the text, and of equal rows any. Rows without shingles all stay."""
+    keys = ["_mr_id", "_mr_h"]
+    placed = _placed(docs, id_col, text_col).where((F.col("first.id") == F.col("id")) & (F.col("first.h") == F.col("h")))
+    kept = placed.groupBy(F.col("id").alias(keys[0]), F.col("h").alias(keys[1])).agg(F.max("n").alias("_mr_n"))
+    i, h = _row_key(docs, id_col, text_col)
+    own = F.when(F.col("_mr_n") == 0, F.monotonically_increasing_id())
+    return docs.withColumn(keys[0], i).withColumn(keys[1], h).join(kept, keys).withColumn("_mr_own", own).dropDuplicates([*keys, "_mr_own"]).drop(*keys, "_mr_n", "_mr_own")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -166,11 +166,53 @@ def test_large_sets_are_cut_again(spark, monkeypatch):
     assert got == near_brute(rows)
 
 
+def kept_brute(rows):
+    """(id, text) of the rows without shingles, and of one row of every other component: the smallest id, then any of its texts."""
+    sets = shingle_sets(rows)
+    links = [(a, b) for a, (_, s) in enumerate(sets) for b, (_, t) in enumerate(sets[:a]) if s and t and 100 * len(s & t) >= 75 * len(s | t)]
+    home, groups = joined(links, range(len(sets))), defaultdict(list)
+    for k, (i, s) in enumerate(sets):
+        groups[home[k] if s else ("alone", k)].append((i, rows[k][1]))
+    return [{(None if i == NO_ID else i, t) for i, t in g if i == min(g, key=lambda r: r[0])[0]} for g in groups.values()]
+
+
 def test_keep_one(edge_rows, edge_docs):
     kept = ngram_join.keep_one(edge_docs)
     assert kept.columns == edge_docs.columns
-    want = Counter(i for (i, _, c), n in near_brute(edge_rows).items() if i == c for _ in range(n))
-    assert Counter(r.doc_id for r in kept.collect()) == want
+    got, want = [(r.doc_id, r.text) for r in kept.collect()], kept_brute(edge_rows)
+    assert len(got) == len(want)
+    assert all(sum(r in w for r in got) >= 1 for w in want) and all(any(r in w for w in want) for r in got)
+
+
+LONG_A, LONG_B = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+
+
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        ([(3, LONG_B + " tail"), (5, LONG_A), (5, LONG_B)], [(3, LONG_B + " tail"), (5, LONG_A)]),
+        ([(3, LONG_B), (None, LONG_B + " tail"), (None, LONG_A)], [(3, LONG_B), (None, LONG_A)]),
+        ([(5, LONG_A), (5, LONG_A), (6, LONG_A), (6, LONG_B), (7, None), (7, None)], [(5, LONG_A), (6, LONG_B), (7, None), (7, None)]),
+    ],
+)
+def test_rows_go_not_ids(spark, rows, want):
+    """An id that repeats, or is null, names no text."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()) == Counter(want)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_components(docs).collect()) == near_brute(rows)
+
+
+def test_ids_do_not_matter(spark):
+    """Unique ids, no ids, and two ids give the same components."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(150):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(50)]
+        texts += [" ".join([*base, f"x{j}"]) for j in range(3)]
+    for ids in ([*range(450)], [None] * 450, [k % 2 for k in range(450)]):
+        rows = list(zip(ids, texts, strict=True))
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == near_brute(rows)
 
 
 def test_sketches_bound_the_difference():
