@@ -43,7 +43,7 @@ def test_words_are_forgotten(definition, library, monkeypatch):
     for k in range(40):
         text = " ".join(f"w{j}" for j in range(k % 7, k % 7 + 9))
         assert np.frombuffer(encode([text])[0], "<u4").tolist() == library(text)
-    assert len(encode._young) < 30 and len(encode._old) < 30
+    assert len(encode._words) < 30 and len(encode._old) < 30
 
 
 def test_other_tokenizers(definition):
