@@ -19,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._work import keep_alone
@@ -75,23 +75,23 @@ def _features(text: str) -> Sparse:
 
 
 def sample(docs: DataFrame, learn, per_language: int, max_chars: int) -> list:
-    """At most per_language rows of each language, the first by a hash of the id, of at most max_chars in all or little more."""
+    """At most per_language rows of each language, of at most max_chars in all or little more, the same in every run.
+
+    Rows are thinned by a hash of id and text, each language by how many different rows it has, so that
+    null or repeated ids and texts cost no language its share; then the first of each language are taken.
+    """
+    row = F.xxhash64("doc_id", "text")
     known = docs.where(learn & docs["lang"].isNotNull() & docs["text"].isNotNull()).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("chars")).collect()
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(row).alias("n"), F.avg(F.length("text")).alias("chars")).collect()
     if not counts:
         return []
     want = max(1, min(per_language, int(max_chars / sum(r.chars + 1 for r in counts))))
     part = F.lit(False)
     for r in counts:
-        part = part | ((F.col("lang") == r.lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.2 * want / r.n)) + 1))
-    order = [F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")).cast("binary")), "doc_id", "lang", F.sha2("text", 256)]
-    rows, seen = known.where(part).orderBy(*order).limit(int(1.5 * want * len(counts)) + 100).collect(), Counter()
-    out = []
-    for r in rows:
-        seen[r.lang] += 1
-        if seen[r.lang] <= want:
-            out.append(r)
-    return out
+        part = part | ((F.col("lang") == r.lang) & (F.pmod(row, F.lit(1 << 20)) < int((1 << 20) * min(1.0, 1.3 * want / max(1, r.n))) + 1))
+    order = [F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")).cast("binary")), "doc_id", F.sha2("text", 256)]
+    first = known.where(part).dropDuplicates(["lang", "doc_id", "text"]).withColumn("_mr_rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_mr_rank") <= want)
+    return sorted(first.collect(), key=lambda r: (r.lang, r["_mr_rank"]))
 
 
 def _grouped(langs: list[str], rows: list[Sparse], of: list[str], families: Mapping[str, str]) -> dict[str, str]:
@@ -210,7 +210,7 @@ class Scorer:
 
 
 def identify(docs: DataFrame, model: Model, *keep) -> DataFrame:
-    """doc_id, the columns keep, lang_pred and score of every whole text. `und` and 0.0 for a text that is null or has no letter."""
+    """doc_id, the columns keep, lang_pred and score of every whole text. `und` and 0.0 for a text that is null or has no letter. Rows that repeat are answered each, an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_alone("language", _SCORERS.clear)

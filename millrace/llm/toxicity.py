@@ -151,7 +151,7 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: Model, *keep) -> DataFrame:
-    """doc_id, the columns keep, score (0 to 1) and predicted (1 from 0.5 on) of every whole text; null counts as empty."""
+    """doc_id, the columns keep, score (0 to 1) and predicted (1 from 0.5 on) of every whole text; null counts as empty. Rows that repeat are answered each, an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_alone("toxicity", _SCORERS.clear)

@@ -52,6 +52,24 @@ def test_language_edge_cases(spark, spoken, edge_rows, edge_docs, no_docs):
     assert {r.lang_pred for r in language_id.identify(spoken, one).collect()} == {"en"}
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "few", "unique"])
+def test_every_language_is_sampled(spark, ids):
+    """Null and repeated ids, and texts that repeat, leave each language its share, and the sample is the same in every run."""
+    rng, rows = random.Random(9), []
+    for lang in ("de", "en", "fr"):
+        for k in range(900):
+            doc_id = {"null": None, "one": 4, "few": k % 3, "unique": len(rows)}[ids]
+            rows.append((doc_id, sentence(rng, lang, 12) if k % 3 else f"{lang} again", lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rows += [(None, "el y ción", "es")] * 50
+    df = df.union(spark.createDataFrame(rows[-50:], df.schema))
+    found = language_id.sample(df.repartition(3), F.lit(True), 100, 1 << 20)
+    assert Counter(r.lang for r in found) == {"de": 100, "en": 100, "fr": 100, "es": 1}
+    assert len({(r.doc_id, r.text) for r in found}) == 301
+    assert [(r.doc_id, r.text) for r in language_id.sample(df.repartition(5), F.lit(True), 100, 1 << 20)] == [(r.doc_id, r.text) for r in found]
+    assert set(language_id.fit(df, F.lit(True), per_language=60).families) == {"germanic", "romance"}
+
+
 def test_a_language_without_family_is_its_own(spark):
     rng = random.Random(3)
     rows = [(k, " ".join(rng.choice(w) for _ in range(20)), lang) for k, (lang, w) in enumerate([("xx", ("qq", "zz")), ("yy", ("mm", "nn")), ("en", ("the", "and"))] * 10)]
