@@ -31,7 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     """df as a table written in the shared folder: neither its lineage nor what the planner infers from it grows from round to round."""
     path = f"{shared_folder(df.sparkSession)}/millrace-cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by cut that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_millrace_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def reached(start: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
