@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import extension_queries, fact_queries, function_queries, link_queries, registry, scan_queries, type_queries  # noqa: F401  each registers its queries
+from .plans import extension_queries, fact_queries, function_queries, link_queries, plugin_queries, registry, scan_queries, type_queries  # noqa: F401  each registers its queries
 
 
 def queries() -> dict:
