@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rounds
+from ..functions import keys
+from ..operators import facts, rounds
 from .registry import query
 from .rules import KINDS, Plugin, condition, dispatched, emits, emitting, gated, has_key, on, staged, where
 
@@ -97,3 +98,45 @@ def emit_stages(t):
     symbols, *gates = _symbols(t)
     kinds = symbols.where(F.col("kind").isin("struct", "interface"))
     return staged([first, second, third], kinds, *gates, "subject long, kind string, name string, p_size int")
+
+
+def _typed(t):
+    """Keys of six types, claims on them from three tables, and the keys."""
+    known = keys.Registry()
+    known.claim("sales", "queries")
+    register = lambda name, kind, doc, **more: known.register("queries", f"sales.{name}", kind, doc, **more)
+    active = register("active", "boolean", "has an order of status O", group="sales.all")
+    orders = register("orders", "bigint", "how many orders", group="sales.all")
+    spent = register("spent", "double", "the largest order", group="sales.all")
+    segment = register("segment", "string", "the market", choices=("AUTOMOBILE", "BUILDING", "MACHINERY"))
+    last = register("last", "timestamp", "the day of the last order")
+    states = register("states", "array<string>", "the statuses of its orders")
+    known.seal()
+    of = t.orders.groupBy(F.col("o_custkey").alias("subject"))
+    sums = of.agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"), F.max(F.col("o_orderdate").cast("timestamp")).alias("day"), F.array_sort(F.collect_set("o_orderstatus")).alias("states"))
+    claims = [
+        keys.stamped(sums, active, F.array_contains("states", "O"), "orders")[0], keys.stamped(sums, orders, F.col("n"), "orders")[0], keys.stamped(sums, spent, F.col("most"), "orders")[0],
+        keys.stamped(sums, last, F.col("day"), "orders")[0], keys.stamped(sums, states, F.col("states"), "orders")[0],
+        keys.stamped(t.customer.where("c_custkey % 4 = 0"), spent, F.col("c_acctbal"), "accounts", subject="c_custkey", authority=1)[0],
+    ]
+    held, refused = keys.stamped(t.customer, segment, F.col("c_mktsegment"), "accounts", subject="c_custkey")
+    found = held
+    for c in claims:
+        found = found.unionByName(c)
+    return found, refused, [active, orders, spent, segment, last, states]
+
+
+@query("""with o as (select o_custkey as subject, bool_or(o_orderstatus = 'O') as active, count(*) as orders, max(o_totalprice) as most, epoch_ms(max(o_orderdate)) as last, string_agg(distinct o_orderstatus, ',' order by o_orderstatus) as states from orders group by 1)
+  select c_custkey as subject, active, orders, case when c_custkey % 4 = 0 then c_acctbal else most end as spent, case when c_mktsegment in ('AUTOMOBILE', 'BUILDING', 'MACHINERY') then c_mktsegment end as segment, last, states
+  from customer left join o on c_custkey = subject where orders is not null or c_custkey % 4 = 0 or c_mktsegment in ('AUTOMOBILE', 'BUILDING', 'MACHINERY')""")
+def typed_keys(t):
+    """The facts that hold on keys of six types, a typed column each."""
+    claims, _, known = _typed(t)
+    rows = keys.table(facts.winners(claims), known)
+    return rows.select("subject", "active", "orders", "spent", "segment", F.unix_millis("last").alias("last"), F.array_join("states", ",").alias("states"))
+
+
+@query("select c_custkey as subject, 'sales.segment' as key, c_mktsegment as value from customer where c_mktsegment not in ('AUTOMOBILE', 'BUILDING', 'MACHINERY')")
+def refused_choices(t):
+    """Values that are none of their key's choices."""
+    return _typed(t)[1]
