@@ -23,15 +23,20 @@ DEPTH = 8
 def walked(roots: DataFrame, nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """root, id, name, sig, depth, path of every node reached from roots (id); depth 0 is the root itself.
 
-    A node that is on its own path is not entered again. The number of joins is the depth.
+    A node that is on its own path is not entered again. Each level is written down, so none is computed
+    twice, by whatever uses the walk; there is a join a level, until a level is empty.
     """
     edges = nodes.select(F.col("parent").alias("_parent"), F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("sig").alias("_sig"))
     level = roots.select("id").join(nodes.select("id", "name", "sig"), "id").select(F.col("id").alias("root"), "id", "name", "sig", F.lit(0).alias("depth"), F.array("id").alias("path"))
-    out = level
+    out = level = incremental.cut(level)
     for d in range(1, depth + 1):
-        level = level.join(edges, (F.col("id") == F.col("_parent")) & ~F.array_contains("path", F.col("_id"))).select(
+        next_level = level.join(edges, (F.col("id") == F.col("_parent")) & ~F.array_contains("path", F.col("_id"))).select(
             "root", F.col("_id").alias("id"), F.col("_name").alias("name"), F.col("_sig").alias("sig"), F.lit(d).alias("depth"), F.concat("path", F.array("_id")).alias("path")
         )
+        level = incremental.cut(next_level)
+        if level.isEmpty():
+            incremental.discard(level)
+            break
         out = out.unionByName(level)
     return out
 
@@ -153,6 +158,42 @@ def linear_orders(edges: DataFrame) -> DataFrame:
     return lists.mapInArrow(_per_group(one), "root long, owner long, at int")
 
 
+def _merge(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, bases, orders of these) to node and the C3 merge; null where there is none."""
+    for batch in found:
+        out = []
+        for node, bases, orders in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            known = {b: o for b, o in zip(bases, orders, strict=True)}
+            out.append(None if any(o is None for o in orders) else linearised({node: bases}, node, known))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["node", "order"])
+
+
+def level_orders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """root, owner, at (from 0) of the C3 order of every node (node); nodes without an order have no rows.
+
+    edges: node, base, pos. Each node is merged once, when all its bases have been: from the nodes
+    without bases up, a level a round. Nodes on a circle, or above one, have no order, and so has none
+    that is above a node without an order. A base that is in no row of nodes or edges as a node has no
+    bases of its own.
+    """
+    e = edges.select(F.col("node").cast("long").alias("node"), F.col("base").cast("long").alias("base"), "pos").distinct()
+    every = nodes.select(F.col("node").cast("long").alias("node")).union(e.select("node")).union(e.select("base")).distinct()
+    frontier = incremental.cut(every.join(e.select("node").distinct(), "node", "left_anti").select("node", F.array("node").alias("order")))
+    parts, waiting = [frontier], e.withColumn("found", F.lit(False)).withColumn("order", F.lit(None).cast("array<long>"))
+    while not frontier.isEmpty():
+        met = frontier.select(F.col("node").alias("base"), F.col("order").alias("_o"), F.lit(True).alias("_f"))
+        now = waiting.join(met, "base", "left").select("node", "base", "pos", F.coalesce("_f", "found").alias("found"), F.coalesce("_o", "order").alias("order"))
+        lists = incremental.cut(now.groupBy("node").agg(F.every("found").alias("ready"), F.array_sort(F.collect_list(F.struct("pos", "base", "found", "order"))).alias("b")))
+        ready = lists.where("ready").select("node", F.col("b.base").alias("bases"), F.col("b.order").alias("orders"))
+        frontier = incremental.cut(ready.mapInArrow(_merge, "node long, order array<long>"))
+        parts.append(frontier)
+        waiting = lists.where("not ready").select("node", F.inline("b"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.where("order is not null").select(F.col("node").alias("root"), F.posexplode("order").alias("at", "owner")).select("root", "owner", "at")
+
+
 def topological(items: Sequence, after: dict) -> list:
     """Items in an order in which each comes after what it needs; of those that are free the first by place. A cycle keeps the given order."""
     place = {x: k for k, x in enumerate(items)}

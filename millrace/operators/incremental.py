@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,28 +46,51 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Seen:
+    """What rounds have found, as written parts. Two parts of as many rounds are merged into one, so rows are written again as often as the logarithm of the rounds, and there are no more parts than that."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self._parts: list[tuple[int, DataFrame]] = []
+        self.add(first)
+
+    def add(self, part: DataFrame) -> None:
+        """part: a table made by cut. The one added last is not deleted by the next add, but may be by a later one."""
+        parts, rank = self._parts, 0
+        if len(parts) > 1:  # all but the newest can go into a larger part
+            while len(parts) > 2 and parts[-2][0] == parts[-3][0]:
+                (_, a), (rank, b) = parts[-3], parts[-2]
+                parts[-3:-1] = [(rank + 1, cut(a.unionByName(b)))]
+                discard(a, b)
+        parts.append((0, part))
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [p for _, p in self._parts])
+
+
 def reached(start: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """id and hop of everything that start (id) leads to by edges (id, next); hop is the fewest steps. Loops until nothing is new."""
     step = edges.select("id", F.col("next").alias("_next")).distinct()
-    seen = frontier = cut(start.select("id").distinct().withColumn("hop", F.lit(0)))
-    hop = 0
+    frontier = cut(start.select("id").distinct().withColumn("hop", F.lit(0)))
+    seen, hop = Seen(frontier), 0
     while rounds is None or hop < rounds:
         hop += 1
-        frontier = cut(frontier.select("id").join(step, "id").select(F.col("_next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
+        frontier = cut(frontier.select("id").join(step, "id").select(F.col("_next").alias("id")).distinct().join(seen.rows(), "id", "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
+            discard(frontier)
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+    return seen.rows()
 
 
 def reached_by(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """start and id of everything that each start leads to, itself included. starts: start, id; edges: id, next."""
     step = edges.select("id", F.col("next").alias("_next")).distinct()
-    seen = frontier = cut(starts.select("start", "id").distinct())
+    frontier = cut(starts.select("start", "id").distinct())
+    seen = Seen(frontier)
     while not frontier.isEmpty():
-        frontier = cut(frontier.join(step, "id").select("start", F.col("_next").alias("id")).distinct().join(seen, ["start", "id"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        frontier = cut(frontier.join(step, "id").select("start", F.col("_next").alias("id")).distinct().join(seen.rows(), ["start", "id"], "left_anti"))
+        seen.add(frontier)
+    return seen.rows()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -84,11 +108,16 @@ def components(links: DataFrame) -> DataFrame:
         moved = True
         while moved:
             up = hook.select(F.col("x").alias("p"), F.col("p").alias("q"))
-            hook = cut(hook.select("x", "p").join(up, "p").select("x", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+            further = cut(hook.select("x", "p").join(up, "p").select("x", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+            discard(hook)
+            hook = further
             moved = not hook.where("moved").isEmpty()
-        names = cut(names.join(hook.select(F.col("x").alias("comp"), "p"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")))
+        renamed = cut(names.join(hook.select(F.col("x").alias("comp"), "p"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")))
         pa, pb = hook.select(F.col("x").alias("a"), F.col("p").alias("pa")), hook.select(F.col("x").alias("b"), F.col("p").alias("pb"))
-        edges = cut(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        contracted = cut(edges.join(pa, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        discard(edges, names, hook)
+        edges, names = contracted, renamed
+    discard(edges)
     return names
 
 
@@ -100,18 +129,22 @@ def reached_through(start: DataFrame, uses: DataFrame, rounds: int | None = None
     than its rows.
     """
     uses = cut(uses.select("id", "via").distinct())
-    seen = frontier = cut(start.select("id").distinct().withColumn("hop", F.lit(0)))
-    met, hop = None, 0
+    frontier = cut(start.select("id").distinct().withColumn("hop", F.lit(0)))
+    seen, met, hop = Seen(frontier), None, 0
     while rounds is None or hop < rounds:
         hop += 1
         via = uses.join(frontier.select("id"), "id", "left_semi").select("via").distinct()
-        via = cut(via if met is None else via.join(met, "via", "left_anti"))
-        met = via if met is None else cut(met.unionByName(via))
-        frontier = cut(uses.join(via, "via", "left_semi").select("id").distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)))
+        via = cut(via if met is None else via.join(met.rows(), "via", "left_anti"))
+        if met is None:
+            met = Seen(via)
+        else:
+            met.add(via)
+        frontier = cut(uses.join(via, "via", "left_semi").select("id").distinct().join(seen.rows(), "id", "left_anti").withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+    discard(uses, *(p for _, p in met._parts) if met is not None else ())
+    return seen.rows()
 
 
 def dirty_records(reads: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:

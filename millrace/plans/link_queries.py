@@ -358,7 +358,7 @@ def c3_orders(t):
     p = t.part.where("p_partkey > 0").select(F.col("p_partkey").alias("node"))
     bases = F.array_distinct(F.array(F.floor(F.col("node") / 2), F.floor(F.col("node") / 3)))
     edges = p.select("node", F.posexplode(bases).alias("pos", "base")).where("base > 0")
-    return hierarchy.linear_orders(hierarchy.rooted(p.select(F.col("node").alias("root")), edges))
+    return hierarchy.level_orders(p, edges).join(edges.select(F.col("node").alias("root")).distinct(), "root", "left_semi")
 
 
 @query()

@@ -218,6 +218,39 @@ def test_linear_orders_of_all_ancestors(spark):
     assert got == want and len(got) > 10 and max(map(len, got.values())) > 5
 
 
+def test_level_orders(spark):
+    """Orders level by level equal those from the root down; circles, and what stands above them or above a clash, have none."""
+    rng = random.Random(12)
+    bases = {n: list(dict.fromkeys(rng.choice(range(max(1, n - 6), n)) for _ in range(rng.randrange(1, 3)))) for n in range(2, 40)} | {1: [], 50: [51], 51: [50], 52: [50, 3], 60: [1, 2], 61: [2, 1], 62: [60, 61], 63: [62]}
+    edges = spark.createDataFrame([(n, b, k) for n, bs in bases.items() for k, b in enumerate(bs)] * 2, "node long, base long, pos long")
+    got = {}
+    for r in sorted(hierarchy.level_orders(spark.createDataFrame([(n,) for n in (1, 7, 70)], "node long"), edges).collect(), key=lambda r: (r.root, r.at)):
+        got.setdefault(r.root, []).append(r.owner)
+    want = {n: order for n in (*bases, 70) if (order := hierarchy.linearised(bases, n)) is not None}
+    assert got == want and len(want) < len(bases) - 4 and want[70] == [70]
+    assert hierarchy.level_orders(spark.createDataFrame([], "node long"), edges.limit(0)).count() == 0
+
+
+def test_walk_joins_once_a_level(spark):
+    """A walk and what uses it several times have no join of the walk left in their plans."""
+    nodes = spark.createDataFrame([(k, k // 2, f"n{k % 3}", "s") for k in range(1, 60)], "id long, parent long, name string, sig string")
+    walk = hierarchy.walked(nodes, nodes)
+    assert walk._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert hierarchy.promoted(walk)._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
+    want = sum(1 for k in range(1, 60) for d in range(7) for j in range(1, 60) if j >> d == k)
+    assert walk.count() == want
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 8, 13, 21])
+def test_seen_keeps_few_parts(spark, length):
+    from millrace.operators import incremental
+
+    seen = incremental.Seen(incremental.cut(spark.range(0, 1)))
+    for k in range(1, length):
+        seen.add(incremental.cut(spark.range(k, k + 1)))
+    assert sorted(r.id for r in seen.rows().collect()) == list(range(length)) and len(seen._parts) <= 2 + length.bit_length()
+
+
 def test_topological_orders(spark):
     rng = random.Random(4)
     units = {u: (list(range(rng.randrange(1, 9))), {(rng.randrange(9), rng.randrange(9)) for _ in range(5)}) for u in range(60)}
