@@ -1,23 +1,23 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 Equal vectors of a label are one class, of which one is compared. A vector is described by its nearest
-reference points (pivots). Two vectors are compared if they have the same label and share at least
-three of their six nearest pivots: the inverted lists are kept for every combination of three pivots,
-so that a list holds exactly the vectors with that shared count, and a pair is counted in the list of
-its smallest common combination alone. Lists too long for one task are cut into blocks, and every pair
-of blocks is a task. Vectors in a list are verified by cosine in double precision.
-
-The number of pivots goes with the cube root of the vectors of the largest label, so that a list of
-unlike vectors keeps its length. Links of a cosine of just 0.98, the hardest, between random vectors of
-64 dimensions were found at a rate of 0.998 with 128 pivots, 0.988 with 1,024, 0.978 with 2,048 and 0.964
-with 8,192 (0.997, 0.980, 0.971 and 0.932 in 16 dimensions); links of a higher cosine more often.
+reference points (pivots). Two vectors are compared if they have the same label and share at least so
+many of their nearest pivots: the inverted lists are kept for every combination of that many pivots, so
+that a list holds exactly the vectors with that shared count, and a pair is counted in the list of its
+smallest common combination alone. Lists too long for one task are cut into blocks, and every pair of
+blocks is a task. Vectors in a list are verified by cosine in double precision.
+
+How many pivots there are, how many describe a vector and how many are to be shared follows from a
+bounded sample: of the settings by which enough of the hardest links (a cosine of just the threshold, in
+any direction) share pivots, the one that compares least. Pivots are vectors of the sample, as unlike
+as can be had, so that they lie where the vectors lie, in few dimensions or in a narrow cone too.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,13 @@ from ._work import discard, materialize
 from .components import components
 
 PIVOTS, NEAREST, SHARED = 128, 6, 3
+#: Settings that are tried: how many nearest pivots describe a vector, and how many are to be shared.
+SETTINGS = ((6, 3), (8, 3), (8, 2), (10, 2), (4, 2), (4, 1), (3, 1), (2, 1))
+#: The share of the hardest links that is enough; what an entry of a list, and the loss of all links, cost, in vectors compared.
+ENOUGH, LIST_COST, LOSS = 0.97, 20, 2000
 BLOCK = 1024
 SHORT = 16  # vectors of a list that are tried pair by pair
-SAMPLE = 4096
+SAMPLE, TRIED = 4096, 512
 
 
 def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,47 +68,115 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Pivots:
-    """So many unit vectors of each length: from the sample those of which no two are alike, the rest at random, the same in every task."""
+    """So many unit vectors of each length: from the sample, the rest at random, the same in every task. counts: of the lengths that have a number of their own."""
 
-    def __init__(self, sample: dict[int, np.ndarray], count: int, seed: int = 5) -> None:
-        self.sample, self.count, self.seed, self._made = sample, count, seed, {}
+    def __init__(self, sample: dict[int, np.ndarray], count: int, counts: dict[int, int] | None = None, nearest: int = NEAREST, shared: int = SHARED, seed: int = 5) -> None:
+        self.sample, self.counts, self.nearest, self.shared, self.seed, self._made = sample, counts or {}, nearest, shared, seed, {}
+        self.count = max([count, *self.counts.values()])
 
     def __getitem__(self, d: int) -> np.ndarray:
         if d not in self._made:
-            fill = np.random.default_rng(self.seed + d).normal(size=(self.count, d))
-            fill /= np.linalg.norm(fill, axis=1, keepdims=True)
-            self._made = {d: np.vstack([self.sample.get(d, fill[:0]), fill])[: self.count]}  # one length at a time
+            fill = _directions(self.count, d, self.seed)
+            self._made = {d: np.vstack([self.sample.get(d, fill[:0]), fill])[: self.counts.get(d, self.count)]}  # one length at a time
         return self._made[d]
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_made": {}}
 
 
+def _directions(count: int, d: int, seed: int) -> np.ndarray:
+    x = np.random.default_rng(seed + d).normal(size=(count, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def pivot_count(vectors: int) -> int:
-    """A power of two of which the third power is 200 times the vectors of the largest label at least, and not below 128."""
+    """A power of two of which the third power is 200 times the vectors of the largest label at least, and not below 128: so many keep the lists of unlike vectors short."""
     count = PIVOTS
     while count**3 < 200 * vectors:
         count *= 2
     return count
 
 
-def fit_pivots(classes: DataFrame, count: int) -> Pivots:
-    """From a sample of at most SAMPLE vectors of all lengths."""
-    rows, chosen, found = classes.orderBy("cls").limit(SAMPLE).select("unit").collect(), {}, Counter()
+def _unlike(x: np.ndarray, most: int) -> np.ndarray:
+    """At most so many rows of x in an order of which each beginning is spread out: at first no two alike, then ever more alike ones."""
+    chosen, nearest = [], np.full(len(x), -1.0)
+    for limit in (0.7, 0.8, 0.9, 0.95):
+        while len(chosen) < most and (free := np.flatnonzero(nearest < limit)).size:
+            chosen.append(free[0])
+            nearest = np.maximum(nearest, x @ x[free[0]])
+    return x[chosen]
+
+
+def _nearest(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
+    return np.argpartition(-(x @ pivots.T), nearest, axis=1)[:, :nearest]
+
+
+def _ordered(x: np.ndarray, pivots: np.ndarray, most: int) -> np.ndarray:
+    """The nearest pivots of each row, the nearest first."""
+    near = -(x @ pivots.T)
+    at = np.argpartition(near, most, axis=1)[:, :most]
+    return np.take_along_axis(at, np.argsort(np.take_along_axis(near, at, 1), axis=1), 1)
+
+
+def _held(near: np.ndarray, count: int) -> np.ndarray:
+    out = np.zeros((len(near), count), np.float32)
+    np.put_along_axis(out, near, 1, axis=1)
+    return out
+
+
+def hardest(x: np.ndarray, threshold: float, seed: int) -> np.ndarray:
+    """For each row a vector at a cosine of just the threshold, in a direction at random."""
+    side = np.random.default_rng(seed).normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+    return threshold * x + np.sqrt(1 - threshold**2) * side
+
+
+def _setting(x: np.ndarray, labels: np.ndarray, spread: np.ndarray, settings, vectors: int, threshold: float, seed: int) -> tuple[int, int, int]:
+    """The number of pivots, of nearest ones, and of shared ones that compare least of those that find enough. x, labels: some vectors of the sample."""
+    best, most, y = None, max(n for n, _ in settings), hardest(x, threshold, seed)
+    some = labels[:256]
+    i, j = np.triu_indices(len(some), 1)
+    same = some[i] == some[j]
+    count = 2 * PIVOTS // 16
+    while count <= len(spread):
+        a, b = _ordered(x, spread[:count], most), _ordered(y, spread[:count], most)
+        for n, s in settings:
+            held = _held(a[:, :n], count)
+            found = float(((held * _held(b[:, :n], count)).sum(1) >= s).mean())
+            pair = (held[:256] @ held[:256].T)[i[same], j[same]].astype(int)
+            lists = np.array([comb(k, s) for k in range(n + 1)])[pair]  # in which two vectors of a label meet
+            cost = LIST_COST * comb(n, s) + vectors * float(lists.mean() if len(lists) else 0) + LOSS * (1 - found)
+            rank = (found < ENOUGH, -found if found < ENOUGH else cost)
+            if best is None or rank < best[0]:
+                best = rank, count, n, s
+        count *= 2
+    return best[1:]
+
+
+def fit_pivots(classes: DataFrame, vectors: int, threshold: float = 0.98, seed: int = 5) -> Pivots:
+    """From a sample of at most SAMPLE vectors of all lengths; vectors: how many the largest label has."""
+    rows = classes.orderBy("cls").limit(SAMPLE).select("unit", "label").collect()
+    by_length: dict[int, list] = {}
     for r in rows:
-        x = np.frombuffer(r.unit)
-        d = len(x)
-        if d not in chosen:
-            chosen[d] = np.zeros((min(count, SAMPLE), d))
-        if found[d] < len(chosen[d]) and (chosen[d][: found[d]] @ x).max(initial=-1) < 0.7:
-            chosen[d][found[d]] = x
-            found[d] += 1
-    return Pivots({d: v[: found[d]].copy() for d, v in chosen.items()}, count)
+        by_length.setdefault(len(r.unit) // 8, []).append(r)
+    nearest, shared, sample, counts, settings = NEAREST, SHARED, {}, {}, SETTINGS
+    for d, own in sorted(by_length.items(), key=lambda e: (-len(e[1]), e[0])):  # the commonest length settles what is shared
+        x = np.array([np.frombuffer(r.unit) for r in own])
+        aside = min(TRIED, len(x) // 2) or len(x)  # settings are tried on vectors that are no pivots
+        most = min(8 * pivot_count(vectors), SAMPLE)
+        sample[d] = _unlike(x[aside % len(x) :], most)
+        spread = np.vstack([sample[d], _directions(most - len(sample[d]), d, seed)])
+        labels = np.unique([str(r.label) for r in own[:aside]], return_inverse=True)[1]
+        count, nearest, shared = _setting(x[:aside], labels, spread, settings, vectors, threshold, seed)
+        settings, counts[d] = ((nearest, shared),), count
+        sample[d] = sample[d][:count].copy()
+    return Pivots(sample, min(pivot_count(vectors), SAMPLE), counts, nearest, shared)
 
 
 def _describe(pivots: Pivots):
-    picks = np.array(list(combinations(range(NEAREST), SHARED)))
-    count = pivots.count
+    picks = np.array(list(combinations(range(pivots.nearest), pivots.shared)))
+    base = pivots.count ** np.arange(pivots.shared - 1, -1, -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,9 +187,8 @@ def _describe(pivots: Pivots):
                 by_dim.setdefault(len(x) // 8, []).append(i)
             for d, rows in by_dim.items():
                 x = np.frombuffer(b"".join(data[i] for i in rows), np.float64).reshape(len(rows), d)
-                near = np.sort(np.argpartition(-(x @ pivots[d].T), NEAREST, axis=1)[:, :NEAREST], axis=1).astype(np.int64)
-                lists = near[:, picks]
-                combo = (lists[:, :, 0] * count + lists[:, :, 1]) * count + lists[:, :, 2]
+                near = np.sort(_nearest(x, pivots[d], pivots.nearest), axis=1).astype(np.int64)
+                combo = (near[:, picks] * base).sum(2)
                 for i, c, p in zip(rows, combo, near, strict=True):
                     salt = xxhash.xxh64_intdigest(f"{d}:{labels[i]}") >> 1
                     keys[i] = (salt ^ (c * 0x1000001)).tolist()
@@ -132,7 +203,7 @@ def _describe(pivots: Pivots):
 def _before(near: np.ndarray, combo: np.ndarray) -> np.ndarray:
     """Of every vector its pivots that come before the last of its combination and are not in it; -1 for none. near: a row of pivots a vector; combo: the same of one combination."""
     kept = np.where((near < combo[:, -1:]) & (near[:, :, None] != combo[:, None, :]).all(2), near, -1)
-    return np.sort(kept, axis=1)[:, -(NEAREST - SHARED) :]
+    return np.sort(kept, axis=1)[:, -(near.shape[1] - combo.shape[1]) :]
 
 
 def _smallest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -140,8 +211,8 @@ def _smallest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ~((x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]).any((1, 2))
 
 
-def _parts(combo: np.ndarray, count: int) -> np.ndarray:
-    return np.stack([combo // count**2, combo // count % count, combo % count], 1)
+def _parts(combo: np.ndarray, count: int, shared: int) -> np.ndarray:
+    return np.stack([combo // count**k % count for k in range(shared - 1, -1, -1)], 1)
 
 
 _FOUND = pa.schema({"kind": pa.int32(), "a": pa.int64(), "b": pa.int64()})
@@ -202,16 +273,18 @@ def _long_list(uid, side, weight, x: np.ndarray, near, combo, threshold: float)
         yield _found(1, uid[p], uid[q])
 
 
-def _verified(threshold: float, count: int):
+def _verified(threshold: float, pivots: Pivots):
+    count, nearest, shared = pivots.count, pivots.nearest, pivots.shared
+
     """Rows (key, i, j, uid, side, combo, rows, unit, near), sorted by list and blocks, to the vectors that each is linked to (kind 0) and links (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             key = np.array([r[:3] for r in rows], np.int64)
             uid, side, combo, weight = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-            unit, near = [r[7] for r in rows], np.frombuffer(b"".join([r[8] for r in rows]), np.int32).reshape(-1, NEAREST)
+            unit, near = [r[7] for r in rows], np.frombuffer(b"".join([r[8] for r in rows]), np.int32).reshape(-1, nearest)
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1) | (combo[1:] != combo[:-1])])
-            sizes, combo = np.diff(np.r_[starts, len(rows)]), _parts(combo, count)
+            sizes, combo = np.diff(np.r_[starts, len(rows)]), _parts(combo, count, shared)
             short = (sizes <= SHORT) & (side[starts] == 2)
             yield from _short_lists(uid, weight, unit, near, combo, starts[short], sizes[short], threshold)
             for at, n in zip(starts[~short].tolist(), sizes[~short].tolist(), strict=True):
@@ -249,7 +322,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     classes = materialize(classes.withColumn("uid", F.monotonically_increasing_id()), "vector-classes")
     discard(rows)
     largest = classes.groupBy("label", F.length("unit")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    pivots = fit_pivots(classes, pivot_count(largest or 0))
+    pivots = fit_pivots(classes, largest or 0, threshold)
     described = classes.select("uid", "unit", "label", "rows").mapInArrow(_describe(pivots), "uid long, unit binary, rows long, keys array<long>, combos array<long>, near binary")
     described = materialize(described, "described")
     entries = described.select("uid", F.explode(F.arrays_zip("keys", "combos")).alias("e")).select("uid", F.col("e.keys").alias("key"), F.col("e.combos").alias("combo"))
@@ -260,7 +333,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     side = F.when(F.col("own") == F.col("other"), 2).otherwise(F.when(F.col("own") < F.col("other"), 0).otherwise(1))
     dealt = dealt.select("uid", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "combo")
     full = dealt.join(described.select("uid", "rows", "unit", "near"), "uid").select("key", "i", "j", "uid", "side", "combo", "rows", "unit", "near")
-    found = materialize(full.repartition("key", "i", "j").sortWithinPartitions("key", "combo", "i", "j").mapInArrow(_verified(threshold, pivots.count), "kind int, a long, b long"), "vector-links")
+    found = materialize(full.repartition("key", "i", "j").sortWithinPartitions("key", "combo", "i", "j").mapInArrow(_verified(threshold, pivots), "kind int, a long, b long"), "vector-links")
     discard(described)
     counts = found.where("kind = 0").groupBy(F.col("a").alias("uid")).agg(F.sum("b").alias("n_links"))
     labels = components(found.where("kind = 1").select("a", "b"))

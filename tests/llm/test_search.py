@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -81,6 +82,43 @@ def test_pivots_go_with_the_rows():
     assert made[3].shape == (8, 3) and made[5].shape == (8, 5) and (made[3] == embedding_dedup.Pivots({3: np.eye(3)}, 8)[3]).all()
 
 
+def alike(rng, n, d, cosine):
+    """Unit vectors of a mean cosine."""
+    mean = rng.normal(size=d)
+    x = mean / np.linalg.norm(mean) * np.sqrt(cosine) + rng.normal(size=(n, d)) * np.sqrt((1 - cosine) / d)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("d", "cosine", "n", "most"), [(64, 0, 16_000, 0.05), (64, 0.7, 16_000, 0.05), (64, 0.9, 16_000, 0.06), (256, 0.9, 16_000, 0.05), (2, 0, 3000, 0.5), (3, 0, 3000, 0.15), (4, 0, 3000, 0.1), (8, 0, 3000, 0.05), (768, 0, 3000, 0.05)])
+def test_settings_follow_the_vectors(spark, d, cosine, n, most):
+    """In a cone and in few dimensions too, lists hold few of all pairs (in 2 dimensions, many pairs are links) and the hardest links are found."""
+    rng = np.random.default_rng(d)
+    x = alike(rng, n, d, cosine)
+    rows = [(b"%06d" % k, v.tobytes(), "0") for k, v in enumerate(x[:5000])]  # the sample is of the first by a hash
+    pivots = embedding_dedup.fit_pivots(spark.createDataFrame(rows, "cls binary, unit binary, label string"), n)
+    near = np.sort(embedding_dedup._nearest(x, pivots[d], pivots.nearest), axis=1)
+    picks = near[:, np.array(list(combinations(range(pivots.nearest), pivots.shared)))]
+    sizes = np.unique((picks * pivots.count ** np.arange(pivots.shared)).sum(2), return_counts=True)[1].astype(float)
+    assert (sizes * (sizes - 1) / 2).sum() < most * n * n / 2
+    some = x[-1000:]
+    held = [embedding_dedup._held(embedding_dedup._nearest(v, pivots[d], pivots.nearest), len(pivots[d])) for v in (some, embedding_dedup.hardest(some, 0.98, 99))]
+    assert ((held[0] * held[1]).sum(1) >= pivots.shared).mean() >= 0.93
+
+
+@pytest.mark.parametrize(("d", "cosine"), [(2, 0), (3, 0), (4, 0), (8, 0), (48, 0.9)])
+def test_recall_of_links(spark, d, cosine):
+    """Links of the whole operator against brute force, over random vectors with a near one each."""
+    rng = np.random.default_rng(40 + d)
+    x = alike(rng, 350, d, cosine)
+    x = np.vstack([x, embedding_dedup.hardest(x, 0.985, 1)])
+    rows = [(k, v.tolist(), k % 2 if d < 48 else 0) for k, v in enumerate(x)]
+    rows = [(i, v, rows[i % 350][2]) for i, v, _ in rows]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    labels = np.array([r[2] for r in rows])
+    links = ((x @ x.T >= 0.98) & (labels[:, None] == labels)).sum(1) - 1
+    assert all(got[k] <= links[k] for k in got) and sum(got.values()) >= 0.9 * links.sum() > 0
+
+
 def test_a_large_family_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(6)
