@@ -182,9 +182,9 @@ def test_equals_sql(spark, name):
 
 
 @here
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - {"op13_packing"}))  # a row a piece: test_packing
 def test_one_row_each(spark, name):
-    table = {"op4": "embeddings", "op9": "pages"}.get(name.split("_")[0], "documents")
+    table = {"op4": "embeddings", "op9": "pages", "op12": "embeddings"}.get(name.split("_")[0], "documents")
     assert registry.queries()[name](spark, SF).count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
