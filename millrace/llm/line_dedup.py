@@ -2,12 +2,12 @@
 
 A line is lower-cased, cut into words at Unicode white space, and its words are reduced to letters and
 digits. For hashing, words of more than twelve bytes are cut into pieces, and letters of scripts without
-spaces are words of their own. A line has a SimHash of 64 bits over its words, and so has each of its
-blocks: runs of words counted from the beginning and from the end, two, four or eight by the length of
-the line. Their size is rounded down, and that of a line a tenth shorter serves as well, so that lines
-whose edits spare a block, and do not change its distance from its end of the line by more words than
-they add elsewhere, have that block in common: blocks are the keys of the join. Candidates whose
-SimHashes are further apart than their length allows are screened out, the others verified by edit
+spaces are words of their own. The keys of the join are runs of words, so many and so short that a few
+edits leave one of them whole: every two words in lines of up to seven, every two neighbours in lines of
+up to 13, every three in lines of 12 to 18, and in longer ones blocks, counted from the beginning and from the end, whose SimHashes are the
+keys; their size is rounded down, and that of a line a tenth shorter serves as well. Candidates are
+screened: short lines by the counts of their letters, of which an edit changes two at most, so that no
+similar pair is lost; long ones by SimHashes of 64 bits over their words. The others are verified by edit
 similarity on the reduced lines; of a connected group the first occurrence stays, by doc_id and line
 number.
 """
@@ -28,7 +28,9 @@ from .candidates import ROWS, linked
 from .ngram_join import mix
 
 U64 = np.uint64
-LENGTHS, APART = (0, 18, 24, 40, 72, 150, 300, 600), (29, 24, 19, 16, 14, 13, 11, 9)  # from so many characters on, SimHashes of similar lines are so many bits apart at most, nearly always
+COUNTED = 160  # characters, below which letters are counted
+LENGTHS, APART = (0, 300, 600), (20, 17, 14)  # from so many characters on, SimHashes of similar lines are so many bits apart at most, nearly always
+FEW, PAIRS, TRIPLES, BLOCKS = 7, (2, 13), (12, 18), 15  # words of lines that have such keys
 SHORTEST = 10  # below, similar lines are equal
 LONG_WORD, PIECE = 12, 6  # bytes
 MAX_CACHED = 1 << 18
@@ -40,6 +42,8 @@ _BLANK = re.compile(r"[\t\v\f\r\x1C-\x1F ]+")
 _DROPPED = re.compile(r"[\x00-\x08\x0E-\x1B!-/:-@\[-`{-\x7F]+")
 _WIDE = re.compile(r"[^\w\x00-\x7F]")
 _COMMON = bytes([*range(0xC0), 0xC3])  # in UTF-8: ASCII, later bytes, and the first byte of the letters of Latin 1
+_GROUPS = np.arange(256, dtype=np.int64) % 16  # of letters that are counted together, the common ones apart
+_GROUPS[list(b"etaoinshrdlcumfpgwybvkxjqz0123456789")] = np.arange(36) % 16
 _RNG = np.random.default_rng(1)
 _LETTERS = _RNG.integers(1, 1 << 63, 256, dtype=U64)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -129,7 +133,7 @@ def _blocks(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
     for words in (count, count - np.maximum(1, count // 10)):
         halves, size = _plan(words)
         for k in range(4):
-            use = (k < halves) & (words > 1) & (count > 1)
+            use = (k < halves) & (count >= BLOCKS)
             if before is not None:
                 use &= (halves != before[0]) | (size != before[1])
             own = np.flatnonzero(use)
@@ -144,8 +148,32 @@ def _blocks(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in (line, first, last, tag))
 
 
+def _windows(word: np.ndarray, begin: np.ndarray, count: np.ndarray, places: tuple[int, ...], words: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words at these places from each word on, of lines of so many words, and to which lines they belong."""
+    own = np.flatnonzero((count >= max(words[0], places[-1] + 1)) & (count <= words[1]))
+    each = count[own] - places[-1]
+    owner = np.repeat(own, each)
+    at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + begin[owner]
+    with np.errstate(over="ignore"):
+        key = np.full(len(at), U64(len(places)), U64)
+        for k in places:
+            key = mix(key * U64(_BASE) + word[at + k])
+    return key, owner
+
+
+def _letters(b: np.ndarray, kind: np.ndarray, line: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Of wanted lines how often letters of each of sixteen groups occur, up to 15, four bits each; a character counts by its first byte."""
+    number = np.full(int(line[-1]) + 2 if len(line) else 1, -1)
+    number[line[wanted]] = np.flatnonzero(wanted)
+    of = number[np.minimum(np.cumsum(kind == 3), len(number) - 1)]
+    use = (kind == 1) & ((b & 0xC0) != 0x80) & (of >= 0)
+    counts = np.bincount(of[use] * 16 + _GROUPS[b[use]], minlength=16 * len(line)).reshape(-1, 16)
+    counts = np.minimum(counts, 15).astype(np.uint8)
+    return (counts[:, ::2] | counts[:, 1::2] << 4).view(U64).ravel()
+
+
 def fingerprints(texts: list[str], with_keys: bool = False) -> tuple[np.ndarray, ...]:
-    """Of every line with a word: number of its text, line number in it, ref (a hash of the words in their order), length of the reduced line, SimHash. With keys: also the keys, and to which of these lines each belongs.
+    """Of every line with a word: number of its text, line number in it, ref (a hash of the words in their order), length of the reduced line, sketch (counts of letters of short lines, SimHash of long ones). With keys: also the keys, and to which of these lines each belongs.
 
     The texts are one array of bytes. A word's hash is polynomial, taken from prefix sums over the array.
     """
@@ -176,16 +204,19 @@ def fingerprints(texts: list[str], with_keys: bool = False) -> tuple[np.ndarray,
     n = np.add.reduceat(size, begin) - 1
     with np.errstate(over="ignore"):
         odds = np.concatenate([np.zeros((1, 8), U64), np.cumsum(_LANES[word.view(np.uint8)].reshape(-1, 8), axis=0, dtype=U64)])
-    sim = _simhash(odds, begin, begin + count)
+    short = n < COUNTED
+    sim = np.where(short, _letters(b, kind, line, short), _simhash(odds, begin, np.where(short, begin, begin + count)))
     first = np.cumsum([0, *(t.count("\n") + 1 for t in texts)])
     text = np.searchsorted(first, line, side="right") - 1
     out = text, line - first[text], ref.view(np.int64), n, sim.view(np.int64)
     if not with_keys:
         return out
-    owner, head, tail, tag = _blocks(begin, np.where(n < SHORTEST, 0, count))
+    count = np.where(n < SHORTEST, 0, count)
+    owner, head, tail, tag = _blocks(begin, count)
     with np.errstate(over="ignore"):
         keys = mix(_simhash(odds, head, tail) ^ mix(tag.astype(U64) * U64(_BASE))) if len(owner) else np.zeros(0, U64)
-    return *out, keys, owner
+    windows = [_windows(word, begin, count, (0, 1), PAIRS), _windows(word, begin, count, (0, 1, 2), TRIPLES), *(_windows(word, begin, count, (0, k), (2, FEW)) for k in range(2, FEW))]
+    return *out, np.concatenate([keys, *(k for k, _ in windows)]), np.concatenate([owner, *(o for _, o in windows)])
 
 
 def _deal(buckets: int):
@@ -252,10 +283,23 @@ def _apart(n: np.ndarray) -> np.ndarray:
     return np.array(APART)[np.searchsorted(LENGTHS, n, side="right") - 1]
 
 
-def _possible(n, sim, a, b):
-    """Whether lengths and SimHashes allow an edit similarity of 0.9."""
-    large = np.maximum(n[a], n[b])
-    return (np.bitwise_count(sim[a] ^ sim[b]) <= _apart(large)) & (10 * np.minimum(n[a], n[b]) >= 9 * large)
+def _between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By how much counts of letters differ in all."""
+    a, b = (np.ascontiguousarray(v).view(np.uint8).reshape(-1, 8) for v in np.broadcast_arrays(x, y))
+    low, high = (a & 15).astype(np.int8) - (b & 15), (a >> 4).astype(np.int8) - (b >> 4)
+    return (np.abs(low) + np.abs(high)).sum(1, dtype=np.int64)
+
+
+def _possible(n, sim, m, other) -> tuple[np.ndarray, np.ndarray]:
+    """Whether lengths and sketches allow an edit similarity of 0.9, and how unlike the sketches are. A short line and a long one have no sketches in common."""
+    n, sim, m, other = np.broadcast_arrays(*map(np.atleast_1d, (n, sim, m, other)))
+    large = np.maximum(n, m)
+    ok, unlike = 10 * np.minimum(n, m) >= 9 * large, np.zeros(len(n), np.int64)
+    for kind, measure, most in ((large < COUNTED, _between, 2 * (large // 10)), (np.minimum(n, m) >= COUNTED, lambda x, y: np.bitwise_count(x ^ y).astype(np.int64), _apart(large))):
+        at = np.flatnonzero(ok & kind)
+        unlike[at] = measure(sim[at], other[at])
+        ok[at] = unlike[at] <= most[at]
+    return ok, unlike
 
 
 def _rows(kind, a, b, n, sim) -> pa.RecordBatch:
@@ -266,13 +310,11 @@ def _rows(kind, a, b, n, sim) -> pa.RecordBatch:
 def _partners(features: list[tuple]):
     """From (n, sim) of the members of a set to a function from those of any member to the numbers of its possible partners."""
     n, sim = np.array([f[0] for f in features]), np.array([f[1] for f in features], np.int64).view(U64)
-    apart = _apart(n)
 
     def partners(size: int, own: int) -> np.ndarray:
-        far = np.where(n >= size, apart, _apart(np.array([size])))
-        differ = np.bitwise_count(sim ^ np.array([own], np.int64).view(U64))
-        found = np.flatnonzero((differ <= far) & (10 * np.minimum(n, size) >= 9 * np.maximum(n, size)))
-        return found[np.argsort(differ[found], kind="stable")]
+        ok, unlike = _possible(n, sim, size, np.array([own], np.int64).view(U64))
+        found = np.flatnonzero(ok)
+        return found[np.argsort(unlike[found], kind="stable")]
 
     return partners
 
@@ -281,8 +323,7 @@ def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, n and sim of both) that can be similar."""
     for batch in batches:
         na, nb, x, y = (batch.column(k).to_numpy() for k in range(2, 6))
-        both_n, both_sim = np.r_[na, nb], np.r_[x, y].view(U64)
-        keep = _possible(both_n, both_sim, np.arange(len(na)), np.arange(len(na), 2 * len(na)))
+        keep = _possible(na, x.view(U64), nb, y.view(U64))[0]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -306,7 +347,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = np.triu_indices(g, 1)
             lists.append((starts[sizes == g][:, None, None] + np.stack([i, j], 1)).reshape(-1, 2))
         a, b = np.concatenate(lists).T
-        ok = _possible(n, sim, a, b)
+        ok = _possible(n[a], sim[a], n[b], sim[b])[0]
         pair = np.unique(np.sort(np.stack([ref[a[ok]], ref[b[ok]]]), axis=0), axis=1)
         if pair.shape[1]:
             zero = np.zeros(pair.shape[1], np.int64)
@@ -316,7 +357,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size <= ONE_TASK:
                 # Partners are a tenth longer or shorter at most: a window of the lines by length.
                 low, high = np.searchsorted(n[m], -(-9 * n[m] // 10)), np.searchsorted(n[m], n[m] * 10 // 9, side="right")
-                m = m[np.fromiter((_possible(n, sim, x, m[i:j]).sum() > 1 for x, i, j in zip(m, low, high, strict=True)), bool, size)]
+                m = m[np.fromiter((_possible(n[x], sim[x], n[m[i:j]], sim[m[i:j]])[0].sum() > 1 for x, i, j in zip(m, low, high, strict=True)), bool, size)]
             if len(m) == 2:
                 zero = np.zeros(1, np.int64)
                 yield _rows(1, ref[m].min(keepdims=True), ref[m].max(keepdims=True), zero, zero)
