@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .incremental import cut
+
 
 def appended(values: DataFrame, slot: Sequence[str], seq: Sequence[str], value: str) -> DataFrame:
     """Values of each slot with their place (from 1), in canonical order whatever order they came in."""
@@ -51,3 +53,22 @@ def per_group(rows: DataFrame, by: Sequence[str], handler: Callable[[pd.DataFram
 def witnessed(params: DataFrame, constraints: DataFrame, on: str = "constraint", default: str = "string") -> DataFrame:
     """Type parameters with a concrete type: that of their constraint, else the default."""
     return params.join(constraints, on, "left").withColumn("witness", F.coalesce("witness", F.lit(default)))
+
+
+def concatenated(rows: DataFrame, order: Sequence, body: str) -> DataFrame:
+    """rows with at (byte at which each begins) and size, where all bodies stand one after the other in one order.
+
+    No task has more than a range of the order: ranges are sorted and written down, their bytes are
+    summed, and each range begins where those before it end. A null body takes no room. order settles the
+    place of every row, up to rows that are equal in it.
+    """
+    size = F.coalesce(F.octet_length(body), F.lit(0)).cast("long")
+    ranged = cut(rows.orderBy(*order).withColumn("size", size).withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    totals = ranged.groupBy(part.alias("_part")).agg(F.sum("size").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are ranges
+    begins = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    inside = F.sum("size").over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranged.withColumn("_part", part).withColumn("_inside", F.coalesce(inside, F.lit(0))).join(begins, "_part")
+    return placed.withColumn("at", F.col("_begin") + F.col("_inside")).drop("_part", "_row", "_begin", "_inside")
+

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import keys
+from ..functions import keys, templates
+from ..operators import emitting as emitting_
 from ..operators import facts, rounds
 from .registry import query
 from .rules import KINDS, Plugin, condition, dispatched, emits, emitting, gated, has_key, on, staged, where
@@ -140,3 +141,26 @@ def typed_keys(t):
 def refused_choices(t):
     """Values that are none of their key's choices."""
     return _typed(t)[1]
+
+
+@query("""select c_custkey, 'func ' || upper(substr(c_mktsegment, 1, 1)) || substr(c_mktsegment, 2) || '(key int64, name string)' as head, '// ' || c_name || chr(10) || '// of ' || c_nationkey as doc,
+  '"' || replace(c_name, '"', '\\"') || '"' as literal, 2 as lines from customer""")
+def template_functions(t):
+    """A text of SQL that calls template functions, among them one of a plugin and a table function."""
+    functions = templates.Templates()
+    functions.add("signatures", "tpl_func", [("name", "string"), ("params", "string")], "string", "concat('func ', tpl_exported(name), '(', params, ')')")
+    functions.register(t.spark)
+    return t.spark.sql(
+        r"""select c_custkey, tpl_func(c_mktsegment, tpl_params(array('key', 'name'), array('int64', 'string'))) as head, doc, tpl_quote(c_name) as literal, max(l.at) as lines
+        from (select *, tpl_comment(concat(c_name, '\n', 'of ', c_nationkey)) as doc from {customer}) c, lateral tpl_lines(doc) l group by all""",
+        customer=t.customer,
+    )
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, cast(octet_length(encode(b)) as bigint) as size, cast(coalesce(sum(octet_length(encode(b))) over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey rows between unbounded preceding and 1 preceding), 0) as bigint) as at
+  from (select *, case when l_linenumber = 3 then 'é' else '' end || l_partkey || chr(10) as b from lineitem)""")
+def plan_output(t):
+    """Where every declaration stands in the one output of a plan."""
+    body = F.concat(F.when(F.col("l_linenumber") == 3, "é").otherwise(""), F.col("l_partkey").cast("string"), F.lit("\n"))
+    rows = emitting_.concatenated(t.lineitem.withColumn("body", body), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "body")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "size", "at")
