@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +41,49 @@ class _LinesReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "line", "body"])
 
 
+def covers(pattern: str, package: str) -> bool:
+    """The rule of gates.in_directory for one name."""
+    if pattern == "...":
+        return True
+    base = pattern.removesuffix("/...")
+    return package == base or (base != pattern and package.startswith(base + "/"))
+
+
+class Packages(DataSource):
+    """Lines of files by package: package, path, line, body. Options: `files`, JSON from packages to their paths, and `scope`, JSON of the directory patterns that a plan sees (see gates.in_directory).
+
+    The scope is settled where the read is planned: a package outside of it is no partition, and its files
+    are not opened. It is an option and no pushed filter, since Spark plans a source once for all queries
+    on one DataFrame: what one of them has pushed would hold for the next.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "millrace_packages"
+
+    def schema(self) -> str:
+        return "package string, " + LINES
+
+    def reader(self, schema) -> DataSourceReader:
+        scope = json.loads(self.options.get("scope", '["..."]'))
+        return _PackagesReader({p: f for p, f in json.loads(self.options["files"]).items() if any(covers(s, p) for s in scope)})
+
+
+class _PackagesReader(_LinesReader):
+    def __init__(self, files: dict[str, list[str]]) -> None:
+        self.files = files
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition((package, path)) for package, paths in sorted(self.files.items()) for path in paths] or [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if partition.value is None:
+            return
+        package, path = partition.value
+        for batch in super().read(InputPartition(path)):
+            yield pa.RecordBatch.from_arrays([pa.array([package] * batch.num_rows), *batch.columns], names=["package", *batch.schema.names])
+
+
 def register(spark: SparkSession, *sources: type[DataSource]) -> None:
-    for source in sources or (Lines,):
+    for source in sources or (Lines, Packages):
         spark.dataSource.register(source)
