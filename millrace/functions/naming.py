@@ -142,8 +142,9 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def near(a: Column, b: Column) -> Column:
-    """At most two edits, and at most a third of the longer name's bytes. The plain distance is never below half of it, so most pairs are settled without Python."""
+    """At most two edits, and at most a third of the longer name's bytes; null for a null name. A swap is two plain edits, so names more than four plain edits apart are settled without Python."""
     longer = F.greatest(F.octet_length(a), F.octet_length(b))
     gap = F.abs(F.octet_length(a) - F.octet_length(b))
-    d = distance(a, b)
-    return (gap <= 2) & (gap * 3 <= longer) & (d <= 2) & (d * 3 <= longer)
+    close = (gap <= 2) & (gap * 3 <= longer) & (F.levenshtein(a, b, 4) >= 0)
+    d = distance(F.when(close, a), F.when(close, b))
+    return F.when(a.isNotNull() & b.isNotNull(), close & F.coalesce((d <= 2) & (d * 3 <= longer), F.lit(False)))

@@ -121,3 +121,21 @@ def test_redirect(base, over, found):
 @pytest.mark.parametrize(("pattern", "path", "hit"), [("**/*.go", "a.go", True), ("**/*.go", "x/y/a.go", True), ("*.go", "x/a.go", False), ("a/**", "a/b/c", True), ("a/**/z", "a/z", True), ("[ab]?", "ax", True), ("a", "b", False)])
 def test_globs(pattern, path, hit):
     assert bool(re.match(text.glob_pattern(pattern).replace(r"\z", r"\Z"), path)) is hit
+
+
+def test_near_equals_its_rule(spark):
+    """Of names over few letters, of one byte and of more, the filter before the distance loses none."""
+    import random
+
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abé日") for _ in range(rng.randrange(1, 12))) for _ in range(120)]
+    pairs = [(a, rng.choice([b, a[:3] + b[:1] + a[3:], a[1::-1] + a[2:], a[:-1]])) for a in names for b in rng.sample(names, 4)] + [(None, "a"), ("a", None)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", naming.near(F.col("a"), F.col("b")).alias("n")).collect()
+
+    def want(a, b):
+        if a is None or b is None:
+            return None
+        longer, d = max(len(a.encode()), len(b.encode())), naming.osa(a, b)
+        return d <= 2 and 3 * d <= longer
+
+    assert [r.n for r in got] == [want(r.a, r.b) for r in got] and sum(bool(r.n) for r in got) > 50
