@@ -282,9 +282,9 @@ def disk_commit(t):
     return state.to_write(o.where("path % 3 <> 0"), found, owned="own").select("path", "digest")
 
 
-@query()
+@query("select user_id as key, event_id as id, event_type as value from (select *, lag(event_type) over (partition by user_id order by event_id) as before from events) x where before is null or before <> event_type")
 def stream_changes(t):
-    """The events as a stream: those whose type differs from the user's last, in order of arrival."""
+    """The events as a stream: those whose type differs from the user's last, in order of arrival. Here all files arrive at once."""
     folder, events = _folder(t), t.events.select("event_id", "user_id", "event_type")
     events.write.parquet(f"{folder}/in")
     out: list = []
@@ -299,7 +299,9 @@ def stream_changes(t):
     return t.spark.read.schema("key long, id long, value string").parquet(f"{folder}/out")
 
 
-@query()
+@query("""with k as (select min(p_type) as kind from part), s as (select p_partkey as subject, p_size from part, k where p_type = kind and p_size > 3 and p_size <> 7)
+  select subject, 'size' as key, cast(p_size as varchar) as value, 0 as authority, 0 as turn, 'sizes' as plugin, cast(0 as bigint) as ord from s
+  union all select l_partkey, 'marked', cast(l_orderkey as varchar), 1, 1, 'marks', l_orderkey from lineitem join s on subject = l_partkey where l_quantity > 45 and l_returnflag <> 'R'""")
 def rule_dispatch(t):
     """Two plugins over parts: one classifies, the next runs where the first left a fact."""
     from .rules import CLAIMS, Plugin, condition, gated, has_key, on, run, where
