@@ -2,11 +2,12 @@
 
 A line is lower-cased, cut into words at Unicode white space, and its words are reduced to letters and
 digits. For hashing, words of more than twelve bytes are cut into pieces, and letters of scripts without
-spaces are words of their own. The keys of the join are runs of words, so many and so short that a few
-edits leave one of them whole: every two words in lines of up to seven, every two neighbours in lines of
-up to 13, every three in lines of 12 to 18, and in longer ones blocks, counted from the beginning and from the end, whose SimHashes are the
-keys; their size is rounded down, and that of a line a tenth shorter serves as well. Candidates are
-screened: short lines by the counts of their letters, of which an edit changes two at most, so that no
+spaces are words of their own. The keys of the join are words that stand together, so many and so few
+at a time that some edits leave one key whole: every two words in lines of up to five, every three in
+lines of five to seven, every three within five in lines of eight and nine, every three neighbours up to
+18, and from 15 on blocks, counted from the beginning and from the end, whose SimHashes are the keys;
+their size is rounded down, and that of a line a tenth shorter serves as well. Candidates are screened:
+short lines by the counts of their letters, of which an edit changes two at most, so that no
 similar pair is lost; long ones by SimHashes of 64 bits over their words. The others are verified by edit
 similarity on the reduced lines; of a connected group the first occurrence stays, by doc_id and line
 number.
@@ -30,7 +31,12 @@ from .ngram_join import mix
 U64 = np.uint64
 COUNTED = 160  # characters, below which letters are counted
 LENGTHS, APART = (0, 300, 600), (20, 17, 14)  # from so many characters on, SimHashes of similar lines are so many bits apart at most, nearly always
-FEW, PAIRS, TRIPLES, BLOCKS = 7, (2, 13), (12, 18), 15  # words of lines that have such keys
+BLOCKS = 15  # words of a line from which on it has keys by blocks
+#: Keys by words: the words of a line that has them, and at which places from each word on they stand.
+WINDOWS = (
+    *(((2, 5), (0, k)) for k in range(1, 5)), *(((5, 7), (0, j, k)) for k in range(2, 7) for j in range(1, k)), *(((8, 9), (0, j, k)) for k in range(2, 5) for j in range(1, k)),
+    ((10, 18), (0, 1, 2)),
+)
 SHORTEST = 10  # below, similar lines are equal
 LONG_WORD, PIECE = 12, 6  # bytes
 MAX_CACHED = 1 << 18
@@ -215,7 +221,7 @@ def fingerprints(texts: list[str], with_keys: bool = False) -> tuple[np.ndarray,
     owner, head, tail, tag = _blocks(begin, count)
     with np.errstate(over="ignore"):
         keys = mix(_simhash(odds, head, tail) ^ mix(tag.astype(U64) * U64(_BASE))) if len(owner) else np.zeros(0, U64)
-    windows = [_windows(word, begin, count, (0, 1), PAIRS), _windows(word, begin, count, (0, 1, 2), TRIPLES), *(_windows(word, begin, count, (0, k), (2, FEW)) for k in range(2, FEW))]
+    windows = [_windows(word, begin, count, places, words) for words, places in WINDOWS]
     return *out, np.concatenate([keys, *(k for k, _ in windows)]), np.concatenate([owner, *(o for _, o in windows)])
 
 
