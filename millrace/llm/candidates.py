@@ -23,6 +23,7 @@ from .components import components
 CHUNK = 2048
 LARGE = 2 * CHUNK  # members from which a set is cut by finer keys
 TRIES = (8,)  # partners of a member that are tried before the others
+PAIRS = 1 << 16  # of possible partners, in an Arrow batch
 ROWS = 200  # of two sets, sketches or lines, in an Arrow batch
 
 
@@ -39,14 +40,23 @@ def _crossing(finder: Callable[[list[tuple]], Callable], most: int | None):
             home, a, b = [r for r in rows if r[3]], [], []
             if not home:
                 return
+
+            def pairs() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a.clear()
+                b.clear()
+                return out
+
             partners = finder([r[4:] for r in home])
             for ref, comp, outside, _, *features in rows:
                 if outside:
                     tried = [home[j][0] for j in partners(*features).tolist() if home[j][1] != comp][:most]
                     a += [min(ref, other) for other in tried]
                     b += [max(ref, other) for other in tried]
+                    if len(a) > PAIRS:
+                        yield pairs()
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pairs()
 
         at, rows = None, []
         for batch in batches:

@@ -43,7 +43,8 @@ MAX_CACHED = 1 << 18
 NO_ID = (1 << 63) - 1
 SMALL_SET = 8
 ONE_TASK = 1 << 14
-FLUSH_KEYS = 1 << 20
+FLUSH_KEYS = 1 << 19
+BUCKETS = 4  # of keys, for each partition of a shuffle
 _BLANK = re.compile(r"[\t\v\f\r\x1C-\x1F ]+")
 _DROPPED = re.compile(r"[\x00-\x08\x0E-\x1B!-/:-@\[-`{-\x7F]+")
 _WIDE = re.compile(r"[^\w\x00-\x7F]")
@@ -481,7 +482,7 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     with a null doc_id come after all others. Null texts have no lines.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
+    parts = BUCKETS * shuffle_partitions(spark)
     rows = _rows_of(docs)
     dealt = rows.select("id", "key", "text").mapInArrow(_deal(parts), "kind int, id long, key long, line int, ref long, n long, data binary")
     every = materialize(dealt, "lines")
