@@ -19,13 +19,14 @@ def resolved(references: DataFrame, declarations: DataFrame) -> DataFrame:
 
     references: ref and candidates, an array of names from the narrowest scope to the widest.
     declarations: name and id. The first tier that has a hit decides; its smallest id is the target.
-    References without a hit have a null target.
+    References without a hit have a null target. Declarations are put together by name before the join, so
+    a name that many share costs a reference one row.
     """
     tried = references.select("ref", F.posexplode("candidates").alias("tier", "name"))
-    hits = tried.join(declarations.select("name", "id"), "name").select("ref", "tier", "id")
-    best = hits.groupBy("ref", "tier").agg(F.min("id").alias("target"), F.count_distinct("id").alias("n"))
-    first = best.groupBy("ref").agg(F.min_by(F.struct("target", "n"), "tier").alias("b"))
-    return references.select("ref").join(first, "ref", "left").select("ref", F.col("b.target").alias("target"), F.coalesce(F.col("b.n") > 1, F.lit(False)).alias("ambiguous"))
+    declared = declarations.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    hits = tried.join(declared, "name").groupBy("ref", "tier").agg(F.min("least").alias("target"), (F.min("least") < F.max("most")).alias("many"))
+    first = hits.groupBy("ref").agg(F.min_by(F.struct("target", "many"), "tier").alias("b"))
+    return references.select("ref").join(first, "ref", "left").select("ref", F.col("b.target").alias("target"), F.coalesce("b.many", F.lit(False)).alias("ambiguous"))
 
 
 def attached(subjects: DataFrame, items: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:

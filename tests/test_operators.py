@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -76,6 +77,16 @@ def test_resolution_takes_the_first_tier(spark):
     assert sorted(map(tuple, linking.resolved(refs, decls).collect())) == [(1, 10, False), (2, 20, True), (3, None, False), (4, None, False)]
 
 
+def test_a_name_that_many_declare_is_one_row_of_the_join(spark):
+    refs = spark.createDataFrame([(r, ["hot", "x"]) for r in range(50)], "ref long, candidates array<string>")
+    decls = spark.createDataFrame([("hot", d) for d in range(50)] + [("x", None)], "name string, id long")
+    found = linking.resolved(refs, decls)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[name#\d+\], \[name#\d+, min\(id", plan)
+    assert set(map(tuple, found.select("target", "ambiguous").collect())) == {(0, True)}
+    assert [tuple(r) for r in linking.resolved(refs.where("ref = 1").withColumn("candidates", F.array(F.lit("x"))), decls).collect()] == [(1, None, False)]
+
+
 def test_clashes(spark):
     p = spark.createDataFrame([(x,) for x in ("a/b", "a/B", "c", "c/d", "e/f/g", "h")], "path string")
     assert dict(map(tuple, linking.clashes(p).collect())) == {"a/b": "case", "a/B": "case", "c": "directory", "c/d": "file", "e/f/g": "none", "h": "none"}
