@@ -57,9 +57,17 @@ def lost_lines(committed: DataFrame, fresh: DataFrame, text: str) -> DataFrame:
 def first_free(wanted: DataFrame, taken: DataFrame, candidates: Column, key: str = "id", tries: int = 64) -> DataFrame:
     """key and name: the first candidate of each row that is not taken, else the last with the smallest free number behind it.
 
-    The rows see the names taken before, not each other's. tries bounds the numbers looked at.
+    The rows see the names taken before, not each other's. tries bounds the numbers looked at. Names that
+    are taken are read as a name and a number, so numbers are looked up, not made for each row.
     """
-    numbered = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.concat(F.element_at(candidates, -1), i.cast("string")))
-    tried = wanted.select(key, F.posexplode(F.concat(candidates, numbered)).alias("_at", "name"))
-    free = tried.join(taken.select("name").distinct(), "name", "left_anti")
-    return free.groupBy(key).agg(F.min_by("name", "_at").alias("name"))
+    names = taken.select("name").where("name is not null").distinct()
+    tried = wanted.select(key, F.posexplode(candidates).alias("_at", "name"))
+    free = tried.join(names, "name", "left_anti").groupBy(key).agg(F.min_by("name", "_at").alias("name"))
+    digits = F.sequence(F.lit(1), F.lit(len(str(tries - 1))))
+    split = names.select("name", F.explode(digits).alias("_d")).select(F.expr("left(name, length(name) - _d)").alias("_base"), F.expr("right(name, _d)").alias("_number"), "_d").where("length(_number) = _d and _number rlike '^(0|[1-9][0-9]*)$'")
+    used = split.select("_base", F.col("_number").cast("int").alias("_number")).where(F.col("_number") < tries).groupBy("_base").agg(F.collect_set("_number").alias("_used"))
+    rest = wanted.select(key, F.try_element_at(candidates, F.lit(-1)).alias("_base")).join(free.select(F.col(key).alias("_free")), F.col(key).eqNullSafe(F.col("_free")), "left_anti").join(used, "_base", "left")
+    every = F.sequence(F.lit(0), F.lit(tries - 1))
+    number = F.array_min(F.array_except(every, F.coalesce("_used", F.array().cast("array<int>"))))
+    numbered = rest.select(key, "_base", number.alias("_number")).where("_number is not null").groupBy(key).agg(F.min_by(F.concat("_base", F.col("_number").cast("string")), "_number").alias("name"))
+    return free.unionByName(numbered)

@@ -175,6 +175,14 @@ def test_first_free(spark):
     assert dict(map(tuple, changes.first_free(wanted, taken, F.col("c")).collect())) == {1: "b1", 2: "c", 3: "a1"}
 
 
+def test_numbers_of_names_are_looked_up(spark):
+    wanted = spark.createDataFrame([(1, ["a"]), (2, ["b1"]), (3, ["b"]), (4, ["full"]), (5, [None, "a"]), (None, ["a"])], "id long, c array<string>")
+    names = ["a", "a00", "a1", "b1", "b", "b0", "b10", "b2", "full", *[f"full{k}" for k in range(64)]]
+    found = changes.first_free(wanted, spark.createDataFrame([(n,) for n in names], "name string"), F.col("c"))
+    assert dict(map(tuple, found.collect())) == {1: "a0", 2: "b11", 3: "b3", 5: None, None: "a0"}
+    assert "posexplode(concat" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_reached(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6)], "id long, next long")
     assert dict(map(tuple, incremental.reached(spark.createDataFrame([(1,)], "id long"), edges).collect())) == {1: 0, 2: 1, 3: 2}
