@@ -297,3 +297,11 @@ def test_closure_of_a_long_chain(spark):
     members = spark.createDataFrame([(k, f) for k in range(400) if k != 300 for f in (k, k + 1)], "group long, file long")
     found = incremental.closure_of_groups(spark.createDataFrame([(250,)], "group long"), members)
     assert {r.group for r in found.collect()} == set(range(300))
+
+
+def test_levels_of_a_walk_are_not_broadcast(spark, monkeypatch):
+    plans, cut = [], incremental.cut
+    monkeypatch.setattr(incremental, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    nodes = spark.createDataFrame([(1, 0, "a", "s"), (2, 1, "b", "s"), (3, 2, "c", "s")], "id long, parent long, name string, sig string")
+    assert hierarchy.walked(nodes, nodes).count() == 6
+    assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
