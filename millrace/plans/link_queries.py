@@ -223,13 +223,7 @@ def alias_chase(t):
 
 @query("with recursive e as (select distinct l_suppkey as s, l_partkey % 100 as d from lineitem), c(s, d, hop) as (select s, d, 0 from e union select c.s, e.d, c.hop + 1 from c join e on e.s = c.d where c.hop < 2) select s as package, d as exported, min(hop) as hop from c group by 1, 2")
 def reexport_chase(t):
-    e = t.lineitem.select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 100).alias("d")).distinct()
-    level = e.select(F.col("s").alias("package"), F.col("d").alias("exported"))
-    out = level.withColumn("hop", F.lit(0))
-    for hop in (1, 2):
-        level = level.join(e, F.col("exported") == F.col("s")).select("package", F.col("d").alias("exported")).distinct()
-        out = out.unionByName(level.withColumn("hop", F.lit(hop)))
-    return out.groupBy("package", "exported").agg(F.min("hop").alias("hop"))
+    return hierarchy.reexported(t.lineitem.select(F.col("l_suppkey").alias("package"), (F.col("l_partkey") % 100).alias("exported")), 2)
 
 
 @query("select o_custkey, string_agg(cast(o_orderkey as varchar), ',' order by o_orderdate, o_orderkey) as members from orders group by o_custkey")

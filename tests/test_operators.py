@@ -305,3 +305,24 @@ def test_levels_of_a_walk_are_not_broadcast(spark, monkeypatch):
     nodes = spark.createDataFrame([(1, 0, "a", "s"), (2, 1, "b", "s"), (3, 2, "c", "s")], "id long, parent long, name string, sig string")
     assert hierarchy.walked(nodes, nodes).count() == 6
     assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_reexported(spark):
+    rng = random.Random(3)
+    pairs = {(rng.randrange(-90, 90), rng.randrange(-90, 90)) for _ in range(300)}
+    rows = spark.createDataFrame([*pairs, (7, None), (None, 5)], "package long, exported long")
+    wanted, level = {p: 0 for p in pairs}, pairs
+    for hop in (1, 2):
+        level = {(a, d) for a, b in level for c, d in pairs if b == c}
+        for p in level:
+            wanted.setdefault(p, hop)
+    found = {(r.package, r.exported): r.hop for r in hierarchy.reexported(rows, 2).collect()}
+    assert {k: v for k, v in found.items() if None not in k} == wanted and found[7, None] == found[None, 5] == 0
+
+
+def test_reexports_meet_sets_not_pairs(spark, monkeypatch):
+    rows, cut = [], incremental.cut
+    monkeypatch.setattr(incremental, "cut", lambda df: (rows.append(df.count()), cut(df))[1])
+    hub = spark.createDataFrame([(a, b) for a in range(64) for b in range(64)], "package long, exported long")
+    assert hierarchy.reexported(hub.where("package <> exported"), 2).where("hop > 0").count() == 64
+    assert max(rows[1:]) <= 64
