@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, templates
 from ..operators import emitting as emitting_
-from ..operators import facts, rounds
+from ..operators import facts, incremental, rounds
 from .registry import query
 from .rules import KINDS, Plugin, condition, dispatched, emits, emitting, gated, has_key, on, staged, where
 
@@ -25,7 +25,7 @@ def _rounds(t):
     def run_over(inputs):
         def run(groups, results):
             above = results.select(F.col("group").alias("read"), F.col("value").alias("above"))
-            rows = inputs.join(groups, "group").withColumn("read", F.floor(F.col("group") / 2)).join(above, "read", "left")
+            rows = inputs.join(incremental.dealt(groups), "group").withColumn("read", F.floor(F.col("group") / 2)).join(incremental.dealt(above), "read", "left")
             return rows.select("group", F.least(F.lit(40), F.col("size") + F.floor(F.coalesce("above", F.lit(0)) / 2)).cast("int").alias("value"))
 
         return run
@@ -46,7 +46,7 @@ def moved_results(t):
     """Groups whose results the rounds have changed, with both."""
     before, after, history = _rounds(t)
     ran = history.select("group").distinct()
-    both = before.join(ran, "group").withColumnRenamed("value", "was").join(after.withColumnRenamed("value", "now"), "group")
+    both = before.join(incremental.dealt(ran), "group").withColumnRenamed("value", "was").join(incremental.dealt(after.withColumnRenamed("value", "now")), "group")
     return both.where("was <> now").select(F.col("group").alias("id"), "was", "now")
 
 

@@ -85,3 +85,13 @@ def test_changed(spark):
     a = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (3, None), (4, 1), (4, 1)], SCHEMA)
     b = spark.createDataFrame([(1, 6), (1, 5), (2, 8), (3, None), (4, 1), (5, 1)], SCHEMA)
     assert Counter(r.group for r in rounds.changed(a, b).collect()) == {2: 1, 4: 1, 5: 1}
+
+
+def test_what_a_round_joins_is_not_broadcast(spark, monkeypatch):
+    plans, cut = [], rounds.cut
+    monkeypatch.setattr(rounds, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    groups = spark.createDataFrame([(k,) for k in range(4)], "group long")
+    reads = spark.createDataFrame([(1, 0), (2, 0)], "group long, read long")
+    now, _ = rounds.cold(groups, reads, lambda g, _: g.withColumn("value", F.lit(1).cast("long")), SCHEMA)
+    assert rows(now) == [(k, 1) for k in range(4)]
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
