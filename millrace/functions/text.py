@@ -8,11 +8,13 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TAGS, MARKDOWN = 1, 2
+TEXTS = 64  # that are Python strings at a time
 
 
 def line_comments(text: Column, marker: str, prefix: str = "") -> Column:
@@ -103,10 +105,19 @@ def wrap(text: str, width: int, markup: int = 0) -> list[str]:
     return out
 
 
+def wrap_batch(texts: pa.Array, width: int, markup: int = 0) -> pa.Array:
+    """The lines of each text, null for a null. A batch is held as Arrow arrays; only a few texts at a time are Python strings."""
+    parts = [pa.array([], pa.list_(pa.string()))]
+    for at in range(0, len(texts), TEXTS):
+        lines = [None if t is None else wrap(t, width, markup) for t in texts.slice(at, TEXTS).to_pylist()]
+        parts.append(pa.array(lines, pa.list_(pa.string())))
+    return pa.concat_arrays(parts)
+
+
 def wrapped(text: Column, width: int, markup: int = 0) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: wrap(t, width, markup), na_action="ignore")
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return wrap_batch(texts, width, markup)
 
     return run(text)
 

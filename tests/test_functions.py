@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,6 +50,19 @@ def test_wrap(body, width):
         assert all(len(x) <= width or " " not in x for x in lines)
 
 
+def test_a_batch_of_texts_is_wrapped_in_little_memory(spark):
+    bodies = ["some words of a text " * 500, None, ""] * 300
+    texts = pa.array(bodies)
+    tracemalloc.start()
+    found = text.wrap_batch(texts, 72, text.MARKDOWN)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [None if t is None else text.wrap(t, 72, text.MARKDOWN) for t in bodies]
+    assert peak < 3 << 20  # the lines of all are 5 MB and more as Python strings
+    df = spark.createDataFrame([(t,) for t in bodies[:3]], "t string").select(text.wrapped(F.col("t"), 72).alias("w"))
+    assert [r.w for r in df.collect()] == [None if t is None else text.wrap(t, 72) for t in bodies[:3]]
+
+
 def test_wrap_keeps_blocks_down():
     assert text.wrap("aaa - bbb", 3, text.MARKDOWN) == ["aaa -", "bbb"]
     assert text.wrap("a\n\n \nb", 10) == ["a", "", "b"]
