@@ -358,7 +358,7 @@ def c3_orders(t):
 @query()
 def topological_order(t):
     """Declarations of each file in an order in which each comes after what it needs."""
-    items = t.lineitem.select(F.col("l_orderkey").alias("unit"), F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("pos")).groupBy("unit", "item").agg(F.min("pos").alias("pos"))
+    items = t.lineitem.select(F.col("l_orderkey").alias("unit"), F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("pos")).repartition("unit").groupBy("unit", "item").agg(F.min("pos").alias("pos"))
     needs = items.join(items.select("unit", F.col("item").alias("need")), "unit").where("item <> need and need % 5 = item % 3").select("unit", "item", "need")
     return hierarchy.topological_orders(items, needs)
 

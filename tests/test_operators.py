@@ -326,3 +326,14 @@ def test_reexports_meet_sets_not_pairs(spark, monkeypatch):
     hub = spark.createDataFrame([(a, b) for a in range(64) for b in range(64)], "package long, exported long")
     assert hierarchy.reexported(hub.where("package <> exported"), 2).where("hop > 0").count() == 64
     assert max(rows[1:]) <= 64
+
+
+def test_units_are_gathered_once(spark):
+    items = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (1, 12, 2), (2, 20, 1), (2, 21, 0), (None, 1, 0), (None, 2, 1)], "unit long, item long, pos int")
+    needs = spark.createDataFrame([(1, 10, 12), (1, 10, 12), (3, 1, 2), (None, 1, 2)], "unit long, item long, need long")
+    found = hierarchy.topological_orders(items, needs)
+    assert " Join " not in found._jdf.queryExecution().optimizedPlan().toString().replace("\n", " ")
+    orders = {}
+    for r in sorted(found.collect(), key=lambda r: r.at):
+        orders.setdefault(r.unit, []).append(r.item)
+    assert orders == {1: [11, 12, 10], 2: [21, 20], None: [1, 2]}
