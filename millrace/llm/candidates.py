@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,51 +28,78 @@ PAIRS = 1 << 16  # of possible partners, in an Arrow batch
 ROWS = 200  # of two sets, sketches or lines, in an Arrow batch
 
 
-def _crossing(finder: Callable[[list[tuple]], Callable], most: int | None):
-    """Rows (name, chunk, ref, comp, outside, home, features...), sorted by set and chunk, to pairs of refs in different components that the finder holds possible.
+def _crossing(finder: Callable[[list[tuple]], Callable], most: int | None, closer: Callable | None = None):
+    """Rows (name, chunk, ref, comp, outside, home, features...), sorted by set and chunk, at home first, to pairs of refs in different components that the finder holds possible.
 
-    A task compares the members outside the main component with those that are at home in its chunk.
-    finder: from the features of the latter to a function from those of any member to the numbers of its
-    possible partners, the likeliest first. most: so many partners of a member are taken, or all.
+    A task compares the members outside the main component, a block of them at a time, with those that are
+    at home in its chunk. finder: from the features of the latter to a function from those of any member to
+    the numbers of its possible partners, the likeliest first. most: so many partners of a member are taken,
+    or all. closer: see linked; the last feature is what it looks at.
     """
 
+    drop = closer is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            home, a, b = [r for r in rows if r[3]], [], []
-            if not home:
-                return
-
-            def pairs() -> pa.RecordBatch:
-                out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a.clear()
-                b.clear()
-                return out
-
-            partners = finder([r[4:] for r in home])
-            for ref, comp, outside, _, *features in rows:
-                if outside:
-                    tried = [home[j][0] for j in partners(*features).tolist() if home[j][1] != comp][:most]
-                    a += [min(ref, other) for other in tried]
-                    b += [max(ref, other) for other in tried]
-                    if len(a) > PAIRS:
-                        yield pairs()
-            if a:
+        refs, others, i, j = [], [], [], []  # members (ref, last feature) of several sets, and places of pairs in them
+
+        def pairs() -> pa.RecordBatch:
+            x, y = np.array(i, np.int64), np.array(j, np.int64)
+            if drop:
+                keep = closer([r[1] for r in refs], [r[1] for r in others], x, y)
+                x, y = x[keep], y[keep]
+            both = np.array([r[0] for r in refs], np.int64)[x], np.array([r[0] for r in others], np.int64)[y]
+            for part in (refs, others, i, j):
+                part.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(*both)), pa.array(np.maximum(*both))], names=["a", "b"])
+
+        def done(home: list[tuple], partners: Callable, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            begin = len(others)
+            others.extend((r[0], r[-1]) for r in home)
+            for ref, comp, _, _, *features in rows:
+                tried = [begin + y for y in partners(*features[: len(features) - drop]).tolist() if home[y][1] != comp][:most]
+                i.extend([len(refs)] * len(tried))
+                j.extend(tried)
+                refs.append((ref, features[-1]))
+                if len(i) > PAIRS:
+                    yield pairs()
+                    begin = 0
+                    others.extend((r[0], r[-1]) for r in home)
+            if len(refs) + len(others) > 2 * CHUNK:
                 yield pairs()
 
-        at, rows = None, []
+        at, home, partners, rows = None, [], None, []
         for batch in batches:
             for name, chunk, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (name, chunk) != at:
-                    if len(rows) > 1:
-                        yield from done(rows)
-                    at, rows = (name, chunk), []
-                rows.append(tuple(row))
-        if len(rows) > 1:
-            yield from done(rows)
+                if (name, chunk) != at or len(rows) >= CHUNK and not row[3]:
+                    if rows and home:
+                        partners = partners or finder([r[4 : len(r) - drop] for r in home])
+                        yield from done(home, partners, rows)
+                    rows = []
+                    if (name, chunk) != at:
+                        at, home, partners = (name, chunk), [], None
+                if row[3]:
+                    home.append(tuple(row))
+                if row[2]:
+                    rows.append(tuple(row))
+        if rows and home:
+            yield from done(home, partners or finder([r[4 : len(r) - drop] for r in home]), rows)
+        if i:
+            yield pairs()
 
     return run
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that more links make of components: only the latter are contracted anew."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    every = materialize(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))), "labels")
+    name = lambda k: every.select(F.col("node").alias(k), F.col("comp").alias(f"_{k}"))
+    more = components(links.join(name("b"), "b").join(name("a"), "a").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    out = materialize(every.join(more.select(F.col("node").alias("comp"), F.col("comp").alias("_comp")), "comp", "left").select("node", F.coalesce("_comp", "comp").alias("comp")), "labels")
+    discard(every, more)
+    return out
+
+
 def _open(placed: DataFrame) -> DataFrame:
     """Of lists (name, ref, comp) in more than one component: their size, and outside, which members are not in the main one."""
     parts = placed.groupBy("name", "comp").agg(F.count("*").alias("n"))
@@ -79,12 +107,15 @@ def _open(placed: DataFrame) -> DataFrame:
     return placed.join(main, "name").select("name", "ref", "comp", "size", (F.col("comp") != F.col("main")).alias("outside"))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], finder, finer) -> tuple[DataFrame, DataFrame]:
-    """Verified links enough to join what is linked, and the components they make.
+def linked(pairs: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], finder, finer, closer: tuple[DataFrame, Callable] | None = None) -> DataFrame:
+    """The components that verified links make; as many links are verified as join what is linked.
 
     pairs: a, b. sets: name, ref and features, a row for each member. screen: from pairs (a, b, and the
     features of both by name_a and name_b) to those that can be linked. verify: from pairs to those that are. finder: see _crossing. finer: from a
-    table of refs to (ref, key), keys of which refs that can be linked share one.
+    table of refs to (ref, key), keys of which refs that can be linked share one. closer: a table of refs and
+    one more feature of each, and a function from these of some members, those of others, and places in
+    both to which of the pairs can be linked still; a set may hold members by the square of which the
+    sketches tell nothing, and pairs that are ruled out where both lie are not rows.
     """
     features = [c for c in sets.columns if c not in ("name", "ref")]
     centers = sets.groupBy("name").agg(F.min("ref").alias("ref")).join(sets, ["name", "ref"])
@@ -93,7 +124,10 @@ def linked(pairs: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], Data
     tested = materialize(pairs.union(screen(star)).distinct(), "tested", ROWS)
     links = materialize(verify(tested), "verified", ROWS)
     labels = components(links)
+    discard(links)
     slim = sets.select("ref", *features).dropDuplicates(["ref"])
+    if closer is not None:
+        slim = slim.join(closer[0], "ref")
     # The likeliest partners first: most lists are one component then. The last round leaves nothing out.
     for most in (*TRIES, None):
         placed = sets.select("name", "ref").join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("name", "ref", F.coalesce("comp", "ref").alias("comp"))
@@ -107,17 +141,18 @@ def linked(pairs: DataFrame, sets: DataFrame, screen: Callable[[DataFrame], Data
         own = F.pmod(F.xxhash64("ref"), F.col("chunks")).cast("int")
         chunk = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
         dealt = open_.withColumn("own", own).withColumn("chunk", F.explode(chunk)).withColumn("home", F.col("chunk") == F.col("own"))
-        dealt = dealt.join(slim, "ref").select("name", "chunk", "ref", "comp", "outside", "home", *features)
-        crossing = dealt.repartition("name", "chunk").sortWithinPartitions("name", "chunk").mapInArrow(_crossing(finder, most), "a long, b long").distinct()
+        dealt = dealt.join(slim, "ref").select("name", "chunk", "ref", "comp", "outside", "home", *[c for c in slim.columns if c != "ref"])
+        dealt = dealt.repartition("name", "chunk").sortWithinPartitions("name", "chunk", F.desc("home"))
+        crossing = dealt.mapInArrow(_crossing(finder, most, closer and closer[1]), "a long, b long").distinct()
         fresh = materialize(crossing.join(tested, ["a", "b"], "left_anti"), "crossing", ROWS)
         discard(*before)
         if not fresh.isEmpty():
-            more = materialize(links.union(verify(fresh)), "verified", ROWS)
-            discard(links, labels)
-            links, labels = more, components(more)
+            links = materialize(verify(fresh), "verified", ROWS)
+            labels, old = _joined(labels, links), labels
+            discard(links, old)
             if most is not None:
                 tested, old = materialize(tested.union(fresh), "tested"), tested
                 discard(old)
         discard(fresh)
     discard(tested)
-    return links, labels
+    return labels

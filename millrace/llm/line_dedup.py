@@ -41,6 +41,9 @@ SHORTEST = 10  # below, similar lines are equal
 LONG_WORD, PIECE = 12, 6  # bytes
 MAX_CACHED = 1 << 18
 NO_ID = (1 << 63) - 1
+HEAD = 2048  # characters of a line that are looked at before it is compared as a whole
+STRETCH = 64  # of them, one number
+AT_ONCE = 1 << 12  # pairs
 SMALL_SET = 8
 ONE_TASK = 1 << 14
 FLUSH_KEYS = 1 << 19
@@ -454,14 +457,108 @@ def distance(x: str, y: str, most: int) -> int:
     return len(y) + up.bit_count() - down.bit_count()
 
 
+def _stretch_edits(table: np.ndarray, of: np.ndarray, letters: np.ndarray, which: np.ndarray, first: np.ndarray, steps: int) -> np.ndarray:
+    """For each pair the least edits between a stretch and any part of the line beside it in a window. table: of each stretch the places of each letter, as bits; letters: of the lines, a column for each; of, which: whose stretch and whose line; first: where the windows begin; steps: how long they are."""
+    up, down = np.full(len(of), ~U64(0)), np.zeros(len(of), U64)
+    edits = np.full(len(of), STRETCH, np.int64)
+    least, flat, rows, top, one = edits.copy(), table.ravel(), of * table.shape[1], U64(STRETCH - 1), U64(1)
+    line, at, wide = letters.ravel(), first * letters.shape[1] + which, letters.shape[1]
+    for _ in range(steps):
+        same = flat[rows + line[at]]
+        at += wide
+        across = same & up
+        across += up
+        across ^= up
+        across |= same
+        same |= down
+        rise = across | up
+        np.invert(rise, out=rise)
+        rise |= down
+        up &= across
+        edits += (rise >> top).view(np.int64)
+        edits -= (up >> top).view(np.int64)
+        np.minimum(least, edits, out=least)
+        rise <<= one  # a part may begin anywhere: the row above stays 0
+        up <<= one
+        down = rise & same
+        same |= rise
+        np.invert(same, out=same)
+        up |= same
+    return least
+
+
+def _coded(heads: list[str]) -> np.ndarray:
+    """Letters as numbers below 64, a row for each line, filled up with 64; unlike letters may have the same."""
+    out = np.full((len(heads), max(map(len, heads))), STRETCH, np.uint8)
+    for row, head in zip(out, heads, strict=True):
+        row[: len(head)] = np.frombuffer(head.encode("utf-32-le", "surrogatepass"), np.uint32) & 63
+    return out
+
+
+def _not_far(left: list[dict], right: list[dict], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs of places in lists of lines (head: so much of the beginning, chars: length) may have an edit similarity of 0.9; no pair that has is ruled out.
+
+    A line is cut into stretches. Those of one line are found in the other no further away than the edits
+    before and after allow together, and the edits of the stretches add up to those of the line at most. The
+    numbers of letters run together at times, which only makes fewer edits.
+    """
+    keep = np.ones(len(i), bool)
+    n, m = (np.array([r["chars"] for r in side], np.int64) for side in (left, right))
+    most, longer = np.maximum(n[i], m[j]) // 10, m[j] - n[i]
+    keep &= np.abs(longer) <= most
+    order = np.flatnonzero(keep)[np.argsort(most[keep], kind="stable")]
+    steps = np.searchsorted(most[order], 8 * 1.5 ** np.arange(1, 32))  # windows of a block are about as wide
+    cuts = np.unique(np.r_[steps, np.arange(0, len(order), AT_ONCE), len(order)])
+    for at in (order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)):
+        used, own = np.unique(i[at], return_inverse=True)
+        met, other = np.unique(j[at], return_inverse=True)
+        x, y, wide = _coded([left[r]["head"] for r in used]), _coded([right[r]["head"] for r in met]), int(most[at].max())
+        each, around = x.shape[1] // STRETCH, np.full((len(met), wide + 1), STRETCH, np.uint8)
+        y = np.ascontiguousarray(np.hstack([around, y, np.full((len(met), max(0, x.shape[1] - y.shape[1])), STRETCH, np.uint8), around, around]).T)
+        x = x[:, : each * STRETCH].reshape(-1, STRETCH)
+        table, row = np.zeros((len(x), STRETCH + 1), U64), np.arange(len(x))
+        for place in range(STRETCH):
+            table[row, x[:, place]] |= U64(1) << U64(place)
+        table[:, STRETCH] = 0
+        size, limit, low, whole = np.minimum(n[i[at]], HEAD), most[at], (longer[at] - most[at]) // 2, m[j[at]] <= HEAD
+        edits, apart = np.zeros(len(at), np.int64), max(1, each * 20 // (wide + 20))
+        for few in (np.arange(0, each, apart), np.setdiff1d(np.arange(each), np.arange(0, each, apart))):  # some show most
+            pair, begin = np.repeat(np.flatnonzero(edits <= limit), len(few)), np.tile(few * STRETCH, (edits <= limit).sum())
+            known = (begin + STRETCH <= size[pair]) & (whole[pair] | (begin + STRETCH + low[pair] + limit[pair] + 1 <= HEAD))
+            pair, begin = pair[known], begin[known]
+            for k in range(0, len(pair), 2 * AT_ONCE):
+                p, b = pair[k : k + 2 * AT_ONCE], begin[k : k + 2 * AT_ONCE]
+                found = _stretch_edits(table, own[p] * each + b // STRETCH, y, other[p], b + low[p] + wide + 1, STRETCH + wide + 1)
+                np.add.at(edits, p, found)
+        keep[at] = edits <= limit
+    return keep
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of most similar lines the words show that they are; of the others the unlike parts are compared."""
+    """Of most similar lines the words show that they are. Of the others stretches show most that are not, and the unlike parts of the rest are compared."""
+
+    def compared(rows: list[tuple]) -> pa.RecordBatch:
+        each = np.arange(len(rows))
+        left, right = ([{"head": r[k][:HEAD], "chars": len(r[k])} for r in rows] for k in (2, 3))
+        close = (rows[k] for k in each[_not_far(left, right, each, each)].tolist())
+        found = [(a, b) for a, b, x, y, most in close if distance(*unlike_parts(x, y), most) <= most]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows, size = [], 0
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             most = max(len(x), len(y)) // 10
-            keep.append(edits_at_most(x, y, most) <= most or distance(*unlike_parts(x, y), most) <= most)
+            keep.append(edits_at_most(x, y, most) <= most)
+            if not keep[-1]:
+                rows.append((a, b, x, y, most))
+                size += len(x) + len(y)
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        if len(rows) >= AT_ONCE or size > 1 << 22:
+            yield compared(rows)
+            rows, size = [], 0
+    if rows:
+        yield compared(rows)
 
 
 def similar(pairs: DataFrame) -> DataFrame:
@@ -510,11 +607,12 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         step = F.floor(F.log("n") / F.log(F.lit(10 / 9)) / 1.0001)
         return sets.select("ref", "n").distinct().join(refs.distinct(), "ref").select("ref", F.explode(F.array(step, step + 1)).alias("key"))
 
-    links, labels = linked(pairs, sets, screen, verify, _partners, finer)
+    heads = bodies.select("ref", F.substring("body", 1, HEAD).alias("head"), F.length("body").alias("chars"))
+    labels = linked(pairs, sets, screen, verify, _partners, finer, (heads.select("ref", F.struct("head", "chars").alias("head")), _not_far))
     repeated = lines.groupBy("ref").agg(F.count("*").alias("times")).where("times > 1").select("ref")
     marked = repeated.join(labels.withColumnRenamed("node", "ref"), "ref", "full").select("ref", F.coalesce("comp", "ref").alias("comp"))
     places = materialize(lines.join(marked, "ref").select("id", "key", "line", "comp"), "places")
-    discard(links, labels, bodies, found)
+    discard(labels, bodies, found)
     keep = places.groupBy("comp").agg(F.min(F.struct("id", "key", "line")).alias("keep"))
     return texts, places.join(keep, "comp").where("struct(id, key, line) <> keep").select("id", "key", "line")
 

@@ -440,11 +440,11 @@ def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def finer(members: DataFrame) -> DataFrame:
         return members.select("ref").distinct().join(items, "ref").select("ref", "items").mapInArrow(_finer, "ref long, key long")
 
-    links, labels = linked(pairs, sets, screen, verify, _partners, finer)
+    labels = linked(pairs, sets, screen, verify, _partners, finer)
     placed = members.join(labels.select(F.col("node").alias("ref"), "comp"), "ref", "left").select("id", "h", "n", F.coalesce("comp", "ref").alias("comp"))
     key = F.struct("id", "h")
     firsts = placed.where("n > 0").groupBy("comp").agg(F.min(key).alias("first"))
-    discard(links, pairs, sets, items)
+    discard(pairs, sets, items)
     return placed.where("n > 0").join(firsts, "comp").select("id", "h", "n", "first").union(placed.where("n = 0").select("id", "h", "n", key.alias("first")))
 
 

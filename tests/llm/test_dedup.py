@@ -354,6 +354,48 @@ def test_large_sets_of_lines(spark, monkeypatch):
     assert {r.doc_id: set(r.dropped) for r in out} == {i: gone.get((i, t), set()) for i, t in rows} and gone
 
 
+def test_long_lines_with_a_common_passage(spark, monkeypatch):
+    """Lines that share a third of their letters and are not similar are ruled out where both lie: few of their pairs are joined with their texts."""
+    rng, compared, similar = random.Random(8), [], line_dedup.similar
+
+    def counted(pairs):
+        compared.append(pairs.count())
+        return similar(pairs)
+
+    monkeypatch.setattr(line_dedup, "similar", counted)
+    stock = ["".join(rng.choice("etaoin") for _ in range(rng.randrange(2, 6))) for _ in range(60)]
+    some = lambda k: " ".join(rng.choice(stock) for _ in range(k))
+    passage = some(40)
+    lines = [f"{some(40)} {passage} {some(k % 7)}" for k in range(120)]
+    lines += [x.replace(" t", " q", 3) for x in lines[:20]]
+    out = line_dedup.dedup_report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in out if r.dropped} == set(range(120, 140)) and sum(compared) < 1500
+
+
+def test_stretches_rule_out_no_similar_pair():
+    """Edits anywhere, line by line to the tenth, in short lines, long ones and such as are looked at in part."""
+    rng = random.Random(3)
+    left, right, unlike = [], [], []
+    for n in (5, 63, 64, 65, 130, 300, 700, 2048, 2300):
+        for _ in range(4):
+            x = [rng.choice("etaoin shr\u00e9\u4eca1") for _ in range(n)]
+            y, most = list(x), n // 10
+            for _ in range(rng.choice([0, most // 2, most])):
+                at = rng.randrange(len(y))
+                y[at : at + rng.randrange(2)] = rng.choice([[], ["z"], [rng.choice("etao")]])
+            x, y = "".join(x), "".join(y)
+            if edits(x, y) <= max(len(x), len(y)) // 10:
+                left += [x, y]
+                right += [y, x]
+            unlike.append("".join(rng.choice("etaoin shr") for _ in range(n)))
+    lines = lambda side: [{"head": x[: line_dedup.HEAD], "chars": len(x)} for x in side]
+    each = np.arange(len(left))
+    assert len(left) > 40 and line_dedup._not_far(lines(left), lines(right), each, each).all()
+    long = [x for x in unlike if len(x) >= 130]
+    at = np.array([(i, j) for i in range(len(long)) for j in range(len(long)) if i != j and 300 <= len(long[i]) == len(long[j])]).T
+    assert not line_dedup._not_far(lines(long), lines(long), *at).any()
+
+
 def typos(rng, line, k):
     """line with so many letters of unlike words changed, added or left out, and at times a word put in or left out."""
     w = line.split()
