@@ -111,13 +111,22 @@ def described(form: Column) -> Column:
 
 def optional_fields(fields: DataFrame, shape_of: DataFrame, shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The shapes of fields (ref, present, and more columns) in place of ref, and all shapes: a field with presence is an optional of its type's shape, unless that is an optional or the top type already."""
-    typed = fields.join(shape_of, "ref").join(shapes.select("shape", "form", "height"), "shape")
-    wraps = F.col("present") & ~F.col("form").isin("optional", "dynamic")
-    outer = _shape(F.lit("optional"), F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.array("shape"), F.col("height") + 1)
-    settled = typed.withColumn("_outer", F.when(wraps, outer))
+    types = presences(shape_of, shapes)
+    settled = fields.withColumn("present", F.coalesce("present", F.lit(False))).join(types, ["ref", "present"])
     keep = [c for c in fields.columns if c not in ("ref", "present")]
-    more = settled.where("_outer is not null").select("_outer.*").dropDuplicates(["shape"])
-    return settled.select(*keep, F.coalesce("_outer.shape", "shape").alias("shape")), shapes.unionByName(more).dropDuplicates(["shape"])
+    used = types.where("wrapped").join(fields.where("present").select("ref").distinct(), "ref", "left_semi")
+    more = used.select(*[F.col("full")[c].alias(c) for c in _FIELDS]).dropDuplicates(["shape"])
+    return settled.select(*keep, "shape"), shapes.unionByName(more).dropDuplicates(["shape"])
+
+
+def presences(shape_of: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Of every reference (ref) without presence and with it (present): shape, form and height, whether that is a new optional (wrapped), and if so all of it (full). What is settled here for a reference is not settled for each field of its type, and fields meet it by their reference, not by a shape that many share."""
+    typed = shape_of.join(shapes.select("shape", "form", "height"), "shape")
+    outer = _shape(F.lit("optional"), F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.array("shape"), F.col("height") + 1)
+    both = typed.withColumn("present", F.explode(F.array(F.lit(False), F.lit(True))))
+    wraps = F.col("present") & ~F.col("form").isin("optional", "dynamic")
+    both = both.select("ref", "present", wraps.alias("wrapped"), F.when(wraps, outer).alias("full"), *[F.col(c).alias(f"_{c}") for c in ("shape", "form", "height")])
+    return both.select("ref", "present", "wrapped", "full", *[F.coalesce(F.col("full")[c], f"_{c}").alias(c) for c in ("shape", "form", "height")])
 
 
 def spelled(shapes: DataFrame, patterns: Mapping[str, Callable[[Column], Column]]) -> DataFrame:

@@ -66,9 +66,9 @@ def shape_counts(t):
 def field_shapes(t):
     """Fields of the lines' part types; those of returned lines have presence."""
     of, found = shapes.folded(*_types(t))
-    fields = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").alias("ref"), (F.col("l_returnflag") == "R").alias("present"))
-    typed, every = shapes.optional_fields(fields, of, found)
-    return typed.join(every.select("shape", "form", "height"), "shape").select("l_orderkey", "l_linenumber", "l_suppkey", "form", "height")
+    fields = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").alias("ref"), F.coalesce(F.col("l_returnflag") == "R", F.lit(False)).alias("present"))
+    types = shapes.presences(of, found).select("ref", "present", "form", "height")
+    return fields.join(types, ["ref", "present"]).select("l_orderkey", "l_linenumber", "l_suppkey", "form", "height")
 
 
 @query(f"""with recursive {TYPES},

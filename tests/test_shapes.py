@@ -116,3 +116,13 @@ def test_fields_and_refusals(spark):
     text = shapes.spelled(found, {"scalar": lambda x: F.concat("class", "bits"), "optional": lambda x: F.concat(x[0], F.lit("?")), "map": lambda x: F.array_join(x, "->"), "list": lambda x: x[0]})
     got = {r.ref: (r.text, r.refusal) for r in of.join(text, "shape").collect()}
     assert got == {1: ("int64?", None), 2: ("int64", None), 3: (None, "a list: a tuple: a tuple has no spelling"), 4: (None, "a tuple has no spelling"), 5: (None, "a tuple: a tuple has no spelling")}
+
+
+def test_presence_is_settled_for_references(spark):
+    """Fields meet a type by its reference, with presence or without; of a field whose presence is null the type stands as it is."""
+    refs = [(1, "optional", "-", None), (2, "named", "long", None)]
+    of, found = shapes.folded(spark.createDataFrame(refs, REFS), spark.createDataFrame([(1, 0, 2)], CHILDREN), spark.createDataFrame(KNOWN, NAMES))
+    got = {(r.ref, r.present): (r.form, r.height, r.wrapped) for r in shapes.presences(of, found).collect()}
+    assert got == {(1, False): ("optional", 1, False), (1, True): ("optional", 1, False), (2, False): ("scalar", 0, False), (2, True): ("optional", 1, True)}
+    typed, _ = shapes.optional_fields(spark.createDataFrame([("a", 2, None)], "field string, ref long, present boolean"), of, found)
+    assert [r.form for r in typed.join(found, "shape").collect()] == ["scalar"]
