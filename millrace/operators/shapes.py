@@ -9,11 +9,12 @@ no term is held as a whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .incremental import cut
+from .incremental import cut, discard
 
 #: Forms and the phrases for them (fixed values).
 PHRASES = {
@@ -54,15 +55,19 @@ def folded(refs: DataFrame, children: DataFrame, names: DataFrame) -> tuple[Data
     shape: it is opaque. A child that is no reference counts as missing. Rows that repeat are one; an
     empty table gives no rows.
     """
-    nodes = resolved(refs.dropDuplicates(["ref"]), names)
-    given = children.select("ref", "pos", "child").distinct().join(refs.select(F.col("ref").alias("child")).distinct(), "child", "left_semi")
-    edges = given.join(nodes.select("ref", "form"), "ref").where(~F.col("form").isin(*LEAVES, "alias")).where(~F.col("form").isin("array", "stream") | (F.col("pos") == 0)).drop("form")
-    aliases = nodes.where("form = 'alias'").select("ref", F.lit(0).alias("pos"), F.col("target").alias("child")).join(refs.select(F.col("ref").alias("child")).distinct(), "child", "left_semi")
-    edges = edges.select("ref", F.col("pos").cast("int").alias("pos"), "child").unionByName(aliases.select("ref", "pos", "child"))
-    count = edges.groupBy("ref").agg(F.count("*").alias("n"))
-    nodes = nodes.join(count, "ref", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    wrong = (F.col("form").isin(*ONE_CHILD) & (F.col("n") != 1)) | ((F.col("form") == "map") & (F.col("n") != 2)) | ((F.col("form") == "alias") & (F.col("n") == 0))
-    nodes = cut(nodes.withColumn("name", F.when(wrong, F.coalesce("name", "form")).otherwise(F.col("name"))).withColumn("form", F.when(wrong, "opaque").otherwise(F.col("form"))))
+    known, alias = refs.select("ref").distinct(), F.coalesce(F.col("kind") == "alias", F.lit(False))
+    led = names.where(alias).join(known.select(F.col("ref").alias("target"), F.lit(True).alias("there")), "target", "left").withColumn("target", F.when(F.col("there"), F.col("target")))
+    nodes = resolved(refs.dropDuplicates(["ref"]), names.where(~alias).unionByName(led.select(*names.columns)))
+    given = children.select("ref", F.col("pos").cast("int").alias("pos"), "child").distinct().join(known.select(F.col("ref").alias("child")), "child", "left_semi")
+    given = given.groupBy("ref").agg(F.collect_list(F.struct("pos", "child")).alias("given"))
+    nodes, form = nodes.join(given, "ref", "left"), F.col("form")
+    child = given.schema["given"].dataType.simpleString()
+    no_kids, target = F.array().cast(child), F.array(F.struct(F.lit(0).alias("pos"), F.col("target").alias("child"))).cast(child)
+    kids = F.when(form == "alias", F.when(F.col("target").isNotNull(), target).otherwise(no_kids)).when(form.isNull() | form.isin(*LEAVES), no_kids)
+    kids = kids.when(form.isin("array", "stream"), F.filter("given", lambda x: x["pos"] == 0)).otherwise(F.col("given"))
+    nodes = nodes.withColumn("kids", F.coalesce(kids, no_kids)).withColumn("n", F.size("kids")).drop("given", "target")
+    wrong = (form.isin(*ONE_CHILD) & (F.col("n") != 1)) | ((form == "map") & (F.col("n") != 2)) | ((form == "alias") & (F.col("n") == 0))
+    nodes = cut(nodes.withColumn("name", F.when(wrong, F.coalesce("name", "form")).otherwise(F.col("name"))).withColumn("form", F.when(wrong, "opaque").otherwise(form)))
     none = F.array().cast("array<string>")
 
     def plain(form, name=None) -> Column:
@@ -77,24 +82,24 @@ def folded(refs: DataFrame, children: DataFrame, names: DataFrame) -> tuple[Data
     byte = (settled[0] == "list") & (first["form"] == "scalar") & (first["class"] == "uint") & (first["bits"] == 8)
     built = _shape(*settled, F.transform("c", lambda x: x["s"]["shape"]), 1 + F.array_max(F.transform("c", lambda x: x["s"]["height"])))
     shape = F.when(settled[0] == "alias", first).when(byte, plain("bytes")).otherwise(built)
-    waiting = edges.join(nodes.where("form <> 'opaque'").select("ref", F.struct(*own).alias("node")), "ref").withColumn("s", F.lit(None).cast(f"struct<{SHAPE.replace(' ', ':').replace(',:', ',')}>"))
+    waiting = nodes.where("n > 0 and form <> 'opaque'").select("ref", F.struct(*own).alias("node"), F.inline("kids")).withColumn("s", F.lit(None).cast(f"struct<{SHAPE.replace(' ', ':').replace(',:', ',')}>"))
+    circular = F.col("node.form") == "alias"
     parts = [frontier]
     while True:
         met = frontier.select(F.col("ref").alias("child"), F.col("s").alias("_s"))
-        now = waiting.join(met, "child", "left").withColumn("s", F.coalesce("s", "_s"))
-        every = F.every(F.col("s").isNotNull()).alias("ready")
-        now = cut(now.groupBy("ref").agg(F.first("node").alias("node"), every, F.array_sort(F.collect_list(F.struct("pos", "child", "s"))).alias("c")))
+        # Of what waits only an alias needs the elements of its child, and that is settled at once.
+        now = waiting.join(met, "child", "left").withColumn("s", F.coalesce("s", F.when(circular, F.col("_s")).when(F.col("_s").isNotNull(), F.col("_s").withField("elems", none))))
+        every, counts = F.every(F.col("s").isNotNull()).alias("ready"), Observation()
+        now = now.groupBy("ref").agg(F.first("node").alias("node"), every, F.array_sort(F.collect_list(F.struct("pos", "child", "s"))).alias("c"))
+        now = cut(now.observe(counts, F.count_if("ready").alias("fresh"), F.count_if(~F.col("ready")).alias("left"), F.count_if(~F.col("ready") & circular).alias("circular")))
+        n_fresh, n_left, n_circular = (counts.get.get(k, 0) for k in ("fresh", "left", "circular"))
         fresh, left = now.where("ready").select("ref", shape.alias("s")), now.where("not ready")
-        if left.isEmpty():
-            parts.append(fresh)
-            break
-        if fresh.isEmpty():  # what is left leads into circles
-            circular = F.col("node.form") == "alias"
-            fresh, left = left.where(circular).select("ref", plain("opaque", F.col("node.name")).alias("s")), left.where(~circular)
-            if fresh.isEmpty():
+        if n_left and not n_fresh:  # what is left leads into circles
+            if not n_circular:
                 raise ValueError("children lead back to their own references: terms are finite")
+            fresh, left, n_left = left.where(circular).select("ref", plain("opaque", F.col("node.name")).alias("s")), left.where(~circular), n_left - n_circular
         parts.append(fresh)
-        if left.isEmpty():
+        if not n_left:
             break
         waiting, frontier = left.select("ref", "node", F.inline("c")), fresh
     found = parts[0]
@@ -133,26 +138,37 @@ def spelled(shapes: DataFrame, patterns: Mapping[str, Callable[[Column], Column]
     """shape, text, refusal: how a language writes every shape. patterns: of each form that it has, a function from the array of the children's texts (and by name, bits, class and length of the shape) to the text.
 
     A shape is refused where its form has no pattern, or where a child is; the refusal names the children
-    on the way to the first, and a shape that is refused has no text. From the leaves up, a height a round.
+    on the way to the first, and a shape that is refused has no text. From the leaves up, a height a round:
+    a round reads the shapes of its height, and of what is spelled only what this height or a later one has
+    as a child.
     """
-    rows = cut(shapes)
+    tallest = Observation()
+    found = cut(shapes.observe(tallest, F.max("height").alias("top")))
+    used = found.select("height", F.explode("elems").alias("shape")).groupBy("shape").agg(F.max("height").alias("last"))
+    rows = cut(found.join(used, "shape", "left").sortWithinPartitions("height"))
+    discard(found)
     text = F.lit(None).cast("string")
     for form, pattern in patterns.items():
         text = F.when(F.col("form") == form, pattern(F.col("texts"))).otherwise(text)
     unknown = F.when(~F.col("form").isin(*patterns), F.concat(described(F.col("form")), F.lit(" has no spelling")))
-    done, height, top = None, 0, rows.agg(F.max("height")).first()[0]
+    node = [c for c in rows.columns if c not in ("elems", "height")]
+    levels, height, top = [], 0, tallest.get.get("top")
     while top is not None and height <= top:
         here = rows.where(F.col("height") == height)
-        if done is None:
+        if not levels:
             known = here.withColumn("texts", F.array().cast("array<string>")).withColumn("_refusal", F.lit(None).cast("string"))
         else:
-            below = done.select(F.col("shape").alias("child"), F.col("form").alias("_form"), F.col("text").alias("_text"), F.col("refusal").alias("_refused"))
-            kids = here.select("shape", F.posexplode("elems").alias("pos", "child")).join(below, "child")
+            below = reduce(DataFrame.unionByName, [level for level, last in levels if last >= height]).where(F.col("last") >= height)
+            below = below.select(F.col("shape").alias("child"), F.col("form").alias("_form"), F.col("text").alias("_text"), F.col("refusal").alias("_refused"))
+            kids = here.select(F.struct(*node).alias("node"), F.posexplode("elems").alias("pos", "child")).join(below, "child")
             sent = F.concat(described(F.col("_form")), F.lit(": "), F.col("_refused"))
-            kids = kids.groupBy("shape").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("_text").alias("t")))).alias("_t"), F.min_by(sent, F.when(F.col("_refused").isNotNull(), F.col("pos"))).alias("_refusal"))
-            known = here.join(kids, "shape", "left").withColumn("texts", F.coalesce(F.transform("_t", lambda x: x["t"]), F.array().cast("array<string>")))
-        refusal = F.coalesce(unknown, F.col("_refusal"))
-        level = cut(known.select("shape", "form", F.when(refusal.isNull(), text).alias("text"), refusal.alias("refusal")))
-        done = level if done is None else done.unionByName(level)
+            texts = F.array_sort(F.collect_list(F.struct("pos", F.col("_text").alias("t")))).alias("_t")
+            kids = kids.groupBy("node.shape").agg(F.first("node").alias("node"), texts, F.min_by(sent, F.when(F.col("_refused").isNotNull(), F.col("pos"))).alias("_refusal"))
+            known = kids.select("node.*", F.transform("_t", lambda x: x["t"]).alias("texts"), "_refusal")
+        refusal, latest = F.coalesce(unknown, F.col("_refusal")), Observation()
+        level = known.select("shape", "form", F.when(refusal.isNull(), text).alias("text"), refusal.alias("refusal"), "last")
+        level = cut(level.observe(latest, F.max("last").alias("last")))
+        levels.append((level, latest.get.get("last") or 0))
         height += 1
-    return rows.select("shape", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("refusal")) if done is None else done.select("shape", "text", "refusal")
+    done = reduce(DataFrame.unionByName, [level for level, _ in levels]) if levels else rows.select("shape", *[F.lit(None).cast("string").alias(c) for c in ("text", "refusal")])
+    return done.select("shape", "text", "refusal")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -126,3 +127,19 @@ def test_presence_is_settled_for_references(spark):
     assert got == {(1, False): ("optional", 1, False), (1, True): ("optional", 1, False), (2, False): ("scalar", 0, False), (2, True): ("optional", 1, True)}
     typed, _ = shapes.optional_fields(spark.createDataFrame([("a", 2, None)], "field string, ref long, present boolean"), of, found)
     assert [r.form for r in typed.join(found, "shape").collect()] == ["scalar"]
+
+
+def test_a_round_of_spelling_reads_what_it_needs(spark, monkeypatch):
+    """In a chain a height has one child, so a round reads the shapes and one height below, not all that is spelled so far."""
+    refs = [(k, "optional", "-", None) for k in range(8)] + [(8, "named", "long", None)]
+    of, found = shapes.folded(spark.createDataFrame(refs, REFS), spark.createDataFrame([(k, 0, k + 1) for k in range(8)], CHILDREN), spark.createDataFrame(KNOWN, NAMES))
+    found, write, read = shapes.cut(found), shapes.cut, []
+
+    def counted(df):
+        read.append({os.path.dirname(f) for f in df.inputFiles()})
+        return write(df)
+
+    monkeypatch.setattr(shapes, "cut", counted)
+    text = shapes.spelled(found, {"scalar": lambda x: F.concat("class", "bits"), "optional": lambda x: F.concat(F.lit("*"), x[0])})
+    assert max(map(len, read)) <= 2
+    assert {r.ref: (r.text, r.refusal) for r in of.join(text, "shape").collect()} == {k: ("*" * (8 - k) + "int64", None) for k in range(9)}
