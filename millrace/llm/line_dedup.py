@@ -44,6 +44,7 @@ NO_ID = (1 << 63) - 1
 HEAD = 2048  # characters of a line that are looked at before it is compared as a whole
 STRETCH = 64  # of them, one number
 AT_ONCE = 1 << 12  # pairs
+TOGETHER = 1 << 15  # pairs of sketches
 SMALL_SET = 8
 ONE_TASK = 1 << 14
 FLUSH_KEYS = 1 << 19
@@ -57,8 +58,10 @@ _GROUPS[list(b"etaoinshrdlcumfpgwybvkxjqz0123456789")] = np.arange(36) % 16
 _RNG = np.random.default_rng(1)
 _LETTERS = _RNG.integers(1, 1 << 63, 256, dtype=U64)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_FACTORS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _GONE = bytes(c for c in range(128) if _DROPPED.match(chr(c)))
 _CLASSES = bytes(3 if c == 10 else 2 if c < 128 and _BLANK.match(chr(c)) else 1 for c in range(256))  # 1: kept, 2: blank, 3: line feed
+_LETTERS[np.frombuffer(_CLASSES, np.uint8) != 1] = 0
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(U64).ravel()
 _POWERS = [np.ones(1, U64), np.ones(1, U64)]
 _SIZES = [1, 2, 3, 4, 5, 6]  # of blocks, in words; from there on by a quarter
@@ -158,26 +161,28 @@ def _blocks(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in (line, first, last, tag))
 
 
-def _windows(word: np.ndarray, begin: np.ndarray, count: np.ndarray, places: tuple[int, ...], words: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the words at these places from each word on, of lines of so many words, and to which lines they belong."""
+def _windows(word: list[np.ndarray], begin: np.ndarray, count: np.ndarray, places: tuple[int, ...], words: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words at these places from each word on, of lines of so many words, and to which lines they belong. word: hashes of the words as the first, second and third of a key."""
     own = np.flatnonzero((count >= max(words[0], places[-1] + 1)) & (count <= words[1]))
     each = count[own] - places[-1]
     owner = np.repeat(own, each)
     at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + begin[owner]
     with np.errstate(over="ignore"):
         key = np.full(len(at), U64(len(places)), U64)
-        for k in places:
-            key = mix(key * U64(_BASE) + word[at + k])
-    return key, owner
+        for hashes, k in zip(word, places, strict=False):
+            key += hashes[at + k]
+    return mix(key), owner
 
 
 def _letters(b: np.ndarray, kind: np.ndarray, line: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Of wanted lines how often letters of each of sixteen groups occur, up to 15, four bits each; a character counts by its first byte."""
-    number = np.full(int(line[-1]) + 2 if len(line) else 1, -1)
+    long = np.diff(np.r_[-1, np.flatnonzero(kind == 3), len(b) - 1])
+    number = np.full(len(long), -1)
     number[line[wanted]] = np.flatnonzero(wanted)
-    of = number[np.minimum(np.cumsum(kind == 3), len(number) - 1)]
-    use = (kind == 1) & ((b & 0xC0) != 0x80) & (of >= 0)
-    counts = np.bincount(of[use] * 16 + _GROUPS[b[use]], minlength=16 * len(line)).reshape(-1, 16)
+    at = np.flatnonzero(np.repeat(number >= 0, long))
+    use = (kind[at] == 1) & ((b[at] & 0xC0) != 0x80)
+    at, of = at[use], np.repeat(number[number >= 0], long[number >= 0])[use]
+    counts = np.bincount(of * 16 + _GROUPS[b[at]], minlength=16 * len(line)).reshape(-1, 16)
     counts = np.minimum(counts, 15).astype(np.uint8)
     return (counts[:, ::2] | counts[:, 1::2] << 4).view(U64).ravel()
 
@@ -201,10 +206,11 @@ def fingerprints(texts: list[str], with_keys: bool = False) -> tuple[np.ndarray,
     starts, ends, whole = _words(b, starts, ends)
     power, inverse = _powers(len(b))
     with np.errstate(over="ignore"):
-        sums = np.r_[U64(0), np.cumsum(_LETTERS[b] * power[: len(b)], dtype=U64)]
-        word = mix((sums[ends] - sums[starts]) * inverse[starts])
-    chars = np.r_[0, np.cumsum((b & 0xC0) != 0x80)]
-    size = chars[ends] - chars[starts] + whole
+        letters = _LETTERS[b]
+        letters *= power[: len(b)]
+        word = mix(np.add.reduceat(letters, starts) * inverse[starts])  # blanks count nothing, so a word may be summed up to the next
+    later = np.flatnonzero((b & 0xC0) == 0x80)  # bytes of a character that has begun
+    size = ends - starts + whole - np.bincount(np.searchsorted(starts, later, side="right") - 1, minlength=len(starts))
     bounds = np.r_[0, np.searchsorted(starts, np.flatnonzero(kind == 3)), len(starts)]
     line = np.flatnonzero(bounds[1:] > bounds[:-1])
     begin, count = bounds[line], np.diff(bounds)[line]
@@ -213,7 +219,8 @@ def fingerprints(texts: list[str], with_keys: bool = False) -> tuple[np.ndarray,
         ref = mix(np.add.reduceat(mix(word + (2 * place + whole).astype(U64) * U64(_BASE)), begin))
     n = np.add.reduceat(size, begin) - 1
     with np.errstate(over="ignore"):
-        odds = np.concatenate([np.zeros((1, 8), U64), np.cumsum(_LANES[word.view(np.uint8)].reshape(-1, 8), axis=0, dtype=U64)])
+        odds = np.zeros((len(word) + 1, 8), U64)
+        np.cumsum(_LANES[word.view(np.uint8)].reshape(-1, 8), axis=0, out=odds[1:])
     short = n < COUNTED
     sim = np.where(short, _letters(b, kind, line, short), _simhash(odds, begin, np.where(short, begin, begin + count)))
     first = np.cumsum([0, *(t.count("\n") + 1 for t in texts)])
@@ -225,7 +232,9 @@ def fingerprints(texts: list[str], with_keys: bool = False) -> tuple[np.ndarray,
     owner, head, tail, tag = _blocks(begin, count)
     with np.errstate(over="ignore"):
         keys = mix(_simhash(odds, head, tail) ^ mix(tag.astype(U64) * U64(_BASE))) if len(owner) else np.zeros(0, U64)
-    windows = [_windows(word, begin, count, places, words) for words, places in WINDOWS]
+    with np.errstate(over="ignore"):
+        placed = [word * U64(_BASE), word * U64(_FACTORS[0]), word * U64(_FACTORS[1])]
+    windows = [_windows(placed, begin, count, places, words) for words, places in WINDOWS]
     return *out, np.concatenate([keys, *(k for k, _ in windows)]), np.concatenate([owner, *(o for _, o in windows)])
 
 
@@ -312,6 +321,21 @@ def _possible(n, sim, m, other) -> tuple[np.ndarray, np.ndarray]:
     return ok, unlike
 
 
+def _accompanied(n: np.ndarray, sim: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of the members of a set, in the order of their lengths, which have a possible partner but themselves in their window from low to high."""
+    found, wide = np.zeros(len(n), bool), high - low
+    cuts = np.searchsorted(np.cumsum(wide), np.arange(TOGETHER, wide.sum(), TOGETHER))
+    for a, b in zip((0, *(cuts + 1)), (*(cuts + 1), len(n)), strict=True):
+        if a >= b:
+            continue
+        each = wide[a:b]
+        own = np.repeat(np.arange(a, b), each)
+        other = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - low[a:b], each)
+        own, other = (x[own != other] for x in (own, other))
+        found[own[_possible(n[own], sim[own], n[other], sim[other])[0]]] = True
+    return found
+
+
 def _rows(kind, a, b, n, sim) -> pa.RecordBatch:
     columns = (np.full(len(a), kind, np.int32), a, b, n, sim)
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == U64 else c) for c in columns], names=["kind", "a", "b", "n", "sim"])
@@ -320,11 +344,17 @@ def _rows(kind, a, b, n, sim) -> pa.RecordBatch:
 def _partners(features: list[tuple]):
     """From (n, sim) of the members of a set to a function from those of any member to the numbers of its possible partners."""
     n, sim = np.array([f[0] for f in features]), np.array([f[1] for f in features], np.int64).view(U64)
+    order = np.argsort(n, kind="stable")
+    n, sim = n[order], sim[order]
 
     def partners(size: int, own: int) -> np.ndarray:
-        ok, unlike = _possible(n, sim, size, np.array([own], np.int64).view(U64))
+        low, high = np.searchsorted(n, -(-9 * size // 10)), np.searchsorted(n, size * 10 // 9, side="right")
+        if low == high:
+            return order[:0]
+        ok, unlike = _possible(n[low:high], sim[low:high], size, np.array([own], np.int64).view(U64))
         found = np.flatnonzero(ok)
-        return found[np.argsort(unlike[found], kind="stable")]
+        found, unlike = order[low + found], unlike[found]
+        return found[np.lexsort((found, unlike))]
 
     return partners
 
@@ -367,7 +397,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size <= ONE_TASK:
                 # Partners are a tenth longer or shorter at most: a window of the lines by length.
                 low, high = np.searchsorted(n[m], -(-9 * n[m] // 10)), np.searchsorted(n[m], n[m] * 10 // 9, side="right")
-                m = m[np.fromiter((_possible(n[x], sim[x], n[m[i:j]], sim[m[i:j]])[0].sum() > 1 for x, i, j in zip(m, low, high, strict=True)), bool, size)]
+                m = m[_accompanied(n[m], sim[m], low, high)]
             if len(m) == 2:
                 zero = np.zeros(1, np.int64)
                 yield _rows(1, ref[m].min(keepdims=True), ref[m].max(keepdims=True), zero, zero)
@@ -590,9 +620,10 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = found.where("kind = 1").select("a", "b").distinct()
     sets = found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("ref"), "n", "sim").distinct()
     wanted = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).union(sets.select("ref")).distinct()
-    first = lines.join(wanted, "ref").groupBy("ref").agg(F.min(F.struct("id", "key", "line")).alias("first"))
+    # The side that is built has a key once; rows with texts and the many lines need no sort then.
+    first = lines.join(wanted.hint("shuffle_hash"), "ref").groupBy("ref").agg(F.min(F.struct("id", "key", "line")).alias("first"))
     where = first.groupBy(F.col("first.id").alias("id"), F.col("first.key").alias("key")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "ref")).alias("wanted"))
-    bodies = rows.join(where, ["id", "key"]).select("text", "wanted").mapInArrow(_texts, "ref long, body string").dropDuplicates(["ref"])
+    bodies = rows.join(where.hint("shuffle_hash"), ["id", "key"]).select("text", "wanted").mapInArrow(_texts, "ref long, body string").dropDuplicates(["ref"])
     bodies = materialize(bodies, "bodies", ROWS)
 
     def verify(edges: DataFrame) -> DataFrame:
@@ -611,7 +642,7 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = linked(pairs, sets, screen, verify, _partners, finer, (heads.select("ref", F.struct("head", "chars").alias("head")), _not_far))
     repeated = lines.groupBy("ref").agg(F.count("*").alias("times")).where("times > 1").select("ref")
     marked = repeated.join(labels.withColumnRenamed("node", "ref"), "ref", "full").select("ref", F.coalesce("comp", "ref").alias("comp"))
-    places = materialize(lines.join(marked, "ref").select("id", "key", "line", "comp"), "places")
+    places = materialize(lines.join(marked.hint("shuffle_hash"), "ref").select("id", "key", "line", "comp"), "places")
     discard(labels, bodies, found)
     keep = places.groupBy("comp").agg(F.min(F.struct("id", "key", "line")).alias("keep"))
     return texts, places.join(keep, "comp").where("struct(id, key, line) <> keep").select("id", "key", "line")

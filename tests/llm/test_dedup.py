@@ -525,3 +525,21 @@ def test_empty_tables(no_docs):
     assert ngram_join.near_components(no_docs).count() == 0
     assert ngram_join.keep_one(no_docs).count() == 0
     assert line_dedup.dedup_report(no_docs).count() == 0
+
+
+def test_members_of_a_set_are_screened_together(monkeypatch):
+    """Members of a set that have no possible partner go, without a call for each of them; the rest is as by pairs."""
+    import pyarrow as pa
+
+    rng, calls, possible = np.random.default_rng(5), [], line_dedup._possible
+    n = rng.integers(10, 400, 300).astype(np.uint32)
+    sim = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
+    sim[::3] = sim[0]
+    ref = np.arange(1, 301, dtype=np.int64)
+    size = n.astype(np.int64)
+    kept = ref[[possible(size, sim, size[k], sim[k : k + 1])[0].sum() > 1 for k in range(300)]]
+    monkeypatch.setattr(line_dedup, "_possible", lambda *a: (calls.append(1), possible(*a))[1])
+    packed = b"".join(x.tobytes() for x in (np.full(300, 7, np.uint64), ref, n, sim))
+    rows = [r for b in line_dedup._candidates(iter([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([packed])], names=["bucket", "data"])])) for r in b.to_pylist()]
+    assert sorted(r["b"] for r in rows) == sorted(kept.tolist()) and 2 < len(kept) < 300
+    assert len(calls) <= 10
