@@ -42,8 +42,11 @@ LONG_WORD, PIECE = 12, 6  # bytes
 MAX_CACHED = 1 << 18
 NO_ID = (1 << 63) - 1
 HEAD = 2048  # characters of a line that are looked at before it is compared as a whole
+WHOLE = 1 << 13  # characters of a line that is compared where the members of its set lie
 STRETCH = 64  # of them, one number
 AT_ONCE = 1 << 12  # pairs
+NARROW, BAND = 319, 1279  # characters of a line that is compared in a band: a tenth are edits at most, so 63 diagonals hold them, and 255
+FEW = 16  # pairs that are compared one by one
 TOGETHER = 1 << 15  # pairs of sketches
 SMALL_SET = 8
 ONE_TASK = 1 << 14
@@ -239,13 +242,13 @@ def fingerprints(texts: list[str], with_keys: bool = False) -> tuple[np.ndarray,
 
 
 def _deal(buckets: int):
-    """Texts (id, key, text) to rows of their lines that have a word (kind 0: id, key, line, ref), of themselves (kind 1: id, key, n lines, 0 for null) and packed rows of the keys of a bucket (kind 2: bucket as line, data)."""
+    """Texts (id, key, text) to rows of their lines that have a word (kind 0, or 3 where the task has seen that line before: id, key, line, ref), of themselves (kind 1: id, key, n lines, 0 for null) and packed rows of the keys of a bucket (kind 2: bucket as line, data)."""
 
     names = ["kind", "id", "key", "line", "ref", "n", "data"]
     types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
-    def batch_of(kind: int, rows: int, **columns) -> pa.RecordBatch:
-        given = columns | {"kind": np.full(rows, kind, np.int32)}
+    def batch_of(kind: int | np.ndarray, rows: int, **columns) -> pa.RecordBatch:
+        given = columns | {"kind": np.broadcast_to(np.int32(kind), rows)}
         return pa.RecordBatch.from_arrays([pa.nulls(rows, t) if c not in given else pa.array(given[c], t) for c, t in zip(names, types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +266,7 @@ def _deal(buckets: int):
             use = fresh[owner]
             owner = owner[use]
             held.append((block[use], ref[owner], n[owner].astype(np.uint32), sim[owner]))
-            return batch_of(0, len(ref), id=np.array(ids, np.int64)[text], key=np.array(keys, np.int64)[text], line=line.astype(np.int32), ref=ref)
+            return batch_of(np.where(fresh, 0, 3), len(ref), id=np.array(ids, np.int64)[text], key=np.array(keys, np.int64)[text], line=line.astype(np.int32), ref=ref)
 
         def dealt() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -302,11 +305,15 @@ def _apart(n: np.ndarray) -> np.ndarray:
     return np.array(APART)[np.searchsorted(LENGTHS, n, side="right") - 1]
 
 
+def _counts(x: np.ndarray) -> np.ndarray:
+    """Counts of letters, a row of sixteen for each sketch."""
+    b = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)
+    return np.hstack([b & 15, b >> 4]).view(np.int8)
+
+
 def _between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """By how much counts of letters differ in all."""
-    a, b = (np.ascontiguousarray(v).view(np.uint8).reshape(-1, 8) for v in np.broadcast_arrays(x, y))
-    low, high = (a & 15).astype(np.int8) - (b & 15), (a >> 4).astype(np.int8) - (b >> 4)
-    return (np.abs(low) + np.abs(high)).sum(1, dtype=np.int64)
+    return np.abs(_counts(x) - _counts(y)).sum(1, dtype=np.int64)
 
 
 def _possible(n, sim, m, other) -> tuple[np.ndarray, np.ndarray]:
@@ -346,13 +353,19 @@ def _partners(features: list[tuple]):
     n, sim = np.array([f[0] for f in features]), np.array([f[1] for f in features], np.int64).view(U64)
     order = np.argsort(n, kind="stable")
     n, sim = n[order], sim[order]
+    letters = _counts(sim)
 
     def partners(size: int, own: int) -> np.ndarray:
         low, high = np.searchsorted(n, -(-9 * size // 10)), np.searchsorted(n, size * 10 // 9, side="right")
         if low == high:
             return order[:0]
-        ok, unlike = _possible(n[low:high], sim[low:high], size, np.array([own], np.int64).view(U64))
-        found = np.flatnonzero(ok)
+        own, large = np.array([own], np.int64).view(U64), np.maximum(n[low:high], size)
+        if large[-1] < COUNTED:
+            unlike = np.abs(letters[low:high] - _counts(own)).sum(1, dtype=np.int64)
+            found = np.flatnonzero(unlike <= 2 * (large // 10))
+        else:
+            ok, unlike = _possible(n[low:high], sim[low:high], size, own)
+            found = np.flatnonzero(ok)
         found, unlike = order[low + found], unlike[found]
         return found[np.lexsort((found, unlike))]
 
@@ -487,6 +500,90 @@ def distance(x: str, y: str, most: int) -> int:
     return len(y) + up.bit_count() - down.bit_count()
 
 
+def _placed(lines: list[str], sizes: np.ndarray, first: np.ndarray, columns: int, fill: int) -> np.ndarray:
+    """Letters, a row for each line, which begins at its place; the rest is filled up."""
+    flat = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.full((len(lines), columns), fill, np.uint32)
+    out[np.repeat(np.arange(len(lines)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)] = flat
+    return out
+
+
+def _banded(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Whether lines of up to BAND characters have an edit similarity of 0.9. Of a table of distances only the diagonals are kept that so many edits reach, a bit each in one to four numbers, of many tables at once."""
+    sizes = np.array([(len(x), len(y)) for x, y in pairs], np.int64).reshape(-1, 2)
+    limit, found = sizes.max(1, initial=0) // 10, np.zeros(len(pairs), bool)
+    order = np.flatnonzero(np.abs(sizes[:, 0] - sizes[:, 1]) <= limit)
+    words = 2 * limit // STRETCH + 1  # of the band
+    order = order[np.lexsort((sizes[order, 1], words[order]))]
+    cuts = np.r_[np.arange(AT_ONCE // 4, len(order), AT_ONCE // 4), np.flatnonzero(np.diff(words[order])) + 1]
+    top, one, ones = U64(STRETCH - 1), U64(1), ~U64(0)
+    for at in np.split(order, np.unique(cuts)):
+        if len(at) < FEW:
+            found[at] = [edits_at_most(*pairs[k], limit[k]) <= limit[k] or distance(*unlike_parts(*pairs[k]), limit[k]) <= limit[k] for k in at.tolist()]
+            continue
+        (n, m), most, wide = sizes[at].T, limit[at], int(words[at[0]])
+        band = STRETCH * wide
+        x = _placed([pairs[k][0] for k in at], n, band - 1 - most, band + max(int(m.max()), int((n - most).max())), (1 << 32) - 1)
+        y = _placed([pairs[k][1] for k in at], m, np.zeros(len(at), np.int64), int(m.max()), (1 << 32) - 2)
+        if max(np.where(x >> 31, 0, x).max(), np.where(y >> 31, 0, y).max()) < 254:
+            x, y = x.astype(np.uint8), y.astype(np.uint8)  # what is filled up stays unlike
+        y = np.ascontiguousarray(y.T)
+        first = [band - 1 - most - STRETCH * w for w in range(wide)]  # bits from here on are rows of the table
+        up = [np.where(f >= STRETCH, U64(0), ones << np.clip(f, 0, STRETCH - 1).astype(U64)) for f in first]
+        down, edits = [np.zeros(len(at), U64)] * wide, most.copy()
+        last = n - most  # the column at which the lowest diagonal meets the end of the line
+        least = last.min()
+        for i in range(len(y)):
+            if i % 32 == 31:  # the way back to the end takes no more edits away than this
+                use = edits <= 2 * most + m - n
+                if not use.all():
+                    at, n, m, most, last, x, edits = (v[use] for v in (at, n, m, most, last, x, edits))
+                    up, down, y = [v[use] for v in up], [v[use] for v in down], np.ascontiguousarray(y[:, use])
+                    if not len(at):
+                        break
+            same = np.packbits(x[:, i : i + band] == y[i][:, None], axis=1, bitorder="little").view(U64)
+            across, rise, fall, carry = [], [], [], None
+            for w in range(wide):
+                own, u = same[:, w], up[w]
+                both = own & u
+                total = both + u
+                if wide > 1:
+                    over = total < u
+                    if carry is not None:
+                        total += carry
+                        over |= total < carry
+                    carry = over.astype(U64)
+                across.append((total ^ u) | own | down[w])
+                rise.append(down[w] | ~(across[w] | u))
+                fall.append(across[w] & u)
+            if i < least:
+                edits += 1 - (across[-1] >> top).view(np.int64)
+            else:
+                bit = np.clip(band - 2 + last - i, 0, band - 1)
+                shift, late = (bit % STRETCH).astype(U64), np.zeros(len(at), np.int64)
+                for w in range(wide):
+                    step = ((rise[w] >> shift) & one).view(np.int64) - ((fall[w] >> shift) & one).view(np.int64)
+                    late += step if wide == 1 else np.where(bit // STRETCH == w, step, 0)
+                edits += np.where(i < last, 1 - (across[-1] >> top).view(np.int64), np.where(i < m, late, 0))
+            for w in range(wide):
+                across[w] = across[w] >> one | across[w + 1] << top if w + 1 < wide else across[w] >> one
+                rise[w], fall[w] = across[w] & rise[w], fall[w] | ~(across[w] | rise[w])
+            up, down = fall, rise
+        found[at] = edits <= most
+    return found
+
+
+def _close(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Whether lines have an edit similarity of 0.9."""
+    long = np.array([max(len(x), len(y)) > BAND for x, y in pairs], bool)
+    keep = long.copy()
+    keep[~long] = _banded([p for p, far in zip(pairs, long, strict=True) if not far])
+    for k in np.flatnonzero(long).tolist():
+        most = max(map(len, pairs[k])) // 10
+        keep[k] = edits_at_most(*pairs[k], most) <= most or distance(*unlike_parts(*pairs[k]), most) <= most
+    return keep
+
+
 def _stretch_edits(table: np.ndarray, of: np.ndarray, letters: np.ndarray, which: np.ndarray, first: np.ndarray, steps: int) -> np.ndarray:
     """For each pair the least edits between a stretch and any part of the line beside it in a window. table: of each stretch the places of each letter, as bits; letters: of the lines, a column for each; of, which: whose stretch and whose line; first: where the windows begin; steps: how long they are."""
     up, down = np.full(len(of), ~U64(0)), np.zeros(len(of), U64)
@@ -526,7 +623,7 @@ def _coded(heads: list[str]) -> np.ndarray:
 
 
 def _not_far(left: list[dict], right: list[dict], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether pairs of places in lists of lines (head: so much of the beginning, chars: length) may have an edit similarity of 0.9; no pair that has is ruled out.
+    """Whether pairs of places in lists of lines (head: the beginning, HEAD characters of it at least, chars: length) may have an edit similarity of 0.9; no pair that has is ruled out.
 
     A line is cut into stretches. Those of one line are found in the other no further away than the edits
     before and after allow together, and the edits of the stretches add up to those of the line at most. The
@@ -542,7 +639,7 @@ def _not_far(left: list[dict], right: list[dict], i: np.ndarray, j: np.ndarray)
     for at in (order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)):
         used, own = np.unique(i[at], return_inverse=True)
         met, other = np.unique(j[at], return_inverse=True)
-        x, y, wide = _coded([left[r]["head"] for r in used]), _coded([right[r]["head"] for r in met]), int(most[at].max())
+        x, y, wide = _coded([left[r]["head"][:HEAD] for r in used]), _coded([right[r]["head"][:HEAD] for r in met]), int(most[at].max())
         each, around = x.shape[1] // STRETCH, np.full((len(met), wide + 1), STRETCH, np.uint8)
         y = np.ascontiguousarray(np.hstack([around, y, np.full((len(met), max(0, x.shape[1] - y.shape[1])), STRETCH, np.uint8), around, around]).T)
         x = x[:, : each * STRETCH].reshape(-1, STRETCH)
@@ -564,29 +661,52 @@ def _not_far(left: list[dict], right: list[dict], i: np.ndarray, j: np.ndarray)
     return keep
 
 
+def _whole(line: dict) -> bool:
+    return line["chars"] <= len(line["head"])
+
+
+def _alike(left: list[dict], right: list[dict], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs of places in lists of lines (see _not_far) have an edit similarity of 0.9; where more than the head is to be seen, whether they may have."""
+    chars = np.maximum(np.array([r["chars"] for r in left], np.int64)[i], np.array([r["chars"] for r in right], np.int64)[j])
+    keep = chars <= NARROW
+    far = np.flatnonzero(~keep)
+    keep[far] = _not_far(left, right, i[far], j[far])
+    told = [k for k in np.flatnonzero(keep).tolist() if _whole(left[i[k]]) and _whole(right[j[k]])]
+    keep[told] = _close([(left[i[k]]["head"], right[j[k]]["head"]) for k in told])
+    return keep
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of most similar lines the words show that they are. Of the others stretches show most that are not, and the unlike parts of the rest are compared."""
+    """Lines of up to NARROW characters are compared as they are. Of most longer ones that are similar the words show it; of the others stretches show most that are not, and the unlike parts of the rest are compared."""
 
     def compared(rows: list[tuple]) -> pa.RecordBatch:
         each = np.arange(len(rows))
         left, right = ([{"head": r[k][:HEAD], "chars": len(r[k])} for r in rows] for k in (2, 3))
-        close = (rows[k] for k in each[_not_far(left, right, each, each)].tolist())
-        found = [(a, b) for a, b, x, y, most in close if distance(*unlike_parts(x, y), most) <= most]
+        return links([rows[k] for k in each[_not_far(left, right, each, each)].tolist()])
+
+    def links(tried: list[tuple], known: list[tuple] = ()) -> pa.RecordBatch:
+        found = [*known, *(tried[k] for k in np.flatnonzero(_close([r[2:] for r in tried])).tolist())]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    rows, size = [], 0
+    rows, short, size = [], [], 0
     for batch in batches:
-        keep = []
+        found = []
         for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             most = max(len(x), len(y)) // 10
-            keep.append(edits_at_most(x, y, most) <= most)
-            if not keep[-1]:
-                rows.append((a, b, x, y, most))
+            if max(len(x), len(y)) <= NARROW:
+                short.append((a, b, x, y))
+            elif edits_at_most(x, y, most) <= most:
+                found.append((a, b))
+            else:
+                rows.append((a, b, x, y))
                 size += len(x) + len(y)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        full = short if len(short) >= AT_ONCE else []
+        short = [] if full else short
+        yield links(full, found)
         if len(rows) >= AT_ONCE or size > 1 << 22:
             yield compared(rows)
             rows, size = [], 0
+    yield links(short)
     if rows:
         yield compared(rows)
 
@@ -614,14 +734,14 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = rows.select("id", "key", "text").mapInArrow(_deal(parts), "kind int, id long, key long, line int, ref long, n long, data binary")
     every = materialize(dealt, "lines")
     texts = every.where("kind = 1").select("id", "key", F.col("n").alias("n_lines"))
-    lines = every.where("kind = 0").select("id", "key", "line", "ref")
+    lines = every.where("kind in (0, 3)").select("id", "key", "line", "ref")
     packed = every.where("kind = 2").select(F.col("line").alias("bucket"), "data")
     found = materialize(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "kind int, a long, b long, n long, sim long"), "line-candidates")
-    pairs = found.where("kind = 1").select("a", "b").distinct()
-    sets = found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("ref"), "n", "sim").distinct()
-    wanted = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).union(sets.select("ref")).distinct()
-    # The side that is built has a key once; rows with texts and the many lines need no sort then.
-    first = lines.join(wanted.hint("shuffle_hash"), "ref").groupBy("ref").agg(F.min(F.struct("id", "key", "line")).alias("first"))
+    pairs = found.where("kind = 1").select("a", "b")
+    sets = materialize(found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("ref"), "n", "sim").distinct(), "sets")
+    wanted = found.select(F.explode(F.array("a", "b")).alias("ref")).distinct()  # a set bears the name of a member
+    # Of a line that a task has seen before, another row is looked up. The side that is built has a key once; rows with texts and the many lines need no sort then.
+    first = every.where("kind = 0").select("id", "key", "line", "ref").join(wanted.hint("shuffle_hash"), "ref").groupBy("ref").agg(F.min(F.struct("id", "key", "line")).alias("first"))
     where = first.groupBy(F.col("first.id").alias("id"), F.col("first.key").alias("key")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "ref")).alias("wanted"))
     bodies = rows.join(where.hint("shuffle_hash"), ["id", "key"]).select("text", "wanted").mapInArrow(_texts, "ref long, body string").dropDuplicates(["ref"])
     bodies = materialize(bodies, "bodies", ROWS)
@@ -638,12 +758,12 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         step = F.floor(F.log("n") / F.log(F.lit(10 / 9)) / 1.0001)
         return sets.select("ref", "n").distinct().join(refs.distinct(), "ref").select("ref", F.explode(F.array(step, step + 1)).alias("key"))
 
-    heads = bodies.select("ref", F.substring("body", 1, HEAD).alias("head"), F.length("body").alias("chars"))
-    labels = linked(pairs, sets, screen, verify, _partners, finer, (heads.select("ref", F.struct("head", "chars").alias("head")), _not_far))
+    heads = bodies.select("ref", F.substring("body", 1, WHOLE).alias("head"), F.length("body").alias("chars"))
+    labels = linked(pairs, sets, screen, verify, _partners, finer, (heads.select("ref", F.struct("head", "chars").alias("head")), _whole, _alike))
     repeated = lines.groupBy("ref").agg(F.count("*").alias("times")).where("times > 1").select("ref")
     marked = repeated.join(labels.withColumnRenamed("node", "ref"), "ref", "full").select("ref", F.coalesce("comp", "ref").alias("comp"))
     places = materialize(lines.join(marked.hint("shuffle_hash"), "ref").select("id", "key", "line", "comp"), "places")
-    discard(labels, bodies, found)
+    discard(labels, bodies, found, sets)
     keep = places.groupBy("comp").agg(F.min(F.struct("id", "key", "line")).alias("keep"))
     return texts, places.join(keep, "comp").where("struct(id, key, line) <> keep").select("id", "key", "line")
 

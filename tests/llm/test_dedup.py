@@ -543,3 +543,57 @@ def test_members_of_a_set_are_screened_together(monkeypatch):
     rows = [r for b in line_dedup._candidates(iter([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([packed])], names=["bucket", "data"])])) for r in b.to_pylist()]
     assert sorted(r["b"] for r in rows) == sorted(kept.tolist()) and 2 < len(kept) < 300
     assert len(calls) <= 10
+
+
+def test_lines_that_are_nearly_similar_are_settled_where_they_lie(spark, monkeypatch):
+    """Of a family whose lines are similar by a hair or not, only those compared with the center are rows; what links them is found all the same."""
+    rng, compared, similar = random.Random(5), [], line_dedup.similar
+
+    def counted(pairs):
+        compared.append(pairs.count())
+        return similar(pairs)
+
+    monkeypatch.setattr(line_dedup, "similar", counted)
+    base = " ".join("".join(rng.choice("etaoinshrdl") for _ in range(4)) for _ in range(40))
+    rows = []
+    for k in range(40):
+        x = list(base)
+        for at in rng.sample([p for p in range(100, len(base)) if base[p] != " "], 12):
+            x[at] = rng.choice("0123456789")
+        rows.append((k, "".join(x)))
+    gone = lines_brute(rows)
+    out = line_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: set(r.dropped) for r in out} == {i: gone.get((i, t), set()) for i, t in rows} and 0 < len(gone) < 39
+    assert sum(compared) < 2 * len(rows)
+
+
+def test_settled_looks_at_few_pairs_of_what_is_one():
+    """Two components of many members: one link joins them. Where there is none, every pair is looked at."""
+    looked, n = [], 60
+    alike = lambda x, y, i, j: (looked.append(len(i)), np.array([x[a] == y[b] for a, b in zip(i, j, strict=True)], bool))[1]
+    pairs = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+    for other, most, links in ((7, 1, 1), (8, n * n, 0)):
+        looked.clear()
+        found, unsure = candidates._settled([(k, 1, True, 7) for k in range(n)], [(n + k, 2, True, other) for k in range(n)], *pairs, {}, alike)
+        assert (len(found), len(unsure), sum(looked)) == (links, 0, most)
+    found, unsure = candidates._settled([(0, 1, False, 7)], [(1, 2, True, 7)], np.array([0]), np.array([0]), {}, alike)
+    assert not len(found) and unsure.tolist() == [0]
+
+
+def test_distances_in_a_band(monkeypatch):
+    """Lines about as far apart as the limit, of one to four numbers a band, with letters of all widths."""
+    rng, pairs = random.Random(9), []
+    for n in (1, 9, 10, 63, 64, 65, 200, 319, 320, 640, 700):
+        for share in (0.0, 0.8, 1.0, 1.2, 3.0):
+            for _ in range(6 if n < 300 else 2):
+                x = [rng.choice("etaoin shré今\U0001f600"[: rng.choice([4, 12])]) for _ in range(n)]
+                y = list(x)
+                for _ in range(int(share * n / 10) + rng.randrange(2)):
+                    at = rng.randrange(len(y) + 1)
+                    y[at : at + rng.randrange(2)] = rng.choice([[], ["z"], [rng.choice("etao")]])
+                pairs += [("".join(x), "".join(y) or "a")] * (2 if n < 300 else 1)
+    want = [10 * edits(*line_dedup.unlike_parts(x, y)) <= max(len(x), len(y)) for x, y in pairs]
+    for few in (0, 1 << 20):
+        monkeypatch.setattr(line_dedup, "FEW", few)
+        assert line_dedup._banded(pairs).tolist() == want and line_dedup._close(pairs).tolist() == want
+    assert 20 < sum(want) < len(want) - 20
