@@ -732,11 +732,12 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = BUCKETS * shuffle_partitions(spark)
     rows = _rows_of(docs)
     dealt = rows.select("id", "key", "text").mapInArrow(_deal(parts), "kind int, id long, key long, line int, ref long, n long, data binary")
-    every = materialize(dealt, "lines")
+    every = materialize(dealt, "lines", by="kind")
     texts = every.where("kind = 1").select("id", "key", F.col("n").alias("n_lines"))
     lines = every.where("kind in (0, 3)").select("id", "key", "line", "ref")
     packed = every.where("kind = 2").select(F.col("line").alias("bucket"), "data")
     found = materialize(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "kind int, a long, b long, n long, sim long"), "line-candidates")
+    discard(every, part="kind=2")  # the keys are most of that table
     pairs = found.where("kind = 1").select("a", "b")
     sets = materialize(found.where("kind = 2").select(F.col("a").alias("name"), F.col("b").alias("ref"), "n", "sim").distinct(), "sets")
     wanted = found.select(F.explode(F.array("a", "b")).alias("ref")).distinct()  # a set bears the name of a member
